@@ -31,40 +31,40 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _near_equal(items: Column, key: Callable[[Column], Column]) -> Column:
-    """The items of a sorted array whose key equals a neighbour's."""
-    same = lambda x, k: F.coalesce(key(F.get(items, k - 1)) == key(x), F.lit(False)) | F.coalesce(key(F.get(items, k + 1)) == key(x), F.lit(False))
-    return F.filter(items, same)
+def _near_equal(items: Column, equal: Callable[[Column, Column], Column]) -> Column:
+    """The items of a sorted array that equal a neighbour."""
+    return F.filter(items, lambda x, k: F.coalesce(equal(x, F.get(items, k - 1)), F.lit(False)) | F.coalesce(equal(x, F.get(items, k + 1)), F.lit(False)))
 
 
-def repeated_words(w: Column) -> Column:
-    """Words that lie in a three-word window found twice or more in the array w.
+def with_repeated_words(df: DataFrame, w: str, name: str) -> DataFrame:
+    """Adds the number of words that lie in a three-word window found twice or more in the array w.
 
     Windows are sorted as longs: some bits of a hash over the position. Only windows whose hash bits
-    meet another's are compared as text, so the count is exact and a long text costs a sort."""
-
-    def packed(w: Column, h: Column) -> Column:
-        bits = F.ceil(F.log2(F.size(w) + 1)).cast("int")
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-        code = lambda i: F.call_function("shiftleft", F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)), bits).bitwiseOR(i.cast("long"))
-        high = lambda x: F.call_function("shiftright", x, bits)
-        codes = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), code))
-        met = let(codes, lambda s: F.transform(_near_equal(s, high), lambda x: x.bitwiseAND(mask).cast("int")))
-        windows = F.transform(met, lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("text"), i.alias("at")))
-        equal = let(F.sort_array(windows), lambda s: F.transform(_near_equal(s, lambda x: x["text"]), lambda x: x["at"]))
-        gaps = lambda p: F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
-        return let(F.sort_array(equal), lambda p: F.aggregate(gaps(p), F.lit(0).cast("long"), lambda a, x: a + x))
-
-    hashed = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: packed(w, h))
-    return F.when(F.size(w) >= 4, hashed).otherwise(F.lit(0).cast("long"))
+    meet another's are compared as text, so the count is exact and a long text costs a sort. The steps
+    are columns of their own, so that the sort runs on primitive longs."""
+    left = lambda x, n: F.call_function("shiftleft", x, n)
+    bits = F.coalesce(F.ceil(F.log2(F.size(w) + 1)), F.lit(0)).cast("int")
+    hashes = df.withColumns({"_cf_h": F.transform(w, lambda x: F.xxhash64(x)), "_cf_bits": bits})
+    h, n = F.col("_cf_h"), F.col("_cf_bits")
+    code = lambda x, i: left(F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)), n).bitwiseOR(i.cast("long"))
+    coded = hashes.withColumns({"_cf_codes": F.sort_array(F.transform(h, code)), "_cf_mask": left(F.lit(1).cast("long"), n) - 1}).drop("_cf_h", "_cf_bits")
+    mask, words = F.col("_cf_mask"), F.col(w)
+    met = F.transform(_near_equal(F.col("_cf_codes"), lambda x, y: x.bitwiseXOR(y).between(F.lit(0), mask)), lambda x: x.bitwiseAND(mask).cast("int"))
+    whole = F.filter(met, lambda i: i < F.size(words) - 2)  # the last two codes stand for no window
+    windows = F.transform(whole, lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("text"), i.alias("at")))
+    equal = let(F.sort_array(windows), lambda s: F.transform(_near_equal(s, lambda x, y: x["text"] == y["text"]), lambda x: x["at"]))
+    gaps = lambda p: F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
+    count = let(F.sort_array(equal), lambda p: F.aggregate(gaps(p), F.lit(0).cast("long"), lambda a, x: a + x))
+    return coded.withColumn(name, count).drop("_cf_codes", "_cf_mask")
 
 
 def signals(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns in keep, the counts of each text, and base_failed."""
     text = F.coalesce("text", F.lit(""))
-    without = lambda chars: F.length(F.translate(text, chars, ""))
+    number = lambda chars: F.regexp_count(text, F.lit(chars)).cast("long")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x, F.lit(BLANKS))) > 0)
-    counted = docs.select(*keep, text.alias("_cf_text"), words(text).alias("_cf_w"), lines.alias("_cf_l"), without(BLANKS).cast("long").alias("word_chars"), (F.length(text) - without(SYMBOLS)).cast("long").alias("n_symbols"), (F.length(text) - without(".!?")).cast("long").alias("n_stops"), F.regexp_count(text, F.lit(f"[{SYMBOLS}]+")).cast("long").alias("n_symbol_runs"))
+    counted = docs.select(*keep, text.alias("_cf_text"), words(text).alias("_cf_w"), lines.alias("_cf_l"), (F.length(text) - number(r"[\x20\x09-\x0D]")).alias("word_chars"), number(f"[{SYMBOLS}]").alias("n_symbols"), number("[.!?]").alias("n_stops"), number(f"[{SYMBOLS}]+").alias("n_symbol_runs"))
+    counted = with_repeated_words(counted, "_cf_w", "n_repeat_words")
     n_lines, distinct = F.size("_cf_l"), F.size(F.array_distinct("_cf_l"))
     counted = counted.select(
         *keep,
@@ -72,7 +72,7 @@ def signals(docs: DataFrame, keep: list[str]) -> DataFrame:
         "word_chars",
         "n_symbols",
         (n_lines - distinct).cast("long").alias("n_dup_lines"),
-        let(F.col("_cf_w"), repeated_words).alias("n_repeat_words"),
+        "n_repeat_words",
         n_lines.cast("long").alias("n_lines"),
         "n_stops",
         "n_symbol_runs",
@@ -91,14 +91,15 @@ def votes() -> dict[str, Column]:
     return {
         "symbols": vote(density < 0.01, density > 0.05),
         "symbol_runs": vote(runs < 0.05, runs > 0.15),
-        "lines": vote(never, lines > 0.3),
+        "lines": vote(never, (F.col("n_dup_lines") > 1) & (lines > 0.3)),
         "repeats": vote(never, repeats > 0.35),
         "word_length": vote(mean.between(3, 7), (mean < 2) | (mean > 14)),
         "stops": vote(stops.between(0.01, 0.4), (stops < 0.003) | (stops > 0.8)),
     }
 
 
-#: log P(vote | good) - log P(vote | bad) by rule and vote, and the log odds of the share of good documents.
+#: The log odds of the share of good documents, and log P(vote | good) - log P(vote | bad) by rule and
+#: vote; to abstain says nothing.
 Model = tuple[float, dict[str, dict[int, float]]]
 
 
@@ -120,7 +121,7 @@ def fit(voted: DataFrame) -> Model:
                 good[k][v] += n * p
                 bad[k][v] += n * (1 - p)
         ratio = {k: {v: math.log(good[k][v] / (n_good + 2)) - math.log(bad[k][v] / (n_bad + 2)) for v in (-1, 0, 1)} for k in RULES}
-        model = (math.log(n_good / n_bad), {k: {1: max(0.0, r[1]), 0: r[0], -1: min(0.0, r[-1])} for k, r in ratio.items()})
+        model = (math.log(n_good / n_bad), {k: {1: max(0.0, r[1]), 0: 0.0, -1: min(0.0, r[-1])} for k, r in ratio.items()})
     return model
 
 
