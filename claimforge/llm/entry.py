@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, quality
+from . import decontam, lines, mixing, near, quality
 from .common import table
 
 
@@ -12,13 +12,21 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.link(table(spark, sf_dir, "documents"))
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op7_quality, op10_lines)}
+QUERIES = {f.__name__: f for f in (op4_mixing, op5_decontam, op7_quality, op8_near, op10_lines)}
 ORACLES = {"op4_mixing": mixing.ORACLE, "op10_lines": lines.ORACLE}

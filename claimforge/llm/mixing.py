@@ -105,6 +105,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     return apply(slim, decide(slim, weights, max_epochs)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The rows of docs that the mix takes, with size, source_size, target and taken; texts are not shuffled.
+    Columns of docs with one of these names give way."""
+    decided = decide(cut(sized(docs, seed)), weights, max_epochs)
+    added = ("size", "source_size", "target", "taken")
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.select(F.struct(*docs.columns).alias("_cf_row"), "source", size.alias("size"), draw("doc_id", seed).alias("key"))
+    return apply(rows, decided).filter("taken > 0").select(*(F.col("_cf_row")[c].alias(c) for c in docs.columns if c not in added), *added)
+
+
 def decide(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """One row per source, written, so that joins with it are planned from its size."""
     plan = written(source_plan(slim, weights, max_epochs), "sources")
