@@ -114,7 +114,7 @@ class _Graph:
         named = wanted.join(self.nodes.select("node", "name"), "node")
         chosen = named.join(self.docs.filter("name is not null").select("name", "doc_id"), "name").groupBy("node").agg(F.min("doc_id").alias("w_id"), F.any_value("name").alias("w_name"))
         chosen = written(chosen, "chosen")
-        texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text", "w_name")
+        texts = docs.select("doc_id", "text").join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text", "w_name")
         self.sets = cut(texts.mapInArrow(_sets(k), "node long, items binary").dropDuplicates(["node"]))
 
     def links(self, pairs: DataFrame) -> DataFrame:
