@@ -45,7 +45,8 @@ def covered(docs: DataFrame) -> DataFrame:
 def _applied(docs: DataFrame) -> DataFrame:
     gone = written(covered(docs), "lines")
     named = docs.select(F.struct(*docs.columns).alias("_cf_row"), "doc_id", "text", F.xxhash64("text").alias("row"))
-    joined = named.join(gone, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("row") == F.col("d_row")), "left")
+    # Always a merge join: the plan, and so its disk, is the same at every size.
+    joined = named.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("row") == F.col("d_row")), "left")
     lines = _lines(F.col("text"))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i))
     return joined.select("_cf_row", "doc_id", F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(left, "\n")).alias("left"), F.size(lines).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
