@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, lines, mixing, near, quality, urls, warc
+from . import decontam, html, lines, mixing, near, quality, substrings, urls, warc
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.passages(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_urls, op3_html, op4_mixing, op5_decontam, op7_quality, op8_near, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_urls, op3_html, op4_mixing, op5_decontam, op6_substrings, op7_quality, op8_near, op10_lines)}
 ORACLES = {"op4_mixing": mixing.ORACLE, "op10_lines": lines.ORACLE}
