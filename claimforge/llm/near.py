@@ -32,8 +32,10 @@ from .common import cut, written
 from .components import components
 from .kernels import U, MinHash, Words, document_set, mixed, set_name, slices
 
-COORDINATES, MATCHES, SEED = 64, 36, 8
+COORDINATES, MATCHES, SEED = 48, 25, 8
 SHINGLE, THRESHOLD = 2, 80
+#: Bits of the table that tells which documents' sets are needed.
+TABLE_BITS = 23
 
 
 def misses(coordinates: int = COORDINATES, matches: int = MATCHES, similarity: float = THRESHOLD / 100) -> float:
@@ -68,14 +70,18 @@ def signed(docs: DataFrame, k: int = SHINGLE, coordinates: int = COORDINATES, se
     return docs.select("doc_id", "text").mapInArrow(_sign(k, coordinates, seed), f"doc_id {kind}, n_shingles long, name binary, keys array<long>")
 
 
-def _sets(k: int):
+def _sets(k: int, bits: np.ndarray):
+    """name and items of the sets of documents whose place in the bit table is set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            place = batch.column("place").to_numpy()
+            wanted = (bits[place >> 6] >> (place & 63).astype(U)) & U(1)
+            for part in slices(batch.filter(pa.array(wanted.astype(bool))), "text"):
                 words = Words(part.column("text"))
                 items = [document_set(words.hash[a:b], k) for a, b in zip(words.ptr, words.ptr[1:], strict=False)]
-                meant = pa.array([set_name(x) == n for x, n in zip(items, part.column("w_name").to_pylist(), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([x.tobytes() for x in items], pa.binary())], ["node", "items"]).filter(meant)
+                names = [set_name(x) if len(x) else None for x in items]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([x.tobytes() for x in items], pa.binary())], ["name", "items"])
 
     return run
 
@@ -99,7 +105,7 @@ class _Graph:
     """The distinct sets, their prefix postings, and the test of a pair."""
 
     def __init__(self, docs: DataFrame, k: int, threshold: int, coordinates: int, matches: int, seed: int):
-        self.threshold, self.matches = threshold, matches
+        self.texts, self.k, self.threshold, self.matches = docs.select("doc_id", "text"), k, threshold, matches
         self.docs = cut(signed(docs, k, coordinates, seed))
         distinct = self.docs.filter("name is not null").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys"))
         self.nodes = cut(distinct.withColumn("node", F.monotonically_increasing_id()))  # the numbers are fixed by the checkpoint
@@ -110,22 +116,30 @@ class _Graph:
         places = coordinates - matches + 1 - (coordinates - F.size("s"))
         prefix = mine.filter(places > 0).select("node", "weight", F.explode(F.slice("s", F.lit(1), F.greatest(places, F.lit(1)))).alias("p"))
         self.prefix = cut(prefix.select("node", "weight", F.col("p.key").alias("key")))
-        wanted = written(self.prefix.select("node").distinct(), "wanted")
-        named = wanted.join(self.nodes.select("node", "name"), "node")
-        chosen = named.join(self.docs.filter("name is not null").select("name", "doc_id"), "name").groupBy("node").agg(F.min("doc_id").alias("w_id"), F.any_value("name").alias("w_name"))
-        chosen = written(chosen, "chosen")
-        texts = docs.select("doc_id", "text").join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text", "w_name")
-        self.sets = cut(texts.mapInArrow(_sets(k), "node long, items binary").dropDuplicates(["node"]))
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """name and items of the sets of the documents ids (column id), and of a few others.
+
+        The ids are told apart by a table of 2**TABLE_BITS bits (2 MB at most), so that no text is
+        shuffled; when more and more ids fill the table, more sets than needed are made, no fewer."""
+        place = F.pmod(F.xxhash64("id"), F.lit(1 << TABLE_BITS))
+        word = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("b")).toArrow()
+        bits = np.zeros(1 << (TABLE_BITS - 6), np.int64)
+        bits[word["w"].to_numpy()] = word["b"].to_numpy()
+        texts = self.texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << TABLE_BITS)).alias("place"), "text")
+        return texts.mapInArrow(_sets(self.k, bits.view(U)), "name binary, items binary")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) those that agree on enough coordinates and whose full sets are similar enough."""
-        side = lambda p: self.nodes.select(F.col("node").alias(p), F.col("n").alias(f"{p}_n"), F.col("keys").alias(f"{p}_keys"))
+        side = lambda p: self.nodes.select(F.col("node").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("n", "keys", "name", "first_id")))
         sized = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
         small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
         agree = F.size(F.array_intersect("a_keys", "b_keys"))
-        met = cut(sized.filter((100 * small >= self.threshold * large) & (agree >= self.matches)).select("a", "b"))
-        items = lambda p: self.sets.select(F.col("node").alias(p), F.col("items").alias(f"{p}_items"))
-        return cut(met.join(items("a"), "a").join(items("b"), "b").mapInArrow(_confirmed(self.threshold), "a long, b long"))
+        met = cut(sized.filter((100 * small >= self.threshold * large) & (agree >= self.matches)).select("a", "b", "a_name", "b_name", "a_first_id", "b_first_id"))
+        items = lambda p: self.sets(met.select(F.col(f"{p}_first_id").alias("id"))).select(F.col("name").alias(f"{p}_name"), F.col("items").alias(f"{p}_items"))
+        first = met.select("a", "b", "a_name", "b_name").join(items("a").hint("merge"), "a_name").select("a", "b", "b_name", "a_items")
+        both = first.join(items("b").hint("merge"), "b_name").select("a", "b", "a_items", "b_items")
+        return cut(both.mapInArrow(_confirmed(self.threshold), "a long, b long").distinct())
 
     def labels(self) -> DataFrame:
         """node and label for every node that is linked."""
@@ -141,8 +155,8 @@ class _Graph:
         member = cut(member.join(open_keys, "key").join(centres, "key").filter("node <> b").select("key", "node", "label"))
         other = member.select("key", F.col("node").alias("b"), F.col("label").alias("b_label"))
         rest = member.withColumnRenamed("node", "a").join(other, "key").filter("a < b and label <> b_label").select("a", "b")
-        more = self.links(rest)
-        return components(found.unionByName(more))
+        rest = cut(rest.distinct())
+        return labels if rest.isEmpty() else components(found.unionByName(self.links(rest)))
 
 
 def link(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, coordinates: int = COORDINATES, matches: int = MATCHES, seed: int = SEED) -> DataFrame:
