@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, lines, mixing, near, quality, substrings, urls, warc
+from . import decontam, html, lines, lm, mixing, near, quality, substrings, urls, warc
 from .common import table
 
 
@@ -40,9 +40,13 @@ def op8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.link(table(spark, sf_dir, "documents"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_urls, op3_html, op4_mixing, op5_decontam, op6_substrings, op7_quality, op8_near, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_urls, op3_html, op4_mixing, op5_decontam, op6_substrings, op7_quality, op8_near, op9_lm, op10_lines)}
 ORACLES = {"op4_mixing": mixing.ORACLE, "op10_lines": lines.ORACLE}
