@@ -1,4 +1,6 @@
 """Named queries over the driver tables and their DuckDB twins."""
 
-QUERIES = {}
-ORACLES = {}
+from . import tabular, textual
+
+QUERIES = tabular.QUERIES | textual.QUERIES
+ORACLES = tabular.ORACLES | textual.ORACLES
