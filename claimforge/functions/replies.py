@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .keywords import numbering_removed
 from .text import no_ws, split_clean, strip
@@ -41,7 +42,7 @@ def tolerant_json(reply: Column, first: str = "object") -> Column:
     return F.coalesce(*(F.try_parse_json(f(t)) for t in tries for f in (lambda c: c, mended)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def python_literal_json(replies: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """X28, last arm: replies written as Python literals, as JSON; null if they aren't. For leftovers only."""
     import ast
