@@ -9,8 +9,9 @@ lists are skipped: their agreements are counted on the signatures of the pairs t
 
 Equal sets are one node from the start. In a list that many sets share, first the others are compared
 with one centre, the set whose coordinate values are shared most (the text that copies were made from);
-then only sets that still belong to different components are paired. So groups of copies give stars,
-not all pairs, and no link between different components is lost. Links are confirmed on the full sets.
+then only sets that still belong to different components are paired, by an exact prefix join (rest()).
+So groups of copies give stars, not all pairs, and no link between different components is lost. Links
+are confirmed on the full sets.
 
 Edge cases: null or empty text, or text without words, has an empty set and is linked with nothing;
 fewer words than a shingle make one shingle of them all; repeated rows are equal sets; the component of
@@ -101,6 +102,25 @@ def _confirmed(threshold: int):
     return run
 
 
+def _profile(threshold: int):
+    """Of a set a and its centre b: size, the shingles that b lacks, and as many of the others, in order, as
+    can be in a prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, added, common = [], [], []
+            for x, y in zip(batch.column("a_items"), batch.column("b_items"), strict=True):
+                a, b = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
+                has = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+                extra = a[~has]
+                n.append(len(a))
+                added.append(extra.view(np.int64))
+                common.append(a[has][: max(0, len(a) - (-(-len(a) * threshold // 100)) + 1 - len(extra))].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int64()), pa.array(added, pa.list_(pa.int64())), pa.array(common, pa.list_(pa.int64()))], ["a", "b", "n", "added", "common"])
+
+    return run
+
+
 class _Graph:
     """The distinct sets, their prefix postings, and the test of a pair."""
 
@@ -129,33 +149,59 @@ class _Graph:
         texts = self.texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << TABLE_BITS)).alias("place"), "text")
         return texts.mapInArrow(_sets(self.k, bits.view(U)), "name binary, items binary")
 
+    def with_items(self, pairs: DataFrame) -> DataFrame:
+        """The sets a_items and b_items of pairs (a, b)."""
+        side = lambda p: self.nodes.select(F.col("node").alias(p), F.col("name").alias(f"{p}_name"), F.col("first_id").alias(f"{p}_id"))
+        named = cut(pairs.join(side("a"), "a").join(side("b"), "b"))
+        items = lambda p: self.sets(named.select(F.col(f"{p}_id").alias("id"))).select(F.col("name").alias(f"{p}_name"), F.col("items").alias(f"{p}_items")).hint("merge")
+        first = named.select("a", "b", "a_name", "b_name").join(items("a"), "a_name").select("a", "b", "b_name", "a_items")
+        return first.join(items("b"), "b_name").select("a", "b", "a_items", "b_items")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) those that agree on enough coordinates and whose full sets are similar enough."""
-        side = lambda p: self.nodes.select(F.col("node").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("n", "keys", "name", "first_id")))
+        side = lambda p: self.nodes.select(F.col("node").alias(p), F.col("n").alias(f"{p}_n"), F.col("keys").alias(f"{p}_keys"))
         sized = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
         small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
         agree = F.size(F.array_intersect("a_keys", "b_keys"))
-        met = cut(sized.filter((100 * small >= self.threshold * large) & (agree >= self.matches)).select("a", "b", "a_name", "b_name", "a_first_id", "b_first_id"))
-        items = lambda p: self.sets(met.select(F.col(f"{p}_first_id").alias("id"))).select(F.col("name").alias(f"{p}_name"), F.col("items").alias(f"{p}_items"))
-        first = met.select("a", "b", "a_name", "b_name").join(items("a").hint("merge"), "a_name").select("a", "b", "b_name", "a_items")
-        both = first.join(items("b").hint("merge"), "b_name").select("a", "b", "a_items", "b_items")
-        return cut(both.mapInArrow(_confirmed(self.threshold), "a long, b long").distinct())
+        met = cut(sized.filter((100 * small >= self.threshold * large) & (agree >= self.matches)).select("a", "b"))
+        return cut(self.with_items(met).mapInArrow(_confirmed(self.threshold), "a long, b long").distinct())
+
+    def rest(self, labels: DataFrame, centres: DataFrame) -> DataFrame:
+        """Pairs that may still link different components: they share a list, and neither is its centre.
+
+        Their sets are ordered by one rule for each centre: shingles that the centre lacks first, rare ones
+        before shared ones, then those it has. Linked sets share a shingle so early in both that enough
+        can follow (the positional filter of exact prefix joins). A text that lost its link to the centre by
+        its own changes begins with these changes, and so meets almost nothing. Members of the
+        centre's own component are compared with the others only, never with each other."""
+        t = self.threshold
+        label = labels.select(F.col("node").alias("l_node"), "label")
+        marked = self.prefix.join(label, F.col("node") == F.col("l_node"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        open_keys = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+        c_label = label.select(F.col("l_node").alias("c_node"), F.col("label").alias("c_label"))
+        member = marked.join(open_keys, "key").join(centres, "key").filter("node <> b").select(F.col("node").alias("a"), "b", "label").distinct()
+        member = cut(member.join(c_label, F.col("b") == F.col("c_node"), "left").select("a", "b", "label", (F.col("label") != F.coalesce("c_label", "b")).alias("other")))
+        profile = cut(self.with_items(member.select("a", "b")).mapInArrow(_profile(t), "a long, b long, n long, added array<long>, common array<long>").dropDuplicates(["a", "b"]))
+        added = profile.select("a", "b", F.explode("added").alias("token"))
+        ranked = added.join(added.groupBy("b", "token").agg(F.count("*").alias("f")), ["b", "token"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("s"))
+        first = ranked.select("a", "b", F.posexplode("s").alias("at", "v")).select("a", "b", "at", "v.token")
+        then = profile.select("a", "b", F.size("added").alias("m"), F.posexplode("common").alias("p", "token")).select("a", "b", (F.col("m") + F.col("p")).alias("at"), "token")
+        sizes = profile.select("a", "b", "n").join(member, ["a", "b"])
+        rows = first.unionByName(then).join(sizes, ["a", "b"]).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * t / 100))
+        left = rows.filter("other").select("b", "token", F.col("a").alias("x"), F.col("at").alias("x_at"), F.col("n").alias("x_n"), F.col("label").alias("x_label"))
+        right = rows.select("b", "token", F.col("a").alias("y"), F.col("at").alias("y_at"), F.col("n").alias("y_n"), F.col("label").alias("y_label"))
+        can = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) * (100 + t) >= t * (F.col("x_n") + F.col("y_n"))
+        found = left.join(right.hint("merge"), ["b", "token"]).filter((F.col("x_label") != F.col("y_label")) & can)
+        return cut(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
     def labels(self) -> DataFrame:
         """node and label for every node that is linked."""
         key = self.prefix
-        centres = key.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("b"))
+        centres = cut(key.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("b")))
         stars = key.join(centres, "key").select(F.col("node").alias("a"), "b").filter("a <> b")
         found = self.links(stars)
         labels = components(found)
-        # What is left: members of one list in different components, but those a centre was compared with.
-        label = labels.select(F.col("node").alias("l_node"), "label")
-        member = key.join(label, F.col("node") == F.col("l_node"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        open_keys = member.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-        member = cut(member.join(open_keys, "key").join(centres, "key").filter("node <> b").select("key", "node", "label"))
-        other = member.select("key", F.col("node").alias("b"), F.col("label").alias("b_label"))
-        rest = member.withColumnRenamed("node", "a").join(other, "key").filter("a < b and label <> b_label").select("a", "b")
-        rest = cut(rest.distinct())
+        rest = self.rest(labels, centres)
         return labels if rest.isEmpty() else components(found.unionByName(self.links(rest)))
 
 
