@@ -157,3 +157,11 @@ def archived(pages: DataFrame, path: str | None = None) -> DataFrame:
     revisits = found.filter("record_type = 'revisit'").join(targets, (F.col("refers_to") == F.col("t_id")) & (F.col("payload_digest") == F.col("t_digest")), "left")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return found.filter("record_type = 'response'").select(columns).unionByName(revisits.withColumn("payload_bytes", F.col("t_bytes")).select(columns))
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN strlen(h) >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(h) >= 100 AND page_id > first THEN first END AS refers_to FROM p
+"""
