@@ -188,9 +188,10 @@ def test_attention_gradient_and_windows():
     for k in ("members", "classes", "distances"):
         net.params[k] = rnd.normal(0, 0.3, net.params[k].shape).astype(np.float32)
     net.params = {k: v.astype(np.float64) for k, v in net.params.items()}
+    net.member_bias, net.class_bias = net.member_bias.astype(np.float64), net.class_bias.astype(np.float64)
     x, y = (rnd.integers(0, 40, (3, lm.WINDOW)) for _ in range(2))
     rows = np.zeros_like(x)
-    rows[2, 20:] = -1
+    rows[2, 15:] = -1
 
     def loss():
         _, mixed = net.head(x, rows, lm.WINDOW)
