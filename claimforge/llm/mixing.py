@@ -62,8 +62,9 @@ def source_plan(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
         .withColumn("cap_before", F.coalesce(F.sum("cap").over(by_room), F.lit(0)))
         .withColumn("weight_before", F.coalesce(F.sum("weight").over(by_room), F.lit(0)))
         .withColumn("level", level)
-        .withColumn("open_level", F.when(F.col("cap") > F.col("level") * F.col("weight"), F.col("level")))
-        .withColumn("water", F.min("open_level").over(every))
+        # The level before the first source, in that order, that it doesn't fill.
+        .withColumn("open", F.when(F.col("cap") > F.col("level") * F.col("weight"), F.struct(F.col("cap") / F.col("weight"), "rank")))
+        .withColumn("water", F.min_by("level", "open").over(every))
         .withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(F.col("water") * F.col("weight"), F.col("cap").cast("double"))))
         .withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
         .withColumn("whole", F.floor("ratio"))
@@ -138,7 +139,7 @@ r AS (SELECT *, (sum(source_size) OVER ())::DOUBLE AS total, (sum(weight) OVER (
          coalesce(sum(cap) OVER b, 0)::BIGINT AS cap_before, coalesce(sum(weight) OVER b, 0)::BIGINT AS weight_before
       FROM w WINDOW b AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT *, (total - cap_before) / (weight_all - weight_before) AS level FROM r),
-u AS (SELECT *, min(CASE WHEN cap > level * weight THEN level END) OVER () AS water FROM v),
+u AS (SELECT *, (SELECT level FROM v WHERE cap > level * weight ORDER BY cap / weight, rank LIMIT 1) AS water FROM v),
 t AS (SELECT source, source_size, least(cap::DOUBLE, coalesce(water * weight, cap::DOUBLE)) AS target FROM u),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio FROM t),
 q AS (SELECT *, floor(ratio)::BIGINT AS whole, (ratio - floor(ratio)) * source_size AS need FROM p),

@@ -138,17 +138,23 @@ def posterior(model: Model, by: dict[str, Column]) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
+def judged(docs: DataFrame, keep: list[str], threshold: float) -> DataFrame:
+    """The columns in keep, the counts, base_failed, quality (the posterior) and kept.
+
+    The counts are cut off first: the planner would repeat their expressions in what uses them."""
+    counted = cut(signals(docs, keep))
+    p = posterior(fit(counted.select(*(v.alias(k) for k, v in votes().items()))), votes())
+    return counted.withColumns({"quality": p, "kept": ~F.col("base_failed") & (p >= threshold)})
+
+
 def judge(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the counts, base_failed, kept and the posterior of every document."""
-    counted = cut(signals(docs, ["doc_id"]))
-    model = fit(counted.select(*(v.alias(k) for k, v in votes().items())))
-    p = posterior(model, votes())
-    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (p >= threshold)).alias("kept"), p.alias("quality"))
+    return judged(docs, ["doc_id"], threshold).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
 def kept(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows and columns of docs that judge() keeps; the texts are not shuffled."""
-    model = fit(signals(docs, []).select(*(v.alias(k) for k, v in votes().items())))
-    named = docs.select(F.struct(*docs.columns).alias("_cf_row"), "text")
-    judged = signals(named, ["_cf_row"]).filter(~F.col("base_failed") & (posterior(model, votes()) >= threshold))
-    return judged.select("_cf_row.*")
+    """The rows and columns of docs that judge() keeps; rows equal in doc_id and text are judged alike."""
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("_cf_hash"))
+    gone = judged(named, ["doc_id", "_cf_hash"], threshold).filter("not kept").select(F.col("doc_id").alias("_cf_id"), "_cf_hash").distinct()
+    # Always a merge join: the plan, and so its disk, is the same at every size.
+    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_cf_id")) & (F.xxhash64("text") == F.col("_cf_hash")), "left_anti")

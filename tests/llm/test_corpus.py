@@ -35,7 +35,7 @@ def test_quality_counts(spark):
 def test_quality_equals_plain_expectation_maximisation(spark, tables):
     """Accuracies from the vote patterns, by a plain loop over documents; and held against the labels."""
     source = spark.read.parquet(f"{tables}/documents.parquet")
-    voted = [tuple(r) for r in quality.signals(source, ["doc_id"]).select("doc_id", *(v.alias(k) for k, v in quality.votes().items())).collect()]
+    voted = [tuple(r) for r in quality.cut(quality.signals(source, ["doc_id"])).select("doc_id", *(v.alias(k) for k, v in quality.votes().items())).collect()]
     share, table = 0.0, {k: {1: math.log(4), 0: 0.0, -1: -math.log(4)} for k in quality.RULES}
 
     def posterior(votes):
@@ -49,7 +49,6 @@ def test_quality_equals_plain_expectation_maximisation(spark, tables):
             b = {v: 1 + sum(1 - x for x, r in zip(p, voted) if r[i + 1] == v) for v in (-1, 1)}
             ratio = {v: math.log(g[v] / (good + 2)) - math.log(b[v] / (bad + 2)) for v in (-1, 1)}
             table[k] = {1: max(0.0, ratio[1]), 0: 0.0, -1: min(0.0, ratio[-1])}
-            continue
         share = math.log(good / bad)
     want = {v[0]: posterior(v[1:]) for v in voted}
     got = quality.judge(source).collect()
