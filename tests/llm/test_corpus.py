@@ -125,7 +125,8 @@ def test_fuzzy_passages(spark):
     got = {(r.doc_id, r.source_doc_id): r for r in substrings.passages(docs(spark, texts)).collect()}
     assert set(got) == {(2, 1), (3, 1), (6, 5)}
     assert (got[2, 1].start_word, got[2, 1].end_word, got[2, 1].source_start, got[2, 1].equal_words) == (7, 87, 40, 80)
-    assert abs(got[3, 1].start_word - 5) <= 1 and abs(got[3, 1].end_word - 86) <= 1 and got[3, 1].equal_words >= 70
+    # The first and the last but one word of the copy are edited: one word beyond an edit doesn't pay for it.
+    assert (got[3, 1].start_word, got[3, 1].end_word, got[3, 1].equal_words) == (6, 84, 72)
     assert got[6, 5].equal_words == 900 and got[6, 5].end_word == 903
     assert rnd and substrings.passages(docs(spark, [])).collect() == []
 
