@@ -54,8 +54,6 @@ def test_pointer_jumping_keeps_the_chain_only(spark):
 
 
 def brute_rule(url):
-    from urllib.parse import unquote  # noqa: F401
-
     host = path = ""
     if url and "://" in url:
         rest = url.split("://", 1)[1]
