@@ -9,8 +9,8 @@ slot is predicted in two steps (class, then member) from
 * one causal self-attention head over the last WINDOW ids, trained to correct them: keys, values and
   queries are vectors of the ids, distances have a bias, and ids of other documents are masked.
 
-Training is data-parallel: each task takes seeded windows of every training document (one, and one more
-for each WINDOW_EVERY words), runs Adam over them from one start, and the tasks' weights are averaged.
+Training is data-parallel: the windows of WINDOW ids that tile every training document, the shorter last
+one included, go in a seeded order through Adam, each task from one start; the tasks' weights are averaged.
 Scoring goes over windows of WINDOW ids, each HALF ids after the one before; the last HALF ids are
 scored, so each id is scored once and sees the ids before it, WINDOW - HALF or more of them or all.
 
@@ -34,15 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, written
-from .kernels import U, Words, mixed, slices
+from .kernels import U, Words, slices
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to that vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CLASSES = 32
 SLOTS = CLASSES * CLASSES
-WINDOW, HALF, WIDTH = 24, 16, 16
-WINDOW_EVERY = 400
+WINDOW, HALF, WIDTH = 32, 16, 16
 BATCH, RATE, SEED = 64, 0.01, 9
 FREQUENT = 1 << 18
 PAIR_SMOOTH = 20.0
@@ -200,13 +199,20 @@ class Attention:
         classes = self._soft(mixed @ self.params["classes"].T + self.class_bias[before])
         kind = after // CLASSES
         members = self.member_bias[before, kind]
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            if len(own := order[edges[c] : edges[c + 1]]):
-                members[own] += mixed[own] @ self.params["members"][c * CLASSES : (c + 1) * CLASSES].T
+        order, blocks = self._by_class(kind)
+        mixed, logits = mixed[order], np.empty_like(members)
+        for own, c in blocks:
+            logits[own] = mixed[own] @ self.params["members"][c].T
+        members[order] += logits
         return classes, self._soft(members)
 
+    @staticmethod
+    def _by_class(kind: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+        """An order by class; and for each class found, its places in that order and its slots."""
+        order = np.argsort(kind.astype(np.uint8), kind="stable")
+        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
+        return order, [(slice(edges[c], edges[c + 1]), slice(c * CLASSES, (c + 1) * CLASSES)) for c in range(CLASSES) if edges[c] < edges[c + 1]]
+
     def mixed(self, inputs: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """As head() for the last HALF positions, without keeping the weights."""
         p, b = self.params, WINDOW - HALF
@@ -256,31 +262,36 @@ class Attention:
         """Of the mean loss over the positions with rows >= 0."""
         p = self.params
         weights, mixed = self.head(inputs, rows, WINDOW)
-        flat = mixed.reshape(-1, WIDTH)
-        before, after = inputs.reshape(-1), targets.reshape(-1)
+        # In the order of the targets' classes, so that each class is one product.
+        order, blocks = self._by_class(targets.reshape(-1) // CLASSES)
+        flat, before, after = mixed.reshape(-1, WIDTH)[order], inputs.reshape(-1)[order], targets.reshape(-1)[order]
         classes, members = self.output(flat, before, after)
-        kind, at = after // CLASSES, np.arange(len(after))
-        live = (rows.reshape(-1) >= 0).astype(np.float32)[:, None]
-        classes[at, kind] -= 1
+        at = np.arange(len(after))
+        live = (rows.reshape(-1)[order] >= 0).astype(np.float32)[:, None]
+        classes[at, after // CLASSES] -= 1
         members[at, after % CLASSES] -= 1
         scale = live / max(1.0, float(live.sum()))
         classes *= scale
         members *= scale
         g = {k: np.zeros_like(v) for k, v in p.items()}
         g["classes"] = classes.T @ flat
-        down = classes @ p["classes"]
-        for c in np.unique(kind):
-            own = kind == c
-            block = slice(c * CLASSES, (c + 1) * CLASSES)
-            g["members"][block] = members[own].T @ flat[own]
-            down[own] += members[own] @ p["members"][block]
+        sorted_down = classes @ p["classes"]
+        for own, c in blocks:
+            g["members"][c] = members[own].T @ flat[own]
+            sorted_down[own] += members[own] @ p["members"][c]
+        down = np.empty_like(sorted_down)
+        down[order] = sorted_down
         down = down.reshape(mixed.shape)
         v, k, q = p["values"][inputs], p["keys"][inputs], p["queries"][inputs]
-        np.add.at(g["values"], inputs, weights.transpose(0, 2, 1) @ down)
         dw = down @ v.transpose(0, 2, 1)
         ds = weights * (dw - (dw * weights).sum(2, keepdims=True))
-        np.add.at(g["queries"], inputs, ds @ k)
-        np.add.at(g["keys"], inputs, ds.transpose(0, 2, 1) @ q)
+        # Sums by slot, of the three tables at once.
+        order = np.argsort(inputs.reshape(-1).astype(np.uint16), kind="stable")
+        slot = inputs.reshape(-1)[order]
+        first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+        sums = np.add.reduceat(np.concatenate([weights.transpose(0, 2, 1) @ down, ds @ k, ds.transpose(0, 2, 1) @ q], 2).reshape(-1, 3 * WIDTH)[order], first, axis=0)
+        for i, name in enumerate(("values", "queries", "keys")):
+            g[name][slot[first]] = sums[:, i * WIDTH : (i + 1) * WIDTH]
         distance = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
         g["distances"] = np.bincount(np.maximum(distance, 0).reshape(-1), ds.sum(0).reshape(-1), WINDOW).astype(np.float32)
         return g
@@ -306,39 +317,30 @@ def new_model(vocabulary: bytes, end: int, id_counts: np.ndarray, pairs: np.ndar
     return model
 
 
-def _windows(words: Words, subwords: Subwords, slot: np.ndarray, seeds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Inputs, row marks (-1: no position) and targets of the training windows of each row: they begin at
-    seeded words, and only their words are cut into ids."""
-    end = int(slot[subwords.end])
-    count = np.diff(words.ptr)
-    each = 1 + count // WINDOW_EVERY
-    row = np.repeat(np.arange(len(count)), each)
-    draw = mixed(seeds.astype(U)[row] + np.arange(len(row), dtype=U) - np.repeat(np.cumsum(each) - each, each).astype(U))
-    start = (draw % np.maximum(1, count[row] - WINDOW // 2).astype(U)).astype(np.int64)
-    for r, at in zip(row.tolist(), start.tolist(), strict=True):
-        a, b = words.ptr[r] + at, min(words.ptr[r] + at + WINDOW, words.ptr[r + 1])
-        own = [i for x in subwords.of(words, words.hash[a:b], np.arange(a, b)) for i in x]
-        if b == words.ptr[r + 1]:
-            own.append(subwords.end)
-        first = subwords.of(words, words.hash[a - 1 : a], np.arange(a - 1, a))[0][-1] if at else subwords.end
-        ids = slot[[first, *own[:WINDOW]]]
-        full, x = len(ids) - 1, np.full((3, WINDOW), end)
-        x[0, :full], x[1], x[2, :full] = ids[:-1], -1, ids[1:]
-        x[1, :full] = 0
-        yield x[0], x[1], x[2]
+def _windows(slots: np.ndarray, ptr: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, row marks (-1: no position) and targets of the windows that tile each row of a stream."""
+    each = -(-np.diff(ptr) // WINDOW)
+    row = np.repeat(np.arange(len(each)), each)
+    at = (ptr[row] + WINDOW * (np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)))[:, None] + np.arange(WINDOW)
+    out = at >= ptr[row + 1][:, None]
+    at[out] = 0
+    inputs, targets = np.concatenate([[end], slots[:-1]])[at], slots[at]  # before a row stands the end mark of the last one
+    inputs[out] = targets[out] = end
+    return inputs, -out.astype(np.int64), targets
 
 
 def _train(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         subwords, net = Subwords(model.vocabulary), Attention(model.log_pairs)
+        end, random = int(model.slot[model.end]), np.random.Generator(np.random.PCG64(SEED))
         first, second = ({k: np.zeros_like(v) for k, v in net.params.items()} for _ in range(2))
-        steps, seen, waiting = 0, 0, []
+        steps, seen, waiting = 0, 0, None
 
-        def step() -> None:
+        def step(windows) -> None:
             nonlocal steps
             steps += 1
-            g = net.gradient(*(np.stack([w[i] for w in waiting]) for i in range(3)))
+            g = net.gradient(*windows)
             for k, p in net.params.items():
                 first[k] += 0.1 * (g[k] - first[k])
                 second[k] += 0.01 * (g[k] ** 2 - second[k])
@@ -346,15 +348,18 @@ def _train(shared):
 
         for batch in batches:
             for part in slices(batch, "text"):
-                words = Words(part.column("text"))
-                for w in _windows(words, subwords, model.slot, part.column("seed").to_numpy()):
-                    waiting.append(w)
-                    seen += 1
-                    if len(waiting) == BATCH:
-                        step()
-                        waiting = []
-        if waiting:
-            step()
+                s = Stream(part.column("text"), subwords)
+                s.expand()
+                found = _windows(model.slot[s.ids], s.ptr, end)
+                order = random.permutation(len(found[0]))
+                seen += len(order)
+                found = [x[order] if waiting is None else np.concatenate([w, x[order]]) for x, w in zip(found, waiting or found, strict=True)]
+                full = len(found[0]) // BATCH * BATCH
+                for a in range(0, full, BATCH):
+                    step([x[a : a + BATCH] for x in found])
+                waiting = [x[full:] for x in found]
+        if waiting is not None and len(waiting[0]):
+            step(waiting)
         if seen:
             flat = np.concatenate([net.params[k].reshape(-1) for k in sorted(net.params)]).astype(np.float64) * seen
             parts = [flat[a : a + CHUNK] for a in range(0, len(flat), CHUNK)]
@@ -429,8 +434,7 @@ def fitted(docs: DataFrame, pairs: DataFrame, vocabulary: bytes) -> SimpleNamesp
     table = folded.groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
     model = new_model(vocabulary, end, id_counts, np.stack([table[c].to_numpy() for c in ("a", "b", "n")], 1))
     shared = spark.sparkContext.broadcast(model)
-    seed = F.crc32(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.filter(~held_out(F.col("doc_id"))).select("text", seed.alias("seed"))
+    rows = docs.filter(~held_out(F.col("doc_id"))).select("text")
     schema = "chunk int, seen long, sums array<double>"
     sums = rows.mapInArrow(_train(shared), schema).repartition(32, "chunk").mapInArrow(_add, schema).toArrow()  # one row a chunk of the weights
     if sums.num_rows:

@@ -224,6 +224,23 @@ def test_attention_gradient_and_windows():
         assert abs(p.sum() - 1) < 1e-4 and abs(np.log(p[stream[i]]) - got[i]) < 1e-3
 
 
+def test_training_windows_tile_every_text():
+    """Each id of every text is a target once, after the id before it; and scoring keeps 16 ids before."""
+    import numpy as np
+    import pyarrow as pa
+
+    with open(lm.TOKENIZER, "rb") as file:
+        subwords = lm.Subwords(file.read())
+    rnd = random.Random(10)
+    s = lm.Stream(pa.array([" ".join(f"word{rnd.randrange(99)}" for _ in range(n)) for n in (0, 1, 31, 399, 5)] + [None]), subwords)
+    s.expand()
+    inputs, rows, targets = lm._windows(s.ids, s.ptr, subwords.end)
+    assert inputs.shape == rows.shape == targets.shape and inputs.shape[1] == lm.WINDOW == 32 and lm.WINDOW - lm.HALF == 16
+    assert targets[rows == 0].tolist() == s.ids.tolist()
+    assert inputs[rows == 0].tolist() == np.concatenate([[subwords.end], s.ids[:-1]]).tolist()
+    assert ((rows == 0).sum(1) > 0).all() and len(rows) == sum(-(-n // lm.WINDOW) for n in np.diff(s.ptr).tolist())
+
+
 def test_stages_and_pipeline(spark, tables):
     frame = spark.read.parquet(f"{tables}/documents.parquet")
     rows = {r.doc_id: r.text for r in frame.collect()}
