@@ -3,12 +3,16 @@
 The longest rule that fits a URL decides. URLs under allow rules train one character model, URLs under
 block rules another: variable-order Markov models (contexts of 0 to ORDER characters, each smoothed
 with the next shorter one). A URL without a rule is allowed if its log-likelihood difference per
-character reaches a threshold, calibrated for balanced accuracy on a fifth of the ruled URLs that the
-models have not seen. Counts are over all ruled URLs, in tables of 2**BITS hashed places an order, so
-the model has one size whatever the corpus; a table row is (class, place, count).
+character reaches a threshold, calibrated for balanced accuracy on a fifth of the ruled URLs with models
+of the other four fifths; the scores are those of models of all ruled URLs.
+
+Counts are exact: a gram is its ORDER + 1 bytes in one number, which is unique, and the grams of a lower
+order are its last bytes. What a character adds to a score depends on its gram only, so it is worked out
+by joins once a distinct gram, and then joined to the grams of each distinct URL.
 
 Edge cases: a null url or one without :// has empty host and path, fits no rule and is judged as the
-empty text; if a class has no URLs the threshold is 0 and all scores are 0 (allow); equal URLs get
+empty text; if a class has no URLs the threshold is 0 and all scores are 0 (allow); if only the four fifths lack one,
+the threshold is 0; equal URLs get
 equal verdicts; an empty table gives an empty result. Columns other than page_id and url are ignored.
 """
 
@@ -22,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .kernels import U, mixed
+from .common import cut, written
 
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-ORDER, BITS, SMOOTH = 4, 15, 2.0
-_STEP = U(0x9E3779B97F4A7C15)
-_PLACES = 2 * (ORDER + 1) << BITS
+ORDER, SMOOTH = 4, 2.0
+#: Fixed point of what a gram adds, so that sums don't depend on their order.
+POINT = 2.0**36
+#: Counts of block and allow URLs, without the calibration fifth and of all.
+COUNTS = ("block_fit", "allow_fit", "block_all", "allow_all")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -50,76 +55,68 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
     return split.withColumns({"rule": rule, "said": said})
 
 
-class _Grams:
-    """Places of every character's context and of context and character, for contexts of 0 to ORDER."""
-
-    def __init__(self, texts: list[str]):
-        pad = bytes(ORDER + 1)
-        coded = [t.encode() for t in texts]
-        data = np.frombuffer(b"".join(pad + t + b"\1" for t in coded), np.uint8).astype(U)
-        lens = np.array([len(t) + 1 for t in coded], np.int64)
-        self.ptr = np.cumsum(lens) - lens
-        self.lens = lens
-        at = np.arange(int(lens.sum())) + np.repeat(np.arange(1, len(lens) + 1) * (ORDER + 1), lens)
-        self.places = []
-        gram = np.zeros(len(at), U)
-        context = np.zeros(len(at), U)
-        for k in range(ORDER + 1):
-            if k:
-                context = context * _STEP + data[at - k]
-            gram = mixed(context) * _STEP + data[at] + U(1)
-            tag = U(k << BITS)
-            self.places.append(((mixed(context + U(k + 1)) >> U(64 - BITS)) + tag, (mixed(gram + U(k + 1)) >> U(64 - BITS)) + tag + U((ORDER + 1) << BITS)))
-
-    def logs(self, counts: np.ndarray) -> np.ndarray:
-        """Natural log-likelihood of every text."""
-        p = np.full(len(self.places[0][0]), 1 / 256)
-        for context, gram in self.places:
-            n = counts[context]
-            p = (np.minimum(counts[gram], n) + SMOOTH * p) / (n + SMOOTH)
-        return np.add.reduceat(np.log(p), self.ptr)
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found = np.zeros((2, _PLACES), np.int64)
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The grams of each text and how often; before a text stand zero bytes, after it one byte 1."""
+    pad = bytes(ORDER)
     for batch in batches:
-        allowed = batch.column("allowed").to_numpy(zero_copy_only=False).astype(bool)
-        texts = np.array(batch.column("text").to_pylist(), object)
-        for kind in (0, 1):
-            if len(own := texts[allowed == bool(kind)]):
-                for pair in _Grams(list(own)).places:
-                    for places in pair:
-                        found[kind] += np.bincount(places.astype(np.int64), minlength=_PLACES)
-    kind, place = np.nonzero(found)
-    for a in range(0, len(kind), 10_000):
-        k, p = kind[a : a + 10_000], place[a : a + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(found[k, p])], ["kind", "place", "n"])
-
-
-def _score(counts: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                grams = _Grams(batch.column("text").to_pylist())
-                ratio = (grams.logs(counts[1]) - grams.logs(counts[0])) / grams.lens
-                at = batch.schema.get_field_index("text")
-                yield pa.RecordBatch.from_arrays([pa.array(ratio) if i == at else batch.column(i) for i in range(batch.num_columns)], ["ratio" if i == at else n for i, n in enumerate(batch.schema.names)])
-
-    return run
-
-
-def model(judged: DataFrame) -> np.ndarray:
-    """Counts by class (0 block, 1 allow) and place: at most 2 * 2 * (ORDER + 1) * 2**BITS numbers."""
-    rows = judged.select((F.col("said") == "allow").alias("allowed"), F.concat("host", "path").alias("text"))
-    table = rows.mapInArrow(_count, "kind int, place int, n long").groupBy("kind", "place").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((2, _PLACES))
-    counts[table["kind"].to_numpy(), table["place"].to_numpy()] = table["n"].to_numpy()
-    return counts
+        for start in range(0, batch.num_rows, 4096):
+            part = batch.slice(start, 4096)
+            coded = [t.encode() for t in part.column("text").to_pylist()]
+            data = np.frombuffer(b"".join(pad + t + b"\1" for t in coded), np.uint8).astype(np.int64)
+            row = np.repeat(np.arange(len(coded)), [len(t) + 1 for t in coded])
+            at = np.arange(len(row)) + (row + 1) * ORDER
+            gram = sum(data[at - k] << 8 * k for k in range(ORDER + 1))
+            pair, times = np.unique((row << 8 * (ORDER + 1)) + gram, return_counts=True)
+            owner = pa.array(pair >> 8 * (ORDER + 1))
+            yield pa.RecordBatch.from_arrays([*(part.column(n).take(owner) for n in ("row", "said", "fit", "n")), pa.array(pair & (1 << 8 * (ORDER + 1)) - 1), pa.array(times.astype(np.int64))], ["row", "said", "fit", "n", "gram", "times"])
+
+
+def _last(gram: Column, size: int) -> Column:
+    """Its last size bytes."""
+    return gram.bitwiseAND(F.lit((1 << 8 * size) - 1).cast("long"))
+
+
+def counted(grams: DataFrame) -> DataFrame:
+    """gram and COUNTS of the ruled URLs."""
+    n = F.col("n") * F.col("times")
+    of = {f"{v}_{w}": F.sum(F.when((F.col("said") == v) & (F.col("fit") | F.lit(w == "all")), n).otherwise(0)) for w in ("fit", "all") for v in ("block", "allow")}
+    return written(grams.filter("said is not null").groupBy("gram").agg(*(of[c].alias(c) for c in COUNTS)), "grams")
+
+
+def added(needed: DataFrame, counts: DataFrame, totals: dict[str, int]) -> DataFrame:
+    """What every needed gram adds to the log-likelihood difference, by the two pairs of models (fit, all)."""
+    found = needed.select("gram", *(F.lit(1 / 256).alias(f"p_{c}") for c in COUNTS))
+    for k in range(ORDER + 1):
+        for kind, size, key in (("context", k, lambda g, k=k: _last(F.shiftright(g, 8), k)), ("own", k + 1, lambda g, k=k: _last(g, k + 1))):
+            if not size:
+                found = found.withColumns({f"{kind}_{c}": F.lit(totals[c]) for c in COUNTS})
+                continue
+            table = counts.groupBy(key(F.col("gram")).alias("key")).agg(*(F.sum(c).alias(f"{kind}_{c}") for c in COUNTS))
+            # One or two bytes: at most 2**16 rows.
+            found = found.withColumn("place", key(F.col("gram"))).join(F.broadcast(table) if size <= 2 else table, F.col("place") == F.col("key"), "left").drop("place", "key")
+        p = {c: (F.coalesce(f"own_{c}", F.lit(0)) + SMOOTH * F.col(f"p_{c}")) / (F.coalesce(f"context_{c}", F.lit(0)) + SMOOTH) for c in COUNTS}
+        found = found.select("gram", *(v.alias(f"p_{c}") for c, v in p.items()))
+    fixed = lambda w: F.round(F.log(F.col(f"p_allow_{w}") / F.col(f"p_block_{w}")) * POINT).cast("long").alias(w)
+    return written(found.select("gram", fixed("fit"), fixed("all")), "added")
+
+
+def scored(texts: DataFrame) -> tuple[DataFrame, bool]:
+    """host, path, said, fit, n, fit_ratio, ratio of every distinct URL; and whether the fit models have both classes."""
+    grams = texts.select("row", "said", "fit", "n", F.concat("host", "path").alias("text")).mapInArrow(_grams, "row long, said string, fit boolean, n long, gram long, times long")
+    counts = counted(grams)
+    totals = {c: v or 0 for c, v in counts.agg(*(F.sum(c).alias(c) for c in COUNTS)).first().asDict().items()}
+    values = added(grams.select("gram").distinct(), counts, totals)
+    total = lambda w: F.sum((F.col("times") * F.col(w)).cast("decimal(20,0)")).cast("double") / POINT
+    sums = grams.select("row", "gram", "times").join(values, "gram").groupBy("row").agg(total("fit").alias("fit_sum"), total("all").alias("all_sum"))
+    length = F.octet_length(F.concat("host", "path")) + 1
+    both = {w: totals[f"block_{w}"] > 0 and totals[f"allow_{w}"] > 0 for w in ("fit", "all")}
+    ratio = lambda w: (F.col(f"{w}_sum") / length if both[w] else F.lit(0.0))
+    return cut(texts.join(sums, "row").select("host", "path", "said", "fit", "n", ratio("fit").alias("fit_ratio"), ratio("all").alias("ratio"))), both["fit"]
 
 
 def threshold(scored: DataFrame) -> float:
-    """The ratio with the best balanced accuracy on (said, ratio); from counts in bins of 0.01."""
-    bins = scored.groupBy("said", F.round(F.greatest(F.least("ratio", F.lit(20.0)), F.lit(-20.0)) * 100).cast("int").alias("bin")).count().collect()  # at most 2 * 4001 rows
+    """The ratio with the best balanced accuracy on (said, ratio, n); from counts in bins of 0.01."""
+    bins = scored.groupBy("said", F.round(F.greatest(F.least("ratio", F.lit(20.0)), F.lit(-20.0)) * 100).cast("int").alias("bin")).agg(F.sum("n").alias("count")).collect()  # at most 2 * 4001 rows
     n = {v: sum(r["count"] for r in bins if r["said"] == v) for v in ("allow", "block")}
     if not n["allow"] or not n["block"]:
         return 0.0
@@ -131,12 +128,9 @@ def threshold(scored: DataFrame) -> float:
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, ratio of every page."""
     rows = cut(ruled(pages, rules))
-    labelled = rows.filter("said is not null")
-    fold = F.crc32(F.concat("host", "path").cast("binary")) % 5
-    counts = model(labelled.filter(fold != 0))
-    if not counts[0].any() or not counts[1].any():
-        counts[:] = 0
-    scored = lambda df, names: df.select(*names, F.concat("host", "path").alias("text")).mapInArrow(_score(counts), ", ".join(f"{n} {dict(df.dtypes)[n]}" for n in names) + ", ratio double")
-    least = threshold(scored(labelled.filter(fold == 0), ["said"]))
+    fit = F.crc32(F.concat("host", "path").cast("binary")) % 5 != 0
+    texts = rows.groupBy("host", "path").agg(F.first("said").alias("said"), F.count("*").alias("n")).withColumns({"fit": fit, "row": F.monotonically_increasing_id()})
+    found, both = scored(cut(texts))
+    least = threshold(found.filter("said is not null and not fit").select("said", "n", F.col("fit_ratio").alias("ratio"))) if both else 0.0
     verdict = F.coalesce("said", F.when(F.col("ratio") >= least, "allow").otherwise("block"))
-    return scored(rows, ["page_id", "host", "path", "rule", "said"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "ratio")
+    return rows.join(found.select("host", "path", "ratio"), ["host", "path"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "ratio")

@@ -84,6 +84,42 @@ def test_url_model_learns(spark):
     assert right / len(got) > 0.95
 
 
+def test_url_ratios_equal_exact_counts(spark):
+    """Ratios from plain dictionaries of all ruled URLs, of more distinct grams than a hashed table would tell apart."""
+    import math
+    import random
+    from collections import Counter
+
+    rnd = random.Random(3)
+    name = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789-é") for _ in range(n))
+    rows = [(i, f"http://{name(9)}.{('com', 'net', 'info')[i % 3]}/{('en', 'de', 'en')[i % 3]}/{name(30)}", "") for i in range(1500)] + [(9000, "http://a.com/en/1", ""), (9001, "http://a.com/en/1", ""), (9002, None, "")]
+    got = urls.judge(pages(spark, rows)).collect()
+    assert len(got) == len(rows)
+    counts = {"block": Counter(), "allow": Counter()}
+
+    def grams(r):
+        data = bytes(4) + (r.host + r.path).encode() + b"\1"
+        return [data[i - 4 : i + 1] for i in range(4, len(data))]
+
+    for r in got:
+        if r.rule is not None:
+            for g in grams(r):
+                for k in range(5):
+                    counts[r.verdict]["own", g[4 - k :]] += 1
+                    counts[r.verdict]["context", k, g[4 - k : 4]] += 1
+
+    def log(g, c):
+        p = 1 / 256
+        for k in range(5):
+            p = (c["own", g[4 - k :]] + urls.SMOOTH * p) / (c["context", k, g[4 - k : 4]] + urls.SMOOTH)
+        return math.log(p)
+
+    assert len({g for r in got for g in grams(r)}) > 2**15
+    for r in got:
+        own = grams(r)
+        assert abs(sum(log(g, counts["allow"]) - log(g, counts["block"]) for g in own) / len(own) - r.ratio) < 1e-8
+
+
 def test_main_text():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
     <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav><div class="cookie-notice">We use cookies</div>
