@@ -3,10 +3,10 @@
 The standard library's parser turns a page into a stream of events. Block elements cut it into lines;
 each line has its text, its number of tags and the element that holds it. Lines in menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments (by element, role, or
-class and id words) are furniture. For the others the text-to-tag ratio is smoothed with a Gaussian
+class and id words) are furniture. If there is an article or main element, all other lines in it are
+content, by this rule alone. On pages without one, the text-to-tag ratio is smoothed with a Gaussian
 and clustered by the threshold of its standard deviation; lines above it are content, and with them
-the lines of the same container (the article or main element if there is one), so that short
-paragraphs and headings inside a content region stay.
+the lines of the same container, so that short paragraphs and headings inside a content region stay.
 
 Edge cases: null or empty html gives an empty text; unclosed elements end with their parent or the page;
 a page cut off inside a tag loses that tag only; repeated rows give equal rows; an empty table gives an

@@ -133,6 +133,17 @@ def test_main_text():
     assert html.main_text(plain).startswith("Head\n\nA long") and html.main_text(plain).endswith("\n\nShort.")
 
 
+def test_ratio_alone_separates():
+    """No element or class name tells the link lists from the text; inside an article the element decides."""
+    links = "<ul>" + "".join(f'<li><a href="/{i}"><b>Item</b> <i>{i}</i></a></li>' for i in range(12)) + "</ul>"
+    paragraphs = [f"Paragraph {i} " + "with many words of plain running text " * 6 for i in range(4)]
+    inside = f"<div class=x1>{links}</div><div class=x2><h2>Head</h2>{''.join(f'<p>{p}</p>' for p in paragraphs)}<p>Short end.</p></div><div class=x3>{links}</div>"
+    wanted = ["Head", *(p.strip() for p in paragraphs), "Short end."]
+    assert html.main_text(f"<body>{inside}</body>").split("\n\n") == wanted
+    items = [f"Item {i}" for i in range(12)]
+    assert html.main_text(f"<body><article>{inside}</article></body>").split("\n\n") == items + wanted + items
+
+
 def brute_article(page):
     """Of the driver's page form: blocks of the article, tags cut out."""
     import html as entities
