@@ -60,15 +60,18 @@ def _sign(k: int, coordinates: int, seed: int):
                 at = np.cumsum(sizes > 0) * coordinates
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], at]).astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
                 names = pa.array([set_name(x) if len(x) else None for x in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes.astype(np.int64)), names, lists], ["doc_id", "n_shingles", "name", "keys"])
+                more = part.schema.names[2:]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes.astype(np.int64)), names, lists, *map(part.column, more)], ["doc_id", "n_shingles", "name", "keys", *more])
 
     return run
 
 
 def signed(docs: DataFrame, k: int = SHINGLE, coordinates: int = COORDINATES, seed: int = SEED) -> DataFrame:
-    """doc_id, n_shingles, name of the set (null if empty), and the signature as coordinate-value hashes."""
+    """doc_id, n_shingles, name of the set (null if empty), and the signature as coordinate-value hashes;
+    and the text's hash _cf_hash if docs has it."""
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_sign(k, coordinates, seed), f"doc_id {kind}, n_shingles long, name binary, keys array<long>")
+    more = [c for c in docs.columns if c == "_cf_hash"]
+    return docs.select("doc_id", "text", *more).mapInArrow(_sign(k, coordinates, seed), f"doc_id {kind}, n_shingles long, name binary, keys array<long>" + "".join(f", {c} long" for c in more))
 
 
 def _sets(k: int, bits: np.ndarray):
@@ -209,20 +212,38 @@ def link(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, coordina
     """doc_id, n_shingles, component_id, kept for every document.
 
     k: words in a shingle; threshold: per cent of shared shingles from which documents are linked."""
+    return _linked(docs, k, threshold, coordinates, matches, seed).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _linked(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, coordinates: int = COORDINATES, matches: int = MATCHES, seed: int = SEED) -> DataFrame:
+    """link() with named (the text has words) and, if docs has it, _cf_hash."""
     graph = _Graph(docs, k, threshold, coordinates, matches, seed)
     nodes = graph.nodes.select("name", "node", "first_id").join(graph.labels().withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left").withColumn("label", F.coalesce("label", "node"))
     ids = nodes.groupBy("label").agg(F.min("first_id").alias("component_id"))
     by_name = nodes.join(ids, "label").select(F.col("name").alias("n_name"), "component_id")
-    rows = graph.docs.select("doc_id", "n_shingles", "name").join(by_name, F.col("name") == F.col("n_name"), "left")
+    rows = graph.docs.drop("keys").join(by_name, F.col("name") == F.col("n_name"), "left")
     component = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    more = [c for c in graph.docs.columns if c == "_cf_hash"]
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("name").isNotNull().alias("named"), *more)
 
 
 def deduped(docs: DataFrame, **how) -> DataFrame:
-    """docs without the rows that link() doesn't keep. Of rows with one doc_id that are equal in all
-    columns one stays; rows without doc_id stay."""
-    gone = written(link(docs, **how).filter("not kept").select(F.col("doc_id").alias("g_id")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("g_id"), "left_anti")
+    """docs without the rows that link() doesn't keep; rows are told apart by doc_id and text. Of rows equal
+    in both one stays, and of near copies with one doc_id the one with the lowest hash; rows without
+    doc_id stay."""
+    hashed = docs.withColumn("_cf_hash", F.xxhash64("text"))
+    judged = cut(_linked(hashed.select("doc_id", "text", "_cf_hash"), **how).filter("doc_id is not null").groupBy("doc_id", "_cf_hash", "named", "kept").agg(F.count("*").alias("n")))
+    # Kept rows of one doc_id that have words are in one component.
+    first = judged.filter("kept and named").groupBy(F.col("doc_id").alias("f_id")).agg(F.min("_cf_hash").alias("f_hash"), F.count("*").alias("texts")).filter("texts > 1")
+    later = judged.filter("kept and named").join(first, (F.col("doc_id") == F.col("f_id")) & (F.col("_cf_hash") > F.col("f_hash")), "left_semi")
+    gone = judged.filter("not kept").unionByName(later).select("doc_id", "_cf_hash")
+    again = judged.filter("n > 1").select("doc_id", "_cf_hash").join(gone, ["doc_id", "_cf_hash"], "left_anti")
+    key = lambda df: df.select(F.col("doc_id").alias("g_id"), F.col("_cf_hash").alias("g_hash"))
+    same = (F.col("doc_id") == F.col("g_id")) & (F.col("_cf_hash") == F.col("g_hash"))
+    again = written(key(again), "again")
+    single = hashed.join(written(key(gone).unionByName(again), "gone"), same, "left_anti")
+    once = hashed.join(again, same, "left_semi").dropDuplicates(["doc_id", "_cf_hash"])
+    return single.unionByName(once).select(docs.columns)
 
 
 #: Exact: every pair of documents that share a shingle, and the closure of the links.

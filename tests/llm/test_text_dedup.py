@@ -60,6 +60,17 @@ def test_near_dedup_keeps_rows_and_columns(spark):
     assert sorted((r.doc_id, r.size) for r in kept if r.doc_id) == [(1, 1), (2, 1)] and len(kept) == 3
 
 
+def test_near_dedup_of_repeated_rows_and_ids(spark):
+    """A repeated row stays once; a doc_id with two texts loses only the one that is a copy; of two near
+    copies with one doc_id one stays; rows without doc_id stay."""
+    rows = [(1, "a b c"), (1, "a b c"), (2, "a b c"), (2, "p q r s"), (3, "x y z"), (3, "X y z"), (4, ""), (4, "m n o"), (4, ""), (None, "a b c"), (None, "a b c"), (5, "a b c"), (5, "a b c")]
+    kept = near.deduped(docs(spark, rows))
+    assert kept.columns == docs(spark, []).columns
+    got = sorted(((r.doc_id or 0, r.text.lower()) for r in kept.collect()))
+    assert got == [(0, "a b c"), (0, "a b c"), (1, "a b c"), (2, "p q r s"), (3, "x y z"), (4, ""), (4, "m n o")]
+    assert near.deduped(docs(spark, [])).collect() == []
+
+
 def test_near_of_an_empty_table(spark):
     assert near.link(docs(spark, [])).collect() == []
 
