@@ -115,16 +115,20 @@ def claim_errors(block: Column) -> Column:
     return F.array_compact(F.array(F.when(F.length(strip(text)) < 10, error("CLAIMS_PARSE_ERROR", "claims block too short")), F.when(~text.rlike(_CLAIM), error("CLAIMS_NUMBERING_ERROR", "no numbered claims"))))
 
 
-def claim_depth(claims_df: DataFrame, key: str = "task_id", rounds: int = 32) -> DataFrame:
-    """X11 (extension): depth of every claim in its dependency tree, by doubling over parents; a claim in
-    a cycle or with a missing parent keeps the depth of what can be reached."""
-    up = claims_df.select(key, "claim_id", F.col("parent_claim_id").alias("at"), F.when(F.col("parent_claim_id").isNull(), 0).otherwise(1).alias("depth"))
+def claim_depth(claims_df: DataFrame, key: str = "task_id") -> DataFrame:
+    """X11 (extension): depth of every claim in its dependency tree, by doubling over parents until no claim
+    has a parent left; a missing parent ends the way up, and a claim whose way ends in a cycle has no depth."""
+    from ..llm.common import cut
+
+    up = cut(claims_df.select(key, "claim_id", F.col("parent_claim_id").alias("at"), F.when(F.col("parent_claim_id").isNull(), 0).otherwise(1).alias("depth")))
+    # No way without a cycle is longer than the claims of its key are many.
+    most = up.groupBy(key).count().agg(F.max("count")).first()[0] or 0
     step = 1
-    while step < rounds:
+    while step <= most and not up.filter("at is not null").isEmpty():
         far = up.select(F.col(key).alias("f_key"), F.col("claim_id").alias("f_id"), F.col("at").alias("f_at"), F.col("depth").alias("f_depth"))
-        up = up.join(far, (F.col(key) == F.col("f_key")) & (F.col("at") == F.col("f_id")), "left").select(key, "claim_id", F.col("f_at").alias("at"), (F.col("depth") + F.coalesce("f_depth", F.lit(0))).alias("depth"))
+        up = cut(up.join(far, (F.col(key) == F.col("f_key")) & (F.col("at") == F.col("f_id")), "left").select(key, "claim_id", F.col("f_at").alias("at"), (F.col("depth") + F.coalesce("f_depth", F.lit(0))).alias("depth")))
         step *= 2
-    return up.select(key, "claim_id", "depth")
+    return up.select(key, "claim_id", F.when(F.col("at").isNull(), F.col("depth")).alias("depth"))
 
 
 def features(claim_id: Column, text: Column) -> Column:

@@ -167,3 +167,9 @@ def test_small_texts(spark):
     assert value(spark, rules.recoverable(F.col("s")), s="Fetch failed") is True
     assert value(spark, rules.image_mime(F.col("s")), s="a.JPEG") == "image/jpeg"
     assert value(spark, patent.subject(F.col("s")), s="demo_测试") is None
+
+
+def test_claim_depth_of_long_chains_and_cycles(spark):
+    rows = [(1, str(i), str(i - 1) if i > 1 else None) for i in range(1, 101)] + [(2, "1", "2"), (2, "2", "1"), (2, "3", "1"), (2, "4", "9"), (2, "5", "5")]
+    got = {(r.task_id, r.claim_id): r.depth for r in patent.claim_depth(spark.createDataFrame(rows, "task_id int, claim_id string, parent_claim_id string")).collect()}
+    assert got == {(1, str(i)): i - 1 for i in range(1, 101)} | {(2, "1"): None, (2, "2"): None, (2, "3"): None, (2, "4"): 1, (2, "5"): None}
