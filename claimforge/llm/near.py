@@ -5,18 +5,30 @@ threshold agree on about that share of coordinates, and on ``matches`` of them a
 below one in 100,000 (see misses()). Every set is posted under its coordinate-value pairs; as in prefix
 and skip merging for occurrence thresholds, a pair of sets with ``matches`` agreements must meet in the
 ``coordinates - matches + 1`` rarest pairs of each, so only those postings are joined, and the frequent
-lists are skipped: their agreements are counted on the signatures of the pairs that met.
-
-Equal sets are one node from the start. In a list that many sets share, first the others are compared
-with one centre, the set whose coordinate values are shared most (the text that copies were made from);
-then only sets that still belong to different components are paired, by an exact prefix join (rest()).
-So groups of copies give stars, not all pairs, and no link between different components is lost. Links
-are confirmed on the full sets.
+lists are skipped: their agreements are counted on the signatures of the pairs that met. Links are
+confirmed on the full sets.
+
+Equal sets are one node from the start. A list of at most SMALL + 1 sets gives all its pairs. A longer one
+gives stars only: each member with one centre, the set whose coordinate values are shared most (the text
+that copies were made from). A link between two members that belong to different components after that
+is found from what each adds to a centre's set and lacks of it. (Centres that resemble a centre of larger
+lists give way to that one, so that all copies of a text are held against the same set.)
+
+* The centre's set is first made that of the majority: what more than half of its members add joins it,
+  what more than half lack leaves it. So members differ from it in their own ways.
+* Two linked members, one of which isn't in the centre's component, must add or lack in common a number of
+  shingles that follows from their sizes. Differences are posted under the centre, as many as a linked set
+  needs at most, and joined like a prefix of a set, with the positions' bound (see apart()).
+* Before that each member is held against the one nearest to the majority's set, and members of very long
+  lists of differences against one of theirs, so that copies of a copy are one component by then.
+
+So groups of copies give stars, not all pairs, and no link between different components is lost but by the
+miss rate. What is left are pairs of sets that share differences and aren't linked.
 
 Edge cases: null or empty text, or text without words, has an empty set and is linked with nothing;
 fewer words than a shingle make one shingle of them all; repeated rows are equal sets; the component of
 rows without any doc_id is null; an empty table gives an empty result. Columns other than doc_id and
-text are ignored by link() and kept by deduped().
+text are ignored by link() and kept by deduped(), whatever their names.
 """
 
 from __future__ import annotations
@@ -29,12 +41,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import written
 from .components import components
 from .kernels import U, MinHash, Words, document_set, mixed, set_name, slices
 
 COORDINATES, MATCHES, SEED = 48, 25, 8
 SHINGLE, THRESHOLD = 2, 80
+SMALL = 8
+#: A centre that agrees on so many coordinates with the centre of a list that it is in gives way to that one.
+FAMILY = 12
+#: A difference with a centre that so many sets outside the commonest component have gives stars first.
+LONG = 100
 #: Bits of the table that tells which documents' sets are needed.
 TABLE_BITS = 23
 
@@ -90,36 +107,27 @@ def _sets(k: int, bits: np.ndarray):
     return run
 
 
-def _confirmed(threshold: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("a_items"), batch.column("b_items"), strict=True):
-                a, b = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
-                if len(a) > len(b):
-                    a, b = b, a
-                both = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
-                keep.append(100 * both >= threshold * (len(a) + len(b) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def _profile(threshold: int):
-    """Of a set a and its centre b: size, the shingles that b lacks, and as many of the others, in order, as
-    can be in a prefix."""
+def _profile(threshold: int, star: bool):
+    """Of each pair of sets (a, b): e and r, the numbers of shingles that a adds to b and lacks of it, m, the size
+    of b, and excess, by how much they miss a link, in units of 1 / (100 + threshold) shingles; and with star
+    the shingles added and lacking."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, added, common = [], [], []
+            counts, added, lacking = [], [], []
             for x, y in zip(batch.column("a_items"), batch.column("b_items"), strict=True):
                 a, b = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
                 has = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
-                extra = a[~has]
-                n.append(len(a))
-                added.append(extra.view(np.int64))
-                common.append(a[has][: max(0, len(a) - (-(-len(a) * threshold // 100)) + 1 - len(extra))].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int64()), pa.array(added, pa.list_(pa.int64())), pa.array(common, pa.list_(pa.int64()))], ["a", "b", "n", "added", "common"])
+                both = int(np.count_nonzero(has))
+                e, r = len(a) - both, len(b) - both
+                counts.append((e, r, len(b), 100 * r + threshold * e - (100 - threshold) * len(b)))
+                if star:
+                    added.append(a[~has].view(np.int64))
+                    lacking.append(b[a[np.minimum(np.searchsorted(a, b), len(a) - 1)] != b].view(np.int64))
+            names = ("e", "r", "m", "excess")
+            numbers = [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(names))]
+            lists = [pa.array(v if star else [None] * len(counts), pa.list_(pa.int64())) for v in (added, lacking)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *numbers, *lists], ["a", "b", *names, "added", "lacking"])
 
     return run
 
@@ -129,16 +137,18 @@ class _Graph:
 
     def __init__(self, docs: DataFrame, k: int, threshold: int, coordinates: int, matches: int, seed: int):
         self.texts, self.k, self.threshold, self.matches = docs.select("doc_id", "text"), k, threshold, matches
-        self.docs = cut(signed(docs, k, coordinates, seed))
+        self.docs = written(signed(docs, k, coordinates, seed), "sets")
         distinct = self.docs.filter("name is not null").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys"))
-        self.nodes = cut(distinct.withColumn("node", F.monotonically_increasing_id()))  # the numbers are fixed by the checkpoint
+        self.nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")  # the numbers are fixed once written
         postings = self.nodes.select("node", F.explode("keys").alias("key"))
-        shared = postings.join(postings.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key")
+        # Written first, so that the join can split a value that many sets share.
+        often = written(postings.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "often")
+        shared = postings.join(often.hint("merge"), "key")
         # A pair that no other set has is rarest of all: it takes a place in the prefix but joins nothing.
         mine = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("s"), F.sum("c").alias("weight"))
         places = coordinates - matches + 1 - (coordinates - F.size("s"))
         prefix = mine.filter(places > 0).select("node", "weight", F.explode(F.slice("s", F.lit(1), F.greatest(places, F.lit(1)))).alias("p"))
-        self.prefix = cut(prefix.select("node", "weight", F.col("p.key").alias("key")))
+        self.prefix = prefix.select(F.col("p.key").alias("key"), "node", F.col("weight").alias("rank"), F.col("node").alias("label"))
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """name and items of the sets of the documents ids (column id), and of a few others.
@@ -152,60 +162,148 @@ class _Graph:
         texts = self.texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << TABLE_BITS)).alias("place"), "text")
         return texts.mapInArrow(_sets(self.k, bits.view(U)), "name binary, items binary")
 
-    def with_items(self, pairs: DataFrame) -> DataFrame:
-        """The sets a_items and b_items of pairs (a, b)."""
+    def agreed(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b, ...) with the number of coordinates on which they agree, and whether they may be linked (met)."""
+        side = lambda p: self.nodes.select(F.col("node").alias(p), F.col("n").alias(f"{p}_n"), F.col("keys").alias(f"{p}_keys"))
+        sized = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("agree", F.size(F.array_intersect("a_keys", "b_keys")))
+        small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+        return sized.withColumn("met", (100 * small >= self.threshold * large) & (F.col("agree") >= self.matches)).select(*pairs.columns, "agree", "met")
+
+    def compared(self, pairs: DataFrame, star: bool = False) -> DataFrame:
+        """Full sets of pairs (a, b) held against each other; with star, of members a and centres b. See _profile()."""
         side = lambda p: self.nodes.select(F.col("node").alias(p), F.col("name").alias(f"{p}_name"), F.col("first_id").alias(f"{p}_id"))
-        named = cut(pairs.join(side("a"), "a").join(side("b"), "b"))
+        named = written(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b"), "asked")
         items = lambda p: self.sets(named.select(F.col(f"{p}_id").alias("id"))).select(F.col("name").alias(f"{p}_name"), F.col("items").alias(f"{p}_items")).hint("merge")
         first = named.select("a", "b", "a_name", "b_name").join(items("a"), "a_name").select("a", "b", "b_name", "a_items")
-        return first.join(items("b"), "b_name").select("a", "b", "a_items", "b_items")
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) those that agree on enough coordinates and whose full sets are similar enough."""
-        side = lambda p: self.nodes.select(F.col("node").alias(p), F.col("n").alias(f"{p}_n"), F.col("keys").alias(f"{p}_keys"))
-        sized = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-        small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-        agree = F.size(F.array_intersect("a_keys", "b_keys"))
-        met = cut(sized.filter((100 * small >= self.threshold * large) & (agree >= self.matches)).select("a", "b"))
-        return cut(self.with_items(met).mapInArrow(_confirmed(self.threshold), "a long, b long").distinct())
-
-    def rest(self, labels: DataFrame, centres: DataFrame) -> DataFrame:
-        """Pairs that may still link different components: they share a list, and neither is its centre.
-
-        Their sets are ordered by one rule for each centre: shingles that the centre lacks first, rare ones
-        before shared ones, then those it has. Linked sets share a shingle so early in both that enough
-        can follow (the positional filter of exact prefix joins). A text that lost its link to the centre by
-        its own changes begins with these changes, and so meets almost nothing. Members of the
-        centre's own component are compared with the others only, never with each other."""
+        both = first.join(items("b"), "b_name").select("a", "b", "a_items", "b_items")
+        return written(both.mapInArrow(_profile(self.threshold, star), "a long, b long, e long, r long, m long, excess long, added array<long>, lacking array<long>").dropDuplicates(["a", "b"]), "compared")
+
+    def lists(self) -> tuple[DataFrame, DataFrame]:
+        """The pairs (a, b) of small lists; and the rows (key, a, b, rank) of longer ones with their centres b."""
+        posted = written(self.prefix, "posted")
+        lists = posted.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("rank", "node")).alias("centre")).filter("n > 1")
+        tagged = written(posted.select("key", "node").join(written(lists, "lists").hint("merge"), "key"), "tagged")
+        few = tagged.filter(F.col("n") <= SMALL + 1).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("v"))
+        after = lambda x, i: F.transform(F.slice("v", i + 2, F.size("v")), lambda y: F.struct(x.alias("a"), y.alias("b")))
+        pairs = few.select(F.explode(F.flatten(F.transform("v", after))).alias("p")).select("p.a", "p.b").distinct()
+        return pairs, tagged.filter(F.col("n") > SMALL + 1).select("key", F.col("node").alias("a"), F.col("centre.node").alias("b"), F.col("centre.rank").alias("rank"))
+
+    @staticmethod
+    def roots(stars: DataFrame) -> DataFrame:
+        """centre and root: for centres that resemble centres of higher rank, the last one of that chain."""
+        centres = stars.select(F.col("b").alias("centre")).distinct()
+        up = stars.filter(F.col("agree") >= FAMILY).join(centres.hint("merge"), F.col("a") == F.col("centre"), "left_semi")
+        found = written(up.groupBy(F.col("a").alias("centre")).agg(F.max(F.struct("rank", "b"))["b"].alias("root")), "roots")
+        while True:  # ranks rise, so that there is no circle
+            above = found.select(F.col("centre").alias("next"), F.col("root").alias("above"))
+            found = written(found.join(above, F.col("root") == F.col("next"), "left").select("centre", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots")
+            if found.filter("moved").isEmpty():
+                return found.select("centre", "root")
+            found = found.select("centre", "root")
+
+    def open_stars(self, lists: DataFrame, roots: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members a and centres b of the lists that have several labels."""
+        marked = lists.join(labels, F.col("a") == F.col("node"), "left").withColumn("label", F.coalesce("label", "a"))
+        mixed_up = written(marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"), "open")
+        rows = lists.join(mixed_up.hint("merge"), "key").join(roots, F.col("b") == F.col("centre"), "left")
+        return rows.select("a", F.coalesce("root", "b").alias("b")).filter("a <> b").distinct()
+
+    def members(self, profile: DataFrame, labels: DataFrame) -> DataFrame:
+        """The profile with the label of a, whether b's differs (other), and the least excess of any such member
+        of b (low); of centres with such members only."""
+        label = lambda p: labels.select(F.col("node").alias(f"{p}_node"), F.col("label").alias(f"{p}_label"))
+        marked = profile.join(label("a"), F.col("a") == F.col("a_node"), "left").join(label("b"), F.col("b") == F.col("b_node"), "left")
+        marked = written(marked.withColumn("label", F.coalesce("a_label", "a")).withColumn("other", F.col("label") != F.coalesce("b_label", "b")).drop("a_node", "a_label", "b_node", "b_label"), "marked")
+        mixed_up = marked.filter("other").groupBy(F.col("b").alias("open")).agg(F.min("excess").alias("low"))
+        return written(marked.join(written(mixed_up, "open").hint("merge"), F.col("b") == F.col("open")).drop("open"), "members")
+
+    def majority(self, members: DataFrame) -> DataFrame:
+        """The members' profile with their centre's set made that of the majority."""
+        token = lambda c: members.select("b", F.explode(c).alias("token"), F.lit(c).alias("kind"))
+        size = written(members.groupBy("b").agg(F.count("*").alias("n")), "size")
+        often = written(token("added").unionByName(token("lacking")).groupBy("b", "kind", "token").agg(F.count("*").alias("c")).filter("c > 1"), "often")
+        # At most twice as many for a centre as its members differ from it on average.
+        turned = often.join(size, "b").filter("2 * c > n").groupBy("b").agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("token"))).alias(f"turned_{k}") for k in ("added", "lacking")))
+        rows = members.select("a", "b", "m", "added", "lacking").join(written(turned, "turned").hint("merge"), "b", "left")
+        none = F.array().cast("array<long>")
+        t_added, t_lacking = (F.coalesce(f"turned_{k}", none) for k in ("added", "lacking"))
+        rows = rows.select("a", "b", (F.col("m") + F.size(t_added) - F.size(t_lacking)).alias("m"), F.array_union(F.array_except("added", t_added), F.array_except(t_lacking, "lacking")).alias("added"), F.array_union(F.array_except("lacking", t_lacking), F.array_except(t_added, "added")).alias("lacking"))
+        rows = rows.select("a", "b", "m", F.sort_array("added").alias("added"), F.sort_array("lacking").alias("lacking"), F.size("added").cast("long").alias("e"), F.size("lacking").cast("long").alias("r"))
+        return written(rows.withColumn("excess", 100 * F.col("r") + self.threshold * F.col("e") - (100 - self.threshold) * F.col("m")), "majority")
+
+    @staticmethod
+    def nearest(members: DataFrame) -> DataFrame:
+        """Pairs (a, b) of each member and that which differs least from the majority's set, where labels differ."""
+        best = written(members.groupBy("b").agg(F.min(F.struct((F.col("e") + F.col("r")).alias("far"), "a", "label")).alias("best")), "best")
+        rows = members.select("b", "a", "label").join(best.hint("merge"), "b").filter(F.col("label") != F.col("best.label"))
+        return rows.select(F.least("a", "best.a").alias("a"), F.greatest("a", "best.a").alias("b")).distinct()
+
+    def posted(self, members: DataFrame) -> DataFrame:
+        """The first differences of members as (b, token, at): added ones before lacking ones, and as many as
+        are to be posted as x (as_x) and as y (as_y) of apart()."""
         t = self.threshold
-        label = labels.select(F.col("node").alias("l_node"), "label")
-        marked = self.prefix.join(label, F.col("node") == F.col("l_node"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        open_keys = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-        c_label = label.select(F.col("l_node").alias("c_node"), F.col("label").alias("c_label"))
-        member = marked.join(open_keys, "key").join(centres, "key").filter("node <> b").select(F.col("node").alias("a"), "b", "label").distinct()
-        member = cut(member.join(c_label, F.col("b") == F.col("c_node"), "left").select("a", "b", "label", (F.col("label") != F.coalesce("c_label", "b")).alias("other")))
-        profile = cut(self.with_items(member.select("a", "b")).mapInArrow(_profile(t), "a long, b long, n long, added array<long>, common array<long>").dropDuplicates(["a", "b"]))
-        added = profile.select("a", "b", F.explode("added").alias("token"))
-        ranked = added.join(added.groupBy("b", "token").agg(F.count("*").alias("f")), ["b", "token"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("s"))
-        first = ranked.select("a", "b", F.posexplode("s").alias("at", "v")).select("a", "b", "at", "v.token")
-        then = profile.select("a", "b", F.size("added").alias("m"), F.posexplode("common").alias("p", "token")).select("a", "b", (F.col("m") + F.col("p")).alias("at"), "token")
-        sizes = profile.select("a", "b", "n").join(member, ["a", "b"])
-        rows = first.unionByName(then).join(sizes, ["a", "b"]).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * t / 100))
-        left = rows.filter("other").select("b", "token", F.col("a").alias("x"), F.col("at").alias("x_at"), F.col("n").alias("x_n"), F.col("label").alias("x_label"))
-        right = rows.select("b", "token", F.col("a").alias("y"), F.col("at").alias("y_at"), F.col("n").alias("y_n"), F.col("label").alias("y_label"))
-        can = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) * (100 + t) >= t * (F.col("x_n") + F.col("y_n"))
-        found = left.join(right.hint("merge"), ["b", "token"]).filter((F.col("x_label") != F.col("y_label")) & can)
-        return cut(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        e, r, m, d = (F.col(c) for c in ("e", "r", "m", "d"))
+        slack = F.floor((m - r + e) * (100 - t) / 100)  # linked sets have so many shingles each that the other lacks at most
+        limit = F.when(e > slack, slack + 1).otherwise(d)
+        least = lambda needed: F.greatest(F.lit(0), F.least(limit, d + 1 - F.greatest(F.lit(1), F.ceil(needed / (100 + t))))).cast("int")
+        as_x, as_y = least(F.col("excess") + t), least(F.least(F.lit(1), F.col("low")) + 100 * r + t * e)
+        rows = members.withColumn("d", e + r).withColumns({"as_x": F.when(F.col("other"), as_x).otherwise(0), "as_y": as_y})
+        first = F.slice(F.concat("added", "lacking"), F.lit(1), F.greatest("as_x", "as_y"))
+        return rows.select("b", F.posexplode(first).alias("at", "token"), "a", "e", "r", "m", "excess", "as_x", "as_y", "label")
+
+    def long_lists(self, members: DataFrame) -> DataFrame:
+        """Pairs (a, b) of each member of a long list of differences and the one of them that differs least, where labels differ."""
+        posted = self.posted(members).select("b", "token", "a", "label", (F.col("e") + F.col("r")).alias("far"))
+        by_label = posted.groupBy("b", "token", "label").agg(F.count("*").alias("n"), F.min(F.struct("far", "a", "label")).alias("best"))
+        lists = by_label.groupBy("b", "token").agg((F.sum("n") - F.max("n")).alias("others"), F.min("best").alias("best")).filter(F.col("others") > LONG)
+        stars = posted.join(written(lists, "long").hint("merge"), ["b", "token"]).filter(F.col("label") != F.col("best.label"))
+        return stars.select(F.least("a", "best.a").alias("a"), F.greatest("a", "best.a").alias("b")).distinct()
+
+    def apart(self, members: DataFrame) -> DataFrame:
+        """Pairs (a, b) of members x and y of one centre c, of different labels, x not of c's, that may be linked.
+
+        With t per cent, x and y are linked if they share t / (100 + t) of |x| + |y|. They share c less what either
+        lacks, and what both add. So they are linked if they lack in common and add in common, together, at
+        least needed = (excess(x) + 100 r(y) + t e(y)) / (100 + t) shingles. If that is above 0, they share one
+        of the first differences of each, as many as leave that number behind, as in a prefix join. (A set
+        that adds more than a linked set may lack must share one of the first that it adds.) If it isn't, y is
+        nearly c and x at the threshold; these few are paired by that alone."""
+        t, posted = self.threshold, self.posted(members)
+        needed = F.col("x_excess") + 100 * F.col("y_r") + t * F.col("y_e")
+        size = lambda p: F.col(f"{p}_m") - F.col(f"{p}_r") + F.col(f"{p}_e")
+        can = (F.col("x_label") != F.col("y_label")) & (100 * F.least(size("x"), size("y")) >= t * F.greatest(size("x"), size("y")))
+        side = lambda p, *names: [F.col(c).alias(f"{p}_{c}") for c in ("a", "e", "r", "m", "excess", "label", *names)]
+        x = posted.filter("at < as_x").select("b", "token", *side("x", "at"))
+        y = posted.filter("at < as_y").select("b", "token", *side("y", "at"))
+        left = lambda p: F.col(f"{p}_e") + F.col(f"{p}_r") - F.col(f"{p}_at")
+        found = x.join(y.hint("merge"), ["b", "token"]).filter(can & (F.least(left("x"), left("y")) * (100 + t) >= needed))
+        near_x = members.filter("other and excess <= 0").select("b", *side("x"))
+        near_y = members.filter(F.col("low") + 100 * F.col("r") + t * F.col("e") <= 0).select("b", *side("y"))
+        close = near_x.join(near_y.hint("merge"), "b").filter(can & (needed <= 0))
+        pair = (F.least("x_a", "y_a").alias("a"), F.greatest("x_a", "y_a").alias("b"))
+        return found.select(*pair).union(close.select(*pair)).distinct()
 
     def labels(self) -> DataFrame:
         """node and label for every node that is linked."""
-        key = self.prefix
-        centres = cut(key.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("b")))
-        stars = key.join(centres, "key").select(F.col("node").alias("a"), "b").filter("a <> b")
-        found = self.links(stars)
-        labels = components(found)
-        rest = self.rest(labels, centres)
-        return labels if rest.isEmpty() else components(found.unionByName(self.links(rest)))
+        linked = lambda found: found.filter("excess <= 0").select("a", "b")
+        pairs, lists = self.lists()
+        asked = pairs.withColumn("rank", F.lit(None).cast("long")).unionByName(lists.select("a", "b", "rank").filter("a <> b").distinct())
+        agreed = written(self.agreed(asked).filter("met or rank is not null"), "agreed")
+        links = linked(self.compared(agreed.filter("met").select("a", "b").distinct()))
+        labels = components(links)
+        stars = self.compared(self.open_stars(lists, self.roots(agreed.filter("rank is not null")), labels), star=True)
+        more, profile = linked(stars), None
+        for step in (self.nearest, self.long_lists, self.apart, None):
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                labels = components(links)
+            if step is None or (members := self.members(stars if profile is None else profile, labels)).isEmpty():
+                break
+            if profile is None:
+                profile = self.majority(members)
+                members = self.members(profile, labels)
+            more = linked(self.compared(self.agreed(step(members)).filter("met")))
+        return labels
 
 
 def link(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, coordinates: int = COORDINATES, matches: int = MATCHES, seed: int = SEED) -> DataFrame:
@@ -231,8 +329,8 @@ def deduped(docs: DataFrame, **how) -> DataFrame:
     """docs without the rows that link() doesn't keep; rows are told apart by doc_id and text. Of rows equal
     in both one stays, and of near copies with one doc_id the one with the lowest hash; rows without
     doc_id stay."""
-    hashed = docs.withColumn("_cf_hash", F.xxhash64("text"))
-    judged = cut(_linked(hashed.select("doc_id", "text", "_cf_hash"), **how).filter("doc_id is not null").groupBy("doc_id", "_cf_hash", "named", "kept").agg(F.count("*").alias("n")))
+    hashed = docs.select(F.struct(*docs.columns).alias("_cf_row"), "doc_id", "text", F.xxhash64("text").alias("_cf_hash"))
+    judged = written(_linked(hashed.select("doc_id", "text", "_cf_hash"), **how).filter("doc_id is not null").groupBy("doc_id", "_cf_hash", "named", "kept").agg(F.count("*").alias("n")), "judged")
     # Kept rows of one doc_id that have words are in one component.
     first = judged.filter("kept and named").groupBy(F.col("doc_id").alias("f_id")).agg(F.min("_cf_hash").alias("f_hash"), F.count("*").alias("texts")).filter("texts > 1")
     later = judged.filter("kept and named").join(first, (F.col("doc_id") == F.col("f_id")) & (F.col("_cf_hash") > F.col("f_hash")), "left_semi")
@@ -243,7 +341,7 @@ def deduped(docs: DataFrame, **how) -> DataFrame:
     again = written(key(again), "again")
     single = hashed.join(written(key(gone).unionByName(again), "gone"), same, "left_anti")
     once = hashed.join(again, same, "left_semi").dropDuplicates(["doc_id", "_cf_hash"])
-    return single.unionByName(once).select(docs.columns)
+    return single.unionByName(once).select(*(F.col("_cf_row")[c].alias(c) for c in docs.columns))
 
 
 #: Exact: every pair of documents that share a shingle, and the closure of the links.
