@@ -169,14 +169,16 @@ def figure_descriptions(sections_df: DataFrame, key: str = "task_id") -> DataFra
 
 
 def figure_page(pages: DataFrame, key: str = "doc") -> DataFrame:
-    """Adds n_text, anchor (first page with 附图说明) and is_figure to (key, page, text, images, drawings)."""
+    """Adds n_text, anchor (first page with 附图说明, white space aside), explicit (with 说明书附图)
+    and is_figure to (key, page, text, images, drawings)."""
     doc = Window.partitionBy(key)
-    n = F.length(no_ws("text"))
-    counted = pages.withColumn("n_text", n).withColumn("anchor", F.min(F.when(F.contains("text", F.lit("附图说明")), F.col("page"))).over(doc))
+    counted = pages.withColumn("flat", no_ws(F.coalesce("text", F.lit(""))))
+    counted = counted.withColumn("n_text", F.length("flat")).withColumn("told", F.contains("flat", F.lit("附图说明"))).withColumn("explicit", F.contains("flat", F.lit("说明书附图")))
+    counted = counted.withColumn("anchor", F.min(F.when(F.col("told"), F.col("page"))).over(doc))
     after = F.coalesce(F.col("page") > F.col("anchor"), F.lit(False))
-    labels, drawn, held = F.size(figure_labels(F.col("text"))) > 0, F.col("drawings"), F.col("images") > 0
-    rule = F.contains("text", F.lit("说明书附图")) | (labels & (F.col("n_text") <= 120)) | (after & (F.col("n_text") <= 120)) | (after & (drawn >= 10) & (F.col("n_text") <= 600)) | ((drawn >= 20) & (F.col("n_text") <= 400)) | (held & (drawn > 0) & (F.col("n_text") <= 200))
-    return counted.withColumn("is_figure", F.coalesce(rule, F.lit(False)))
+    labels, drawn, held = F.size(figure_labels(F.coalesce("text", F.lit("")))) > 0, F.col("drawings"), F.col("images") > 0
+    rule = F.col("explicit") | (labels & (F.col("n_text") <= 120)) | (after & (F.col("n_text") <= 120)) | (after & (drawn >= 10) & (F.col("n_text") <= 600)) | ((drawn >= 20) & (F.col("n_text") <= 400)) | (held & (drawn > 0) & (F.col("n_text") <= 200))
+    return counted.withColumn("is_figure", F.coalesce(rule, F.lit(False))).drop("flat")
 
 
 def trailing_pages(pages: DataFrame, key: str = "doc") -> DataFrame:
@@ -188,31 +190,43 @@ def trailing_pages(pages: DataFrame, key: str = "doc") -> DataFrame:
     return runs.withColumn("last", F.max("run").over(Window.partitionBy(key))).filter("run = last").select(key, "page")
 
 
-def candidate_pages(pages: DataFrame, key: str = "doc", last: int = 3) -> DataFrame:
-    """Key and pages by the first rule that gives any: trailing image pages, classified pages after the
-    anchor, all pages after the anchor, the last pages."""
+def candidate_pages(pages: DataFrame, described: DataFrame | None = None, key: str = "doc") -> DataFrame:
+    """Key and pages by the first rule that gives any: explicit figure pages; as many trailing image
+    pages as figures are described, if there are so many; classified pages (after the anchor if there
+    is one); all pages after the anchor; as many last pages as figures are described.
+
+    described: (key, n), the number of described figures; none if left out."""
     marked = figure_page(pages, key).withColumn("from_end", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("page"))))
     tail = trailing_pages(pages, key).select(F.col(key).alias("t_key"), F.col("page").alias("t_page"))
     joined = marked.join(tail, (F.col(key) == F.col("t_key")) & (F.col("page") == F.col("t_page")), "left")
+    if described is None:
+        joined = joined.withColumn("n", F.lit(0))
+    else:
+        joined = joined.join(described.select(F.col(key).alias("n_key"), "n"), F.col(key) == F.col("n_key"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
     some = lambda cond: F.sort_array(F.collect_set(F.when(cond, F.col("page"))))
     after = F.col("page") > F.col("anchor")
-    lists = joined.groupBy(key).agg(some(F.col("t_page").isNotNull()).alias("a"), some(after & F.col("is_figure")).alias("b"), some(after).alias("c"), some(F.col("from_end") <= last).alias("d"))
+    classified = F.col("is_figure") & ~F.col("told") & F.coalesce(after, F.lit(True))
+    lists = joined.groupBy(key).agg(F.max("n").alias("n"), some(F.col("explicit")).alias("a"), some(F.col("t_page").isNotNull()).alias("b"), some(classified).alias("c"), some(after).alias("d"), some(F.col("from_end") <= F.col("n")).alias("e"))
     filled = lambda c: F.when(F.size(c) > 0, F.col(c))
-    return lists.select(key, F.coalesce(*map(filled, "abcd"), F.array().cast("array<int>")).alias("pages"))
+    n = F.col("n").cast("int")
+    trailing = F.when((n > 0) & (F.size("b") >= n), F.slice("b", F.size("b") - n + 1, n))
+    return lists.select(key, F.coalesce(filled("a"), trailing, *map(filled, "cde"), F.array().cast("array<int>")).alias("pages"))
 
 
-def figure_ids(labels: Column) -> Column:
-    """Figure identities of a document's pages, from the array of each page's labels: the first label
-    not yet used, else the next number not yet used. A fold over the pages of one document."""
-    start = F.struct(F.array().cast("array<string>").alias("used"), F.lit(1).alias("next"))
+def figure_ids(labels: Column, described: Column | None = None, existing: Column | None = None) -> Column:
+    """Figure identities of a document's pages, from the array of each page's labels: the first label not
+    yet used, else the first described figure not yet used, else the next number. A fold over the pages of
+    one document; existing are identities used before, which the numbers go on from."""
+    none = F.array().cast("array<string>")
+    described, existing = (none if c is None else c for c in (described, existing))
+    start = F.struct(none.alias("out"), existing.alias("used"), F.filter(described, lambda x: ~F.array_contains(existing, x)).alias("left"), (F.size(existing) + 1).alias("next"))
 
     def step(state: Column, page: Column) -> Column:
         unused = F.filter(page, lambda x: ~F.array_contains(state["used"], x))
-        numbers = F.sequence(F.lit(1), F.size(state["used"]) + 1)
-        free = F.get(F.filter(F.transform(numbers, lambda n: F.concat(F.lit("图"), n.cast("string"))), lambda x: ~F.array_contains(state["used"], x)), F.lit(0))
-        return F.struct(F.array_append(state["used"], F.coalesce(F.get(unused, F.lit(0)), free)).alias("used"), (state["next"] + 1).alias("next"))
+        name = F.coalesce(F.get(unused, F.lit(0)), F.get(state["left"], F.lit(0)), F.concat(F.lit("图"), state["next"].cast("string")))
+        return F.struct(F.array_append(state["out"], name).alias("out"), F.array_append(state["used"], name).alias("used"), F.filter(state["left"], lambda x: x != name).alias("left"), (state["next"] + 1).alias("next"))
 
-    return F.aggregate(labels, start, step, lambda s: s["used"])
+    return F.aggregate(labels, start, step, lambda s: s["out"])
 
 
 def image_urls(text: Column) -> Column:

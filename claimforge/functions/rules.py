@@ -25,6 +25,7 @@ FILE_KINDS = {
 TRANSPORT = ("fetch failed", "504", "超时", "timeout", "socket", "network", "aborted")
 MISSING_CONTEXT = ("请提供需要拆解的独立权利要求", "请提供具体的专利技术特征列表", "请提供权利要求编号", "我需要您提供", "才能进行技术特征拆解", "我将为您进行技术特征拆解")
 VERDICT_LABELS = {"infringement_likely": "疑似侵权", "no_infringement": "疑似不侵权", "uncertain": "需进一步分析"}
+FAILURES = ("失败", "无比对结果", "无法进行比对")
 TERMINAL = ("completed", "error", "cancelled", "timeout")
 
 
@@ -55,7 +56,7 @@ def occurrences(text: Column, terms: tuple[str, ...]) -> Column:
     """Non-overlapping occurrences of each term, added up."""
     low, total = F.lower(F.coalesce(text, F.lit(""))), F.lit(0)
     for t in terms:
-        total = total + F.regexp_count(low, F.lit(t))
+        total = total + ((F.length(low) - F.length(F.replace(low, F.lit(t)))) / len(t)).cast("int")
     return total
 
 
@@ -68,8 +69,8 @@ def industry(text: Column, fitness: tuple[str, ...] = FITNESS, appliance: tuple[
 
 
 def file_kind(path: Column) -> Column:
-    """Struct of category and extension with its dot (case kept); query and fragment are ignored."""
-    name = F.substring_index(F.regexp_replace(path, r"[?#].*$", ""), "/", -1)
+    """Struct of category and extension with its dot (case kept); scheme, host, query and fragment are ignored."""
+    name = F.substring_index(F.regexp_replace(F.regexp_replace(path, r"(?s)[?#].*$", ""), r"(?i)^[a-z][a-z0-9+.-]*://[^/]*", ""), "/", -1)
     ext = F.regexp_extract(name, r"(?<=[^.])(\.[^.]*)$", 1)
     low, kind = F.lower(F.regexp_replace(ext, r"^\.", "")), F.lit("default")
     for category, names in FILE_KINDS.items():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keywords import breaks_guardrail
-from ..functions.text import comma_union, guard_norm, keyword_norm, no_ws, strip
+from ..functions.text import guard_norm, keyword_norm, no_ws, split_clean, strip
 
 #: Scalar product fields that later rows fill when the first row has none; product_id is never filled.
 FILLED = ("product_name", "product_url", "product_source", "price", "brand", "manufacturer", "description")
@@ -33,18 +33,25 @@ def guarded(df: DataFrame, group: str, seq: str = "seq", text: str = "keyword_te
 
 
 def product_key(df: DataFrame) -> DataFrame:
-    """Adds key: by url, else by id, else by name and source."""
+    """Adds key: by url, else by id, else by name and source as they are written."""
     full = lambda c: F.nullif(strip(F.coalesce(c, F.lit(""))), F.lit(""))
-    by_name = F.concat(F.lit("name::"), F.lower(strip(F.coalesce("product_name", F.lit("")))), F.lit("::"), F.lower(strip(F.coalesce("product_source", F.lit("")))))
+    by_name = F.concat(F.lit("name::"), strip(F.coalesce("product_name", F.lit(""))), F.lit("::"), strip(F.coalesce("product_source", F.lit(""))))
     return df.withColumn("key", F.coalesce(F.concat(F.lit("url::"), full("product_url")), F.concat(F.lit("id::"), full("product_id")), by_name))
 
 
 def products(df: DataFrame, group: str, seq: str = "seq") -> DataFrame:
-    """One row per key: the first row's values, empty ones filled from the next row that has one;
-    matched_keywords is the ordered union. min_by keeps map-side combining; only keywords are collected."""
-    fill = [F.min_by(F.when(strip(c) != "", F.col(c)), F.when(strip(c) != "", F.col(seq))).alias(c) for c in FILLED]
-    listed = F.transform(F.sort_array(F.collect_list(F.struct(seq, F.coalesce("matched_keywords", F.lit("")).alias("k")))), lambda x: x["k"])
-    return product_key(df).groupBy(group, "key").agg(F.min(seq).alias(seq), F.min_by("product_id", seq).alias("product_id"), *fill, comma_union(listed).alias("matched_keywords"))
+    """One row per key: the first row's values, empty ones (text, picture, raw_payload) filled from
+    the next row that has one; matched_keywords is the ordered union, counted once a keyword before it is
+    collected, so that a product found by millions of rows is no large array."""
+    keyed = product_key(df)
+    empty = lambda c: F.coalesce(F.size(c) <= 0, F.lit(True)) if dict(df.dtypes)[c].startswith("array") else F.coalesce(F.col(c) == "", F.lit(True))
+    filled = lambda c: F.coalesce(F.min_by(F.when(~empty(c), F.col(c)), F.when(~empty(c), F.col(seq))), F.min_by(c, seq)).alias(c)
+    merged = keyed.groupBy(group, "key").agg(F.min(seq).alias(seq), F.min_by("product_id", seq).alias("product_id"), *(filled(c) for c in (*FILLED, "picture", "raw_payload") if c in df.columns))
+    words = keyed.select(F.col(group).alias("k_group"), F.col("key").alias("k_key"), seq, F.posexplode(split_clean(F.col("matched_keywords"), ",")).alias("at", "word"))
+    first = words.groupBy("k_group", "k_key", "word").agg(F.min(F.struct(seq, "at")).alias("first"))
+    listed = first.groupBy("k_group", "k_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", "word"))), lambda x: x["word"]), ", ").alias("listed"))
+    joined = merged.join(listed, F.col(group).eqNullSafe(F.col("k_group")) & (F.col("key") == F.col("k_key")), "left")
+    return joined.withColumn("matched_keywords", F.coalesce("listed", F.lit(""))).drop("k_group", "k_key", "listed")
 
 
 def last_wins(df: DataFrame, keys: list[str], seq: str, value: str) -> DataFrame:

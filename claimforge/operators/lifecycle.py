@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import TERMINAL
+from ..functions.rules import FAILURES, TERMINAL
+from ..functions.text import contains_any, strip
 
 
 def fold(events: DataFrame, keys: list[str], status: str = "status", ts: str = "ts") -> DataFrame:
@@ -47,10 +48,10 @@ def merged_results(rows: DataFrame, key: str = "session_id", seq: str = "seq", r
     return last.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias(results))
 
 
-def summary_state(summary: Column) -> Column:
-    """What a stored summary says about a failed comparison."""
-    low = F.lower(F.coalesce(summary, F.lit("")))
-    return F.when(low.rlike("cancel|取消"), "cancelled").when(low.rlike("timeout|超时"), "timeout").when(low.rlike("error|fail|异常|失败"), "error")
+def exception_message(message: Column, summary: Column, run_id: Column) -> Column:
+    """The message that came, else the summary if it tells of a failure or the run id isn't positive; else null."""
+    told = contains_any(summary, FAILURES) | (F.coalesce(run_id <= 0, F.lit(False)) & (strip(summary) != ""))
+    return F.coalesce(message, F.when(told, summary))
 
 
 def error_reports(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.text import keyword_list
 from ..operators import dedup, lifecycle, lookup, report, verdict
+from ..sources import sinks
 
 QUERIES, ORACLES = {}, {}
 
@@ -161,8 +162,8 @@ def q_keyword_guardrail(spark, d):
 
 
 @query("""WITH x AS (SELECT l_suppkey AS run_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate)::INT AS seq, p_name, p_brand, p_type, l_returnflag AS f FROM lineitem JOIN part ON l_partkey = p_partkey),
-k AS (SELECT *, lower(p_name) || '::' AS key FROM x)
-SELECT run_id, 'name::' || key AS key, min(seq) AS seq, arg_min(p_name, seq) AS product_name, arg_min(CASE WHEN f = 'R' THEN p_brand END, seq) FILTER (f = 'R') AS brand, arg_min(p_type, seq) AS description, list_aggregate(list_distinct(list(p_brand)), 'count') AS n_keywords FROM k GROUP BY run_id, key""")
+k AS (SELECT *, p_name || '::' AS key FROM x)
+SELECT run_id, 'name::' || key AS key, min(seq) AS seq, arg_min(p_name, seq) AS product_name, coalesce(arg_min(p_brand, seq) FILTER (f = 'R'), '') AS brand, arg_min(p_type, seq) AS description, list_aggregate(list_distinct(list(p_brand)), 'count') AS n_keywords FROM k GROUP BY run_id, key""")
 def q_product_dedup(spark, d):
     """Parts that a supplier ships as products; brand is known for returned lines only."""
     from pyspark.sql import Window
@@ -201,22 +202,22 @@ def q_product_feature_grid(spark, d):
     return verdict.grid(products, features)
 
 
-@query("""WITH a AS (SELECT o_custkey AS k, CASE WHEN max(o_orderkey) % 2 = 0 THEN '' ELSE 'run-' || max(o_orderkey) END AS brand FROM orders GROUP BY 1), b AS (SELECT c_custkey AS k, c_mktsegment AS brand FROM customer WHERE c_custkey % 3 <> 0)
+@query("""WITH a AS (SELECT o_custkey AS k, CASE WHEN max(o_orderkey) % 2 = 0 THEN '' ELSE 'run-' || max(o_orderkey) END AS brand FROM orders GROUP BY 1), b AS (SELECT c_custkey AS k, c_mktsegment AS brand FROM customer)
 SELECT coalesce(a.k, b.k) AS product_key, coalesce(nullif(a.brand, ''), b.brand) AS brand FROM a FULL JOIN b ON a.k = b.k""")
 def q_enrich_full_outer(spark, d):
-    """Q11, Q12: customers' orders as comparisons, some customers as known products."""
+    """Q11, Q12: customers' orders as comparisons, customers as known products (a third of them have no orders)."""
     last = F.max("o_orderkey")
     comparisons = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("product_key")).agg(F.when(last % 2 == 0, "").otherwise(F.concat(F.lit("run-"), last.cast("string"))).alias("brand"))
-    products = t(spark, d, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("product_key"), F.col("c_mktsegment").alias("brand"))
+    products = t(spark, d, "customer").select(F.col("c_custkey").alias("product_key"), F.col("c_mktsegment").alias("brand"))
     return lookup.enriched(comparisons, products, ["brand"])
 
 
-@query("""WITH p AS (SELECT s_suppkey, 'Customer#' || lpad(s_suppkey::VARCHAR, 9, '0') AS nm FROM supplier), c AS (SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey % 2 = 0)
-SELECT p.s_suppkey AS product_id, coalesce(i.c_mktsegment, n.c_mktsegment) AS result FROM p LEFT JOIN c i ON i.c_custkey = p.s_suppkey LEFT JOIN c n ON n.c_name = p.nm""")
+@query("""WITH p AS (SELECT s_suppkey, 'Customer#' || lpad(s_suppkey::VARCHAR, 9, '0') AS nm FROM supplier), c AS (SELECT c_custkey + 50 AS id, c_name, c_mktsegment FROM customer)
+SELECT p.s_suppkey AS product_id, coalesce(i.c_mktsegment, n.c_mktsegment) AS result FROM p LEFT JOIN c i ON i.id = p.s_suppkey LEFT JOIN c n ON n.c_name = p.nm""")
 def q_by_id_or_name(spark, d):
-    """Q13."""
+    """Q13: ids begin at 51, so that the first suppliers are found by name."""
     products = t(spark, d, "supplier").select(F.col("s_suppkey").alias("product_id"), F.concat(F.lit("Customer#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("product_name"))
-    comparisons = t(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("product_id"), F.col("c_name").alias("product_name"), F.col("c_mktsegment").alias("result"))
+    comparisons = t(spark, d, "customer").select((F.col("c_custkey") + 50).alias("product_id"), F.col("c_name").alias("product_name"), F.col("c_mktsegment").alias("result"))
     return lookup.by_id_or_name(products, comparisons, "result").select("product_id", "result")
 
 
@@ -299,11 +300,11 @@ def q_keyword_results(spark, d):
     return verdict.keyword_results(part.select("run_id", "keyword").distinct(), part.filter("p_retailprice > 1500"))
 
 
-@query("SELECT c_custkey AS id, c_mktsegment AS name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 1")
+@query("SELECT DISTINCT o_custkey AS id, 'buyer' AS name FROM orders UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def q_section_union(spark, d):
     """Rows of a second list whose key the first doesn't have."""
-    base = t(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"))
-    extra = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    base = t(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.lit("buyer").alias("name")).distinct()
+    extra = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     return lookup.without_same_name(base, extra, ["id"])
 
 
@@ -335,11 +336,11 @@ def q_report_overview(spark, d):
     return report.overview(part, compare_rows(spark, d)).select("product_id", "verdict_label", "n_matching", "n_not_matching", "n_uncertain", "sheet_name")
 
 
-@query("""SELECT s_suppkey AS product_id, f.o_orderkey AS feature_id, f.o_orderkey IS NULL AS placeholder, coalesce(f.o_orderpriority, '-') AS feature_text, coalesce(f.o_orderstatus || ' | ' || f.o_orderpriority, NULL) AS reasoning FROM supplier LEFT JOIN (SELECT * FROM orders WHERE o_custkey % 2 = 0) f ON f.o_custkey = s_suppkey""")
+@query("""SELECT s_suppkey AS product_id, f.o_orderkey AS feature_id, f.o_orderkey IS NULL AS placeholder, coalesce(f.o_orderpriority, '-') AS feature_text, coalesce(f.o_orderstatus || ' | ' || f.o_orderpriority, NULL) AS reasoning FROM supplier LEFT JOIN orders f ON f.o_custkey = s_suppkey""")
 def q_report_detail(spark, d):
     """R2: suppliers as products, orders as features; a placeholder where there are none."""
     products = t(spark, d, "supplier").select(F.col("s_suppkey").alias("product_id"), F.col("s_name").alias("product_name"))
-    rows = t(spark, d, "orders").filter("o_custkey % 2 = 0").select(F.col("o_custkey").alias("product_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("feature_id"), F.lit("1").alias("claim_id"), F.col("o_orderpriority").alias("feature_text"), F.lit("").alias("evidence"), F.col("o_orderstatus").alias("status"), F.col("o_orderstatus").alias("reason"), F.col("o_orderpriority").alias("reasoning_type"))
+    rows = t(spark, d, "orders").select(F.col("o_custkey").alias("product_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("feature_id"), F.lit("1").alias("claim_id"), F.col("o_orderpriority").alias("feature_text"), F.lit("").alias("evidence"), F.col("o_orderstatus").alias("status"), F.col("o_orderstatus").alias("reason"), F.col("o_orderpriority").alias("reasoning_type"))
     return report.detail(products, rows).select("product_id", "feature_id", "placeholder", "feature_text", "reasoning")
 
 
@@ -348,15 +349,94 @@ def q_nested_products(spark, d):
     """A10: rows of a run to products with their features in order."""
     seq = F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
     rows = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("run_id"), seq.alias("seq"), F.col("l_partkey").cast("string").alias("product_id"), F.lit("").alias("product_name"), F.col("l_returnflag").alias("comparison_result"))
-    rows = rows.withColumn("product_name", F.col("product_id"))
-    keyed = rows.groupBy("run_id", F.col("product_id").alias("product_key")).agg(F.sort_array(F.collect_list(F.struct("seq", "comparison_result"))).alias("features"))
-    return keyed.select("run_id", "product_key", F.size("features").cast("long").alias("n_features"), F.array_join(F.transform("features", lambda x: x["comparison_result"]), "").alias("results"))
+    return verdict.nested(rows).select("run_id", "product_key", F.size("features").cast("long").alias("n_features"), F.array_join(F.transform("features", lambda x: x["comparison_result"]), "").alias("results"))
 
 
-@query("""SELECT coalesce(i, 99)::INT AS market_rank, count(*) AS n, min(p_retailprice) AS low FROM (SELECT CASE p_brand WHEN 'Brand#1' THEN 1 WHEN 'Brand#2' THEN 8 END AS i, p_retailprice FROM part) GROUP BY 1""")
+@query("""SELECT p_partkey AS product_id, row_number() OVER (PARTITION BY p_type ORDER BY CASE p_brand WHEN 'Brand#1' THEN 1 WHEN 'Brand#2' THEN 8 ELSE 99 END, p_retailprice, p_partkey)::INT AS place FROM part""")
 def q_market_order(spark, d):
-    """Ranks of marketplaces; unknown ones last."""
+    """Products of each type by marketplace, unknown ones last, then by the number that the price begins with."""
     source = F.when(F.col("p_brand") == "Brand#1", "1688").when(F.col("p_brand") == "Brand#2", "eBay").otherwise(F.col("p_brand"))
-    rows = t(spark, d, "part").select(source.alias("product_source"), F.concat(F.col("p_retailprice").cast("string"), F.lit(" 元")).alias("price"))
-    rank, _ = lookup.market_order()
-    return rows.select(rank.cast("int").alias("market_rank"), lookup.price_number(F.col("price")).alias("p")).groupBy("market_rank").agg(F.count("*").alias("n"), F.min("p").alias("low"))
+    rows = t(spark, d, "part").select(F.col("p_partkey").alias("product_id"), "p_type", source.alias("product_source"), F.concat(F.col("p_retailprice").cast("string"), F.lit(" 元")).alias("price"))
+    return lookup.numbered(rows, ["p_type"], [*lookup.market_order(), F.col("product_id")]).select("product_id", F.col("seq_no").alias("place"))
+
+
+@query("SELECT l_suppkey AS run_id, l_partkey AS product_id, 'product_' || row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) AS product_key, l_returnflag AS result FROM lineitem")
+def q_nested_unnamed(spark, d):
+    """A10: rows without id and name are products of their own; the result comes from the payload."""
+    payload = F.to_json(F.struct(F.col("l_returnflag").alias("comparison_result"), F.col("l_partkey").alias("feature_id")))
+    rows = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("run_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate").alias("seq"), F.lit("").alias("product_id"), F.lit(None).cast("string").alias("product_name"), F.lit(None).cast("string").alias("comparison_result"), F.lit(None).cast("long").alias("feature_id"), payload.alias("raw_payload"))
+    return verdict.nested(rows).select("run_id", F.col("features")[0]["feature_id"].alias("product_id"), "product_key", F.col("features")[0]["comparison_result"].alias("result"))
+
+
+@query("SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'F' THEN '比对失败: ' || o_orderpriority WHEN o_orderstatus = 'P' THEN 'HIGH' END AS message FROM orders")
+def q_exception_message(spark, d):
+    """Summaries that tell of a failure, messages that came, and neither."""
+    summary = F.concat(F.when(F.col("o_orderstatus") == "F", "比对失败: ").otherwise("完成 "), "o_orderpriority")
+    message = F.when(F.col("o_orderstatus") == "P", "HIGH")
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), lifecycle.exception_message(message, summary, F.col("o_orderkey")).alias("message"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'matching' WHEN 'signup' THEN 'matching' WHEN 'error' THEN 'not_matching' ELSE 'uncertain' END AS by_export, CASE event_type WHEN 'view' THEN 'matching' WHEN 'signup' THEN 'matching' WHEN 'error' THEN 'matching' ELSE 'uncertain' END AS by_bitable FROM events")
+def q_status_compat(spark, d):
+    """A4, A5: two older readings of results."""
+    said = F.when(F.col("event_type") == "view", "MATCH").when(F.col("event_type") == "signup", "相同").when(F.col("event_type") == "error", "不匹配").otherwise("?")
+    return t(spark, d, "events").select("event_id", rules.status(said, "export").alias("by_export"), rules.status(said, "bitable").alias("by_bitable"))
+
+
+@query("""SELECT c_custkey AS record_id, count(o_orderkey) AS n_claims, string_agg(o_orderstatus, '' ORDER BY o_orderkey) AS claims FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+def q_nested_records(spark, d):
+    """Q7: customers as records, their orders as claims."""
+    claims = t(spark, d, "orders").select(F.col("o_custkey").alias("record_id"), F.col("o_orderkey").alias("id"), "o_orderstatus")
+    records = t(spark, d, "customer").select(F.col("c_custkey").alias("record_id"))
+    out = lookup.nested_records(records, claims, claims.select("record_id", "id"))
+    return out.select("record_id", F.coalesce(F.size("claims"), F.lit(0)).cast("long").alias("n_claims"), F.nullif(F.array_join(F.transform("claims", lambda x: x["o_orderstatus"]), ""), F.lit("")).alias("claims"))
+
+
+@query("""SELECT p_partkey AS product_id, CASE WHEN bool_or(s_suppkey IS NOT NULL) THEN string_agg(s_name, ',' ORDER BY i) FILTER (s_suppkey IS NOT NULL) ELSE p_size || ',' || (p_size + 90) END AS images
+FROM (SELECT p_partkey, p_size, unnest([p_size, p_size + 90]) AS u, unnest([0, 1]) AS i FROM part) LEFT JOIN supplier ON s_suppkey = u GROUP BY p_partkey, p_size""")
+def q_local_images(spark, d):
+    """suppliers' names as local paths of image urls; those without a path are dropped, rows without any stay."""
+    rows = t(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.array(F.col("p_size").cast("string"), (F.col("p_size") + 90).cast("string")).alias("evidence_images"))
+    paths = t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("url"), F.col("s_name").alias("path"))
+    return lookup.local_images(rows, paths, "product_id").select("product_id", F.array_join("evidence_images", ",").alias("images"))
+
+
+@query("SELECT p_type, p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) = 1")
+def q_first_wins(spark, d):
+    """D1, Q14."""
+    return dedup.first_wins(t(spark, d, "part").select("p_type", "p_brand", "p_partkey"), ["p_type", "p_brand"], "p_partkey")
+
+
+@query("SELECT user_id AS session_id, CASE WHEN arg_max(event_type, event_id) = 'purchase' THEN 'confirmed' WHEN arg_max(event_type, event_id) = 'click' THEN 'waiting_input' ELSE 'auto_confirmed' END AS state FROM events GROUP BY 1")
+def q_confirmed(spark, d):
+    """A user's last event decides: a purchase confirms, a click is still editing, all else runs into the deadline."""
+    events = t(spark, d, "events")
+    when = F.timestamp_seconds("event_id")
+    requests = events.select(F.col("user_id").alias("session_id")).distinct().withColumns({"requested_at": F.timestamp_seconds(F.lit(0)), "auto_keywords": F.array(F.lit("a"))})
+    kind = F.when(F.col("event_type") == "purchase", "confirm").when(F.col("event_type") == "click", "editing").otherwise("other")
+    actions = events.select(F.col("user_id").alias("session_id"), kind.alias("action"), when.alias("ts"), F.array(F.lit("b")).alias("keywords"))
+    return lifecycle.confirmed(requests, actions, F.timestamp_seconds(F.lit(10**9))).select("session_id", "state")
+
+
+@query("SELECT p_brand AS group_id, p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey)::INT AS seq_no, CASE WHEN seq_no <= 26 THEN chr(64 + seq_no) END AS letter FROM part")
+def q_numbered(spark, d):
+    """Numbers and letters in each brand."""
+    rows = t(spark, d, "part").select(F.col("p_brand").alias("group_id"), F.col("p_partkey").alias("id"), "p_name")
+    return lookup.numbered(rows, ["group_id"], [F.col("p_name"), F.col("id")]).drop("p_name")
+
+
+@query("SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'O' THEN 'old' ELSE o_orderstatus END AS status, '1' AS started_at, CASE WHEN o_orderstatus = 'O' THEN '2' WHEN o_orderstatus = 'F' THEN o_orderpriority END AS finished_at FROM orders")
+def q_upsert(spark, d):
+    """K4, K5: open orders are stored runs that nothing updates; others take the new status, keep the first
+    start and always take the new end, null for those in progress."""
+    o = t(spark, d, "orders")
+    stored = o.select(F.col("o_orderkey").alias("run_id"), F.lit("old").alias("status"), F.lit("1").alias("started_at"), F.lit("2").alias("finished_at"))
+    new = o.filter("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"), F.lit("9").alias("started_at"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("finished_at"))
+    return sinks.upserted(stored, new, ["run_id"])
+
+
+@query("SELECT c_custkey AS id, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def q_new_rows(spark, d):
+    """K6: customers that no order has stored yet."""
+    stored = t(spark, d, "orders").select(F.col("o_custkey").alias("id"))
+    return sinks.new_rows(t(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name"), stored, "id")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keywords, patent, replies, rules, text
+from ..operators import dedup
 from ..sources import files
 from .tabular import t
 
@@ -61,12 +62,13 @@ def q_sentence_units(spark, d):
     return rows.select("conv_id", "turn", F.size("u").cast("long").alias("n_units"), chars.cast("long").alias("n_chars"))
 
 
-@query("""WITH x AS (SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '[\\s\\p{Z}]+', ' ', 'g')) AS a, lang, source FROM documents)
+@query("""WITH l AS (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+x AS (SELECT doc_id, lang, source, coalesce(string_agg(b, chr(10) ORDER BY i) FILTER (b <> ''), '') AS a FROM (SELECT *, trim(regexp_replace(line, '[\\s\\p{Z}]+', ' ', 'g')) AS b FROM l) GROUP BY ALL)
 SELECT doc_id, 1 AS seq, '技术领域' AS section_name, a AS section_text FROM x WHERE a <> '' UNION ALL SELECT doc_id, CASE WHEN a <> '' THEN 2 ELSE 1 END, '附图说明', lang || source FROM x""")
 def q_sections(spark, d):
-    """Two headed sections around the first line of each document."""
-    line = text.strip(F.regexp_replace(F.substring_index("text", "\n", 1), r"(?U:\s)+", " "))
-    body = F.concat(F.lit("前言\n 技术领域 \n"), line, F.lit("\n说明书附图\n"), "lang", "source", F.lit("\n"))
+    """Two headed sections around the whole text of each document."""
+    lines = F.array_join(F.filter(F.transform(F.split("text", "\n"), lambda x: text.strip(F.regexp_replace(x, r"(?U:\s)+", " "))), lambda x: x != ""), "\n")
+    body = F.concat(F.lit("前言\n 技术领域 \n"), lines, F.lit("\n说明书附图\n"), "lang", "source", F.lit("\n"))
     docs = t(spark, d, "documents").select("doc_id", body.alias("raw_text"))
     return patent.sections(docs, "doc_id").select("doc_id", "seq", "section_name", "section_text")
 
@@ -108,10 +110,11 @@ def q_html_escape(spark, d):
     return t(spark, d, "pages").select("page_id", F.md5(text.html_escape(F.col("html"))).alias("escaped"))
 
 
-@query("SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9._-]', '_', 'g') AS safe, CASE WHEN regexp_matches(url, '\\.html$') THEN 'document' ELSE 'default' END AS category FROM pages")
+@query("""WITH x AS (SELECT page_id, url, regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*(/.*)?$', 1) AS p FROM pages), e AS (SELECT *, regexp_extract(p, '[^./]\\.([^./]*)$', 1) AS ext FROM x)
+SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9._-]', '_', 'g') AS safe, CASE WHEN lower(ext) IN ('html', 'htm', 'pdf', 'txt', 'md', 'csv', 'json', 'xml') THEN 'document' WHEN lower(ext) IN ('png', 'jpg', 'jpeg', 'gif', 'webp') THEN 'image' ELSE 'default' END AS category FROM e""")
 def q_file_names(spark, d):
     """X48, S6, S21 on urls."""
-    return t(spark, d, "pages").select("page_id", text.safe_file_name(F.col("url")).alias("safe"), F.when(F.col("url").rlike(r"\.html$"), rules.file_kind(F.col("url"))["category"]).otherwise("default").alias("category"))
+    return t(spark, d, "pages").select("page_id", text.safe_file_name(F.col("url")).alias("safe"), rules.file_kind(F.col("url"))["category"].alias("category"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN (regexp_extract(props, '\\d+'))::DOUBLE END AS k, event_type AS kind FROM events")
@@ -148,7 +151,105 @@ def q_figure_descriptions(spark, d):
 
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN '扫地机器人' ELSE '图像处理' END AS subject FROM part")
 def q_subject(spark, d):
-    """File names with noise around a subject."""
+    """File names with noise around a subject, as the operator gives it."""
     name = F.when(F.col("p_partkey") % 2 == 0, "CN 1234567A【测试】扫地机器人-示例.pdf").otherwise("一种图像处理方法_专利分析.docx")
-    found = patent.subject(name)
-    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.endswith(found, F.lit("扫地机器人")), "扫地机器人").otherwise(F.regexp_replace(found, "^一种", "")).alias("subject"))
+    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), patent.subject(name).alias("subject"))
+
+
+@query("SELECT n_nationkey AS doc, CASE WHEN n_regionkey = 0 THEN '2' WHEN n_regionkey = 1 THEN '3' WHEN n_regionkey = 2 THEN '3' ELSE '2,3' END AS pages FROM nation")
+def q_figure_pages(spark, d):
+    """Four pages a nation; by region an explicit page, a spaced heading, trailing images, and all after the heading."""
+    kind = F.col("n_regionkey")
+    words = F.lit("字" * 700)
+    page = lambda i: F.when(F.lit(i) == 0, F.lit("摘要")).when(F.lit(i) == 1, F.when(kind == 2, words).otherwise(F.concat(F.lit("附 图 说 明"), words))).when(F.lit(i) == 2, F.when(kind == 0, F.concat(F.lit("说明书 附图"), words)).otherwise(words)).otherwise(F.when(kind.isin(1, 2), F.lit("图1")).otherwise(words))
+    rows = t(spark, d, "nation").select(F.col("n_nationkey").alias("doc"), "n_regionkey", F.explode(F.array(*(F.struct(F.lit(i).alias("page"), page(i).alias("text"), F.when((F.lit(i) == 3) & (kind == 2), 1).otherwise(0).alias("images"), F.lit(0).alias("drawings")) for i in range(4)))).alias("p"))
+    described = t(spark, d, "nation").select(F.col("n_nationkey").alias("doc"), F.lit(1).alias("n"))
+    found = patent.candidate_pages(rows.select("doc", "p.*"), described)
+    return found.select("doc", F.array_join(F.transform("pages", lambda x: x.cast("string")), ",").alias("pages"))
+
+
+@query("SELECT n_nationkey AS doc, '图2,图1,图3,图5,图5' AS ids FROM nation")
+def q_figure_ids(spark, d):
+    """A label, the described figures left, then numbers, which go on with the pages."""
+    labels = F.array(*(patent.figure_labels(F.concat(F.lit(x), "n_name")) for x in ("图2 ", "图 2 ", "", "", "")))
+    ids = patent.figure_ids(labels, F.array(F.lit("图1"), F.lit("图2"), F.lit("图3")))
+    return t(spark, d, "nation").select(F.col("n_nationkey").alias("doc"), F.array_join(F.concat(F.slice(ids, 1, 3), F.array(ids[4], ids[4])), ",").alias("ids"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(lower(text), 'a.e')) AS n_regex, (length(text) - length(replace(text, '. ', ''))) // 2 AS n_plain FROM documents")
+def q_plain_terms(spark, d):
+    """Terms are counted as plain text, whatever characters they have."""
+    return t(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all(F.lower("text"), F.lit("a.e"), F.lit(0))).cast("long").alias("n_regex"), rules.occurrences(F.col("text"), (". ",)).cast("long").alias("n_plain"))
+
+
+@query("SELECT doc_id, lang AS reply, source AS keyword, 0.9::DOUBLE AS sure FROM documents")
+def q_combined_keywords(spark, d):
+    """Replies as JSON lists of combined keywords."""
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    reply = F.concat(F.lit('[{"keyword_text": '), q("source"), F.lit(', "keyword_type": '), q("lang"), F.lit(', "confidence": 0.9}, {"keyword_text": ""}]'))
+    rows = t(spark, d, "documents").select("doc_id", F.explode(replies.combined_keywords(reply)).alias("k"))
+    return rows.select("doc_id", F.col("k.keyword_type").alias("reply"), F.col("k.keyword_text").alias("keyword"), F.col("k.confidence").alias("sure"))
+
+
+@query("SELECT p_partkey AS id, p_name || '|' || p_type AS listed, 2 AS n FROM part")
+def q_listed_terms(spark, d):
+    """Numbered lines as terms."""
+    terms = replies.listed_terms(F.concat(F.lit("1. "), "p_name", F.lit("\n\n2、"), "p_type"))
+    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(terms, "|").alias("listed"), F.size(terms).alias("n"))
+
+
+@query("SELECT p_partkey AS id, p_name || '@0.9' AS terms FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, p_type || '@0.6' FROM part WHERE p_partkey % 2 = 1")
+def q_filtered_terms(spark, d):
+    """Scored items, or the originals where the reply has none."""
+    reply = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('{"core_terms": [{"term": "'), "p_name", F.lit('", "score": 0.9}, {"term": ""}]}'))).otherwise("sorry")
+    found = replies.filtered_terms(reply, F.array("p_type"))
+    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(F.transform(found, lambda x: F.concat(x["text"], F.lit("@"), x["confidence"].cast("string"))), "|").alias("terms"))
+
+
+@query("SELECT p_partkey AS id, p_name AS primary_object, p_type AS search, CASE WHEN contains(p_type, p_name) THEN '' ELSE p_type END AS grounded FROM part")
+def q_product_objects(spark, d):
+    """The primary object and the others; those that the context has and that aren't the primary one."""
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    o = replies.product_objects(F.concat(F.lit("["), q("p_name"), F.lit(", "), q("p_type"), F.lit("]")))
+    kept = replies.grounded(o["search"], o["primary"], F.regexp_replace("p_type", " ", ""))
+    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), o["primary"].alias("primary_object"), F.array_join(o["search"], "|").alias("search"), F.when(F.contains(F.col("p_type"), F.col("p_name")), "").otherwise(F.array_join(kept, "|")).alias("grounded"))
+
+
+@query("SELECT p_partkey AS id, p_name AS scenarios, p_type AS audiences FROM part")
+def q_tagged_lists(spark, d):
+    """Lines after tagged headers."""
+    found = replies.tagged_lists(F.concat(F.lit("使用场景：\n- "), "p_name", F.lit("\n目标人群：\n1. "), "p_type"))
+    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(found["scenarios"], "|").alias("scenarios"), F.array_join(found["audiences"], "|").alias("audiences"))
+
+
+@query("SELECT p_partkey AS id, p_partkey || 'A' AS feature_id, p_name AS feature_text, p_partkey::VARCHAR AS claim_id FROM part")
+def q_reply_features(spark, d):
+    """Features of a reply; items without a text are left out."""
+    i = F.col("p_partkey").cast("string")
+    reply = F.concat(F.lit('{"features": [{"feature_id": "'), i, F.lit('A", "feature_text": "'), "p_name", F.lit('"}, {"feature_id": "x"}]}'))
+    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(replies.reply_features(reply, i)).alias("f")).select("id", "f.*")
+
+
+@query("SELECT p_partkey AS id, p_name AS point, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '说明书内容' END AS source FROM part")
+def q_invention_point(spark, d):
+    """X25."""
+    reply = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("|"), "p_type")).otherwise(""))
+    p = replies.invention_point(reply, F.lit("general"))
+    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), p["point"].alias("point"), p["source"].alias("source"))
+
+
+@query("SELECT p_partkey AS id, p_name || '|' || p_type AS distinct_objects, p_name AS first_image FROM part")
+def q_arrays(spark, d):
+    """Distinct strings white space aside; the first item of a JSON array."""
+    items = F.array(F.col("p_name"), F.concat(F.lit(" "), "p_name"), F.col("p_type"), F.concat("p_brand", F.lit(" ")), F.col("p_brand"))
+    picture = F.concat(F.lit('["", "'), "p_name", F.lit('", "z"]'))
+    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(dedup.without_spaces(items, F.col("p_brand")), "|").alias("distinct_objects"), text.first_image(picture).alias("first_image"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/gif' WHEN 2 THEN 'image/bmp' ELSE 'image/png' END AS mime, page_id % 4 = 0 AS recoverable FROM pages")
+def q_mime_and_errors(spark, d):
+    """X22, J24."""
+    kind = F.col("page_id") % 4
+    name = F.concat("url", F.when(kind == 0, ".JPG").when(kind == 1, ".gif").when(kind == 2, ".bmp").otherwise(".x"))
+    said = F.when(kind == 0, "Fetch failed: 504").otherwise("bad input")
+    return t(spark, d, "pages").select("page_id", rules.image_mime(name).alias("mime"), rules.recoverable(said).alias("recoverable"))

@@ -23,12 +23,13 @@ def new_rows(df: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return df.join(stored.select(key).distinct(), key, "left_anti")
 
 
-def upserted(stored: DataFrame, df: DataFrame, keys: list[str], once: tuple[str, ...] = ("started_at",)) -> DataFrame:
-    """K4, K5: stored rows with df's values on top; columns in once keep their first value."""
+def upserted(stored: DataFrame, df: DataFrame, keys: list[str], once: tuple[str, ...] = ("started_at",), always: tuple[str, ...] = ("finished_at",)) -> DataFrame:
+    """K4, K5: stored rows with df's values on top; columns in once keep their first value, those in
+    always take the new one even if it is null."""
     old = stored.select(*(F.col(c).alias(f"o_{c}") for c in stored.columns))
     on = [df[k].eqNullSafe(old[f"o_{k}"]) for k in keys]
-    joined = df.join(old, on, "full")
-    pick = lambda c: F.coalesce(f"o_{c}", c) if c in once else F.coalesce(c, f"o_{c}")
+    joined = df.withColumn("_new", F.lit(True)).join(old, on, "full")
+    pick = lambda c: F.coalesce(f"o_{c}", c) if c in once else F.when(F.col("_new"), F.col(c)).otherwise(F.col(f"o_{c}")) if c in always else F.coalesce(c, f"o_{c}")
     return joined.select(*(pick(c).alias(c) for c in stored.columns))
 
 

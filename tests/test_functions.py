@@ -149,6 +149,8 @@ def test_file_kind(spark, path, want):
 def test_figure_ids(spark):
     df = spark.createDataFrame([([["图1"], [], ["图1", "图3"], []],)], "l array<array<string>>")
     assert df.select(patent.figure_ids(F.col("l")).alias("v")).first().v == ["图1", "图2", "图3", "图4"]
+    left = patent.figure_ids(F.col("l"), F.array(F.lit("图9"), F.lit("图3")), F.array(F.lit("图7")))
+    assert df.select(left.alias("v")).first().v == ["图1", "图9", "图3", "图5"]
 
 
 def test_figure_pages(spark):
@@ -156,7 +158,12 @@ def test_figure_pages(spark):
     pages = spark.createDataFrame(rows, "doc string, page int, text string, images int, drawings int")
     assert {(r.doc, r.page) for r in patent.figure_page(pages).filter("is_figure").collect()} == {("d", 3), ("d", 4)}
     assert {r.page for r in patent.trailing_pages(pages).collect()} == {3, 4}
-    assert {r.doc: r.pages for r in patent.candidate_pages(pages).collect()} == {"d": [3, 4], "e": [1]}
+    assert {r.doc: r.pages for r in patent.candidate_pages(pages).collect()} == {"d": [3, 4], "e": []}
+    described = spark.createDataFrame([("d", 1), ("e", 1)], "doc string, n int")
+    assert {r.doc: r.pages for r in patent.candidate_pages(pages, described).collect()} == {"d": [4], "e": [1]}
+    spaced = [("a", 1, "附 图\n说 明" + "字" * 900, 0, 0), ("a", 2, "字" * 900, 0, 0), ("b", 1, "附图说明" + "字" * 900, 0, 0), ("b", 2, "字" * 900 + "说明书 附图", 0, 0), ("b", 3, "图1", 1, 1)]
+    found = patent.candidate_pages(spark.createDataFrame(spaced, "doc string, page int, text string, images int, drawings int"), described)
+    assert {r.doc: r.pages for r in found.collect()} == {"a": [2], "b": [2]}
 
 
 def test_small_texts(spark):

@@ -39,7 +39,28 @@ def test_product_merge(spark):
     blank = dict.fromkeys(("product_id", "product_name", "product_url", "product_source", "price", "brand", "manufacturer", "description", "matched_keywords"), "")
     rows = [blank | {"seq": 1, "run": "r", "product_url": "u", "product_name": "n", "matched_keywords": "k1"}, blank | {"seq": 2, "run": "r", "product_url": "u", "brand": "b", "matched_keywords": "k2, k1", "product_id": "9"}, blank | {"seq": 3, "run": "r", "product_name": "n"}]
     got = dedup.products(spark.createDataFrame(rows), "run").orderBy("seq").collect()
-    assert [(r.key, r.product_name, r.brand, r.matched_keywords, r.product_id) for r in got] == [("url::u", "n", "b", "k1, k2", ""), ("name::n::", "n", None, "", "")]
+    assert [(r.key, r.product_name, r.brand, r.matched_keywords, r.product_id) for r in got] == [("url::u", "n", "b", "k1, k2", ""), ("name::n::", "n", "", "", "")]
+
+
+def test_product_key_keeps_case_and_fills_pictures(spark):
+    kind = "run string, seq int, product_id string, product_name string, product_url string, product_source string, price string, brand string, manufacturer string, description string, matched_keywords string, picture array<string>, raw_payload string"
+    rows = [("r", 1, "", "Foo", "", "s", "", "", "", "", "a, b", [], None), ("r", 2, "", "foo", "", "s", "", "", "", "", "a", None, "{}"), ("r", 3, "", "Foo", "", "s", "", "", "", "", "c,b", ["p"], "{1}"), (None, 4, "", "x", "", "", "", "", "", "", None, None, None)]
+    got = {(r.run, r.key): (r.picture, r.raw_payload, r.matched_keywords) for r in dedup.products(spark.createDataFrame(rows, kind), "run").collect()}
+    assert got == {("r", "name::Foo::s"): (["p"], "{1}", "a, b, c"), ("r", "name::foo::s"): (None, "{}", "a"), (None, "name::x::"): (None, None, "")}
+
+
+def test_nested_rows_from_payloads(spark):
+    """Rows without id and name are products of their own, numbered by the products so far."""
+    kind = "run_id string, seq int, product_id string, product_name string, feature_id string, reason string, raw_payload string"
+    rows = [("r", 1, "5", "n", "f1", None, '{"reason": "why", "feature_id": "no"}'), ("r", 2, None, " ", "f2", None, None), ("r", 3, "5", "other", "f3", "own", '{"reason": "x"}'), ("r", 4, "", "", "f4", None, "broken"), ("r", 5, "", "name", "f5", None, None)]
+    got = [(r.product_key, r.product_id, r.product_name, [(f.feature_id, f.reason) for f in r.features]) for r in verdict.nested(spark.createDataFrame(rows, kind)).collect()]
+    assert sorted(got) == [("5", "5", "n", [("f1", "why"), ("f3", "own")]), ("name", "name", "name", [("f5", None)]), ("product_2", "product_2", "product_2", [("f2", None)]), ("product_3", "product_3", "product_3", [("f4", None)])]
+
+
+@pytest.mark.parametrize("message, summary, run, want", [("m", "失败", 1, "m"), (None, "比对失败", 5, "比对失败"), (None, "无比对结果", None, "无比对结果"), (None, "ok", 5, None), (None, "ok", 0, "ok"), (None, " ", 0, None), (None, None, 0, None), (None, "cancelled", 3, None)])
+def test_exception_message(spark, message, summary, run, want):
+    df = spark.createDataFrame([(message, summary, run)], "m string, s string, r int")
+    assert df.select(lifecycle.exception_message(F.col("m"), F.col("s"), F.col("r")).alias("v")).first().v == want
 
 
 @pytest.mark.parametrize("results, want", [(["MATCH", "MATCH"], "infringement_likely"), (["NO_MATCH", "x"], "no_infringement"), (["MATCH", "NO_MATCH"], "uncertain"), (["x"], "uncertain")])
@@ -65,7 +86,7 @@ def test_nested_flat_and_mixed_input(spark):
     assert verdict.uniform(nested.limit(0), flat.limit(0)).count() == 0
     rows = spark.createDataFrame([("r", 2, "5", "n", "b"), ("r", 1, "5", "n", "a"), ("r", 3, "", "", "c")], "run_id string, seq int, product_id string, product_name string, feature_text string")
     packed = {r.product_key: [f.feature_text for f in r.features] for r in verdict.nested(rows).collect()}
-    assert packed == {"5": ["a", "b"], "product_3": ["c"]}
+    assert packed == {"5": ["a", "b"], "product_2": ["c"]}
 
 
 def test_confirmation(spark):
