@@ -5,9 +5,10 @@ seeds cover too little of the item is settled at once; for the others the longes
 runs of words are marked again and again, longest first, down to runs of ``least`` words. A document
 that covers ``threshold`` of an item's words, in whatever order, is contaminated by it.
 
-The benchmark is a stated query set. It is read in blocks of at most BLOCK_CHARS characters, each
-small enough for every task; a larger benchmark only means more passes over the documents, which are
-never shuffled.
+The benchmark is a stated query set. It is read in blocks of about BLOCK_CHARS characters, each small
+enough for the driver and for every task. A larger benchmark means one pass over the documents for
+each block, whose result is written to the shared folder before the next block is read; so driver and
+tasks hold one block at a time. The documents are never shuffled.
 
 Edge cases: null or empty texts match nothing; items with fewer words than ``least`` are in no document;
 equal items are all reported; repeated rows are judged alike; empty tables give no matches. Columns
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import removed, shared_path
 from .kernels import U, Words, shingles, slices
 
 LEAST, THRESHOLD = 3, 0.6
@@ -153,22 +155,28 @@ def _tile(block: list[tuple[int | None, str | None]], least: int, threshold: flo
     return run
 
 
-def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The benchmark in parts of about chars characters, one at a time."""
+def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[tuple[list[tuple[int | None, str | None]], bool]]:
+    """The benchmark in parts of about chars characters, one at a time; and whether more follow."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = int(total // chars) + 1
     for i in range(n):
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        yield [(r["item_id"], r["text"]) for r in part.collect()]
+        yield [(r["item_id"], r["text"]) for r in part.collect()], i + 1 < n
 
 
 def tiled(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with the items that contaminate each row, as array<item_id, coverage> in the column _cf_hits."""
-    out = docs.withColumn(HITS, F.array().cast(HIT_TYPE))
+    spark, out, path = docs.sparkSession, docs.withColumn(HITS, F.array().cast(HIT_TYPE)), None
     schema = T.StructType([*docs.schema.fields, T.StructField(HITS, HIT_TYPE)])
-    for block in blocks(benchmark, block_chars):
+    for block, more in blocks(benchmark, block_chars):
         out = out.mapInArrow(_tile(block, least, threshold), schema)
+        if more:
+            before, path = path, shared_path(spark, "tiled")
+            out.write.parquet(path)
+            out = spark.read.schema(schema).parquet(path)
+            if before:
+                removed(spark, before)
     return out
 
 

@@ -1,21 +1,27 @@
 """Main text of HTML pages by text-to-tag ratios.
 
-The standard library's parser turns a page into a stream of events. Block elements cut it into lines;
-each line has its text, its number of tags and the element that holds it. Lines in menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments (by element, role, or
-class and id words) are furniture. If there is an article or main element, all other lines in it are
-content, by this rule alone. On pages without one, the text-to-tag ratio is smoothed with a Gaussian
-and clustered by the threshold of its standard deviation; lines above it are content, and with them
-the lines of the same container, so that short paragraphs and headings inside a content region stay.
+The standard library's parser turns a page into a stream of events. Block elements cut it into lines; each
+line has its text, its number of tags and the container that holds it. The text-to-tag ratios of all
+lines of the page are smoothed with a Gaussian and clustered by the threshold of their standard
+deviation. Containers with lines above it are content regions, with what is nested in them and the
+headings and paragraphs that stand directly in what holds them; so short paragraphs, headings and lists of
+a region stay, and other containers go, as do lists of links of which most lines are below. If the regions
+lie in article or main elements, the one with most text is taken.
+
+From the regions, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+comments are pruned: by element and role, and by a class or id of which every word is on a list. If that
+takes all lines above the threshold, the other lines of the page are clustered alone.
 
 Edge cases: null or empty html gives an empty text; unclosed elements end with their parent or the page;
 a page cut off inside a tag loses that tag only; repeated rows give equal rows; an empty table gives an
-empty result. Columns other than page_id, url and html are ignored.
+empty result. Columns other than page_id, url and html are ignored. Time is linear in the page, however
+deep its elements are nested.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -31,29 +37,38 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 FURNITURE = frozenset("aside button canvas dialog footer form head header iframe menu nav noscript object script select style svg template textarea title".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
-#: Words of class and id values; those of OUTSIDE count only outside an article.
-MARKS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu modal nav navbar navigation newsletter popup promo promoted related reply replies share sharing sidebar signup social sponsor sponsored subscribe widget".split())
-OUTSIDE = frozenset("header masthead notice notices alert login search topbar toolbar".split())
+#: Class and id values are taken apart at spaces; one of which every word is here, and one at least in MARKS, marks.
+MARKS = frozenset("ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split())
+GENERIC = frozenset("area articles bar block bottom box buttons container count form global group inner items left links list main navi outer page panel posts primary right secondary section site slot stories text thread top widgets wrap wrapper".split())
+#: Marks only outside an article.
+OUTSIDE = frozenset("header masthead".split())
 CONTENT = frozenset(("article", "main"))
+#: Elements that are lines of their container.
+INLINE_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th option hr".split())
+#: A container of which most lines are below the threshold goes if so much of its text is links, in LINK_LINES lines or more.
+LINK_SHARE, LINK_LINES = 0.6, 3
 
 
 class Lines(HTMLParser):
-    """lines: [text, tags, container, in content element] of what isn't furniture, in page order."""
+    """lines: (text, tags, container, furniture, content element or 0, characters in links), in page order; up: the
+    container around each container."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self._open: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # name, furniture, in content, number
+        self.lines: list[tuple[str, int, int, bool, int, int]] = []
+        self.up: list[int] = [0]
+        # Name, furniture by element or role, furniture, content element, container, inside a link.
+        self._open: list[tuple[str, bool, bool, int, int, bool]] = [("", False, False, 0, 0, False)]
+        self._names: Counter[str] = Counter()
         self._text: list[str] = []
-        self._tags = self._count = 0
+        self._tags = self._linked = 0
 
     def _end_line(self) -> None:
         text = " ".join("".join(self._text).split())
         if text:
-            _, _, content, _ = self._open[-1]
-            holder = next((n for name, _, _, n in reversed(self._open) if name in BLOCK and name != "p" and not re.fullmatch("h[1-6]", name)), 0)
-            self.lines.append((text, max(1, self._tags), holder, content))
-        self._text, self._tags = [], 0
+            _, _, furniture, content, holder, _ = self._open[-1]
+            self.lines.append((text, max(1, self._tags), holder, furniture, content, self._linked))
+        self._text, self._tags, self._linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -64,15 +79,30 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and self._open[-1][0] == tag:
-            self._open.pop()  # its end tag may be left out
-        _, furniture, content, _ = self._open[-1]
+            self._names[self._open.pop()[0]] -= 1  # its end tag may be left out
+        _, hard, furniture, content, holder, link = self._open[-1]
         values = dict(attrs)
-        words = set(re.split(r"[^a-z0-9]+", f"{values.get('class') or ''} {values.get('id') or ''}".lower()))
-        marked = bool(words & MARKS) or not content and bool(words & OUTSIDE)
-        hidden = "hidden" in values or values.get("role") in ROLES
-        self._count += 1
         body = tag in ("html", "body")
-        self._open.append((tag, furniture or tag in FURNITURE or not body and (marked or hidden), content or tag in CONTENT, self._count))
+        if tag in CONTENT and not content:
+            furniture = hard  # a class around the article is no mark for it
+        hard = hard or tag in FURNITURE or not body and ("hidden" in values or values.get("role") in ROLES)
+        furniture = furniture or hard or not body and self._marked(values, bool(content))
+        if tag in BLOCK and tag not in INLINE_BLOCK:
+            self.up.append(holder)
+            holder = len(self.up) - 1
+        if tag in CONTENT and not content:
+            content = holder
+        self._names[tag] += 1
+        self._open.append((tag, hard, furniture, content, holder, link or tag == "a"))
+
+    @staticmethod
+    def _marked(values: dict[str, str | None], in_content: bool) -> bool:
+        marks = MARKS if in_content else MARKS | OUTSIDE
+        for token in f"{values.get('class') or ''} {values.get('id') or ''}".lower().split():
+            words = [w for w in re.split(r"[^a-z]+", token) if w]
+            if any(w in marks for w in words) and all(w in marks or w in GENERIC for w in words):
+                return True
+        return False
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -81,14 +111,18 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self._end_line()
         self._tags += 1
-        for i in range(len(self._open) - 1, 0, -1):
-            if self._open[i][0] == tag:
-                del self._open[i:]
-                return
+        if self._names[tag] > 0:
+            name = ""
+            while name != tag:
+                name = self._open.pop()[0]
+                self._names[name] -= 1
 
     def handle_data(self, data: str) -> None:
-        if not self._open[-1][1]:
-            self._text.append(data)
+        if self._names["script"] or self._names["style"] or self._names["template"]:
+            return
+        self._text.append(data)
+        if self._open[-1][5]:
+            self._linked += len(data)
 
     def close(self) -> None:
         super().close()
@@ -102,20 +136,64 @@ def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(values, reach, "symmetric"), kernel / kernel.sum(), "valid")
 
 
+def _chosen(lines: list[tuple], sigma: float) -> np.ndarray:
+    """Whether each line's smoothed ratio reaches the threshold."""
+    ratio = smoothed(np.array([len(x[0]) / x[1] for x in lines]), sigma)
+    return ratio >= min(ratio.std(), ratio.max())
+
+
+def _kept_holders(lines: list[tuple], chosen: list[bool], up: list[int]) -> set[int]:
+    """Containers of which the lines stay: those with chosen lines, those around and those in them."""
+    linked, total, count, above = Counter(), Counter(), Counter(), Counter()
+    for x, c in zip(lines, chosen, strict=True):
+        linked[x[2]] += x[5]
+        total[x[2]] += len(x[0])
+        count[x[2]] += 1
+        above[x[2]] += c
+    # Smoothing lifts the ends of a list of links beside a paragraph.
+    lists = {h for h in total if linked[h] > LINK_SHARE * total[h] and count[h] >= LINK_LINES and 2 * above[h] < count[h]}
+    own = {h for h in total if above[h]} - lists
+    if not own:
+        own, lists = {h for h in total if above[h]}, set()
+    kept = set(own)
+    for h in own:
+        while h and (h := up[h]) not in kept:
+            kept.add(h)
+    inside: dict[int, bool] = {}
+    for h in total:
+        way = []
+        while h and h not in own and h not in inside:
+            way.append(h)
+            h = up[h]
+        found = h in own or inside.get(h, False)
+        for w in way:
+            inside[w] = found
+    return (kept | {h for h, found in inside.items() if found}) - lists
+
+
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     parser = Lines()
     # A tag that the end of the page cuts off is no text.
     parser.feed(re.sub(r"<[/!?a-zA-Z][^<>]*\Z", "", html or ""))
     parser.close()
     lines = parser.lines
-    if any(x[3] for x in lines):
-        lines = [x for x in lines if x[3]]
-    if not lines:
+    if all(x[3] for x in lines):
         return ""
-    ratio = smoothed(np.array([len(x[0]) / x[1] for x in lines]), sigma)
-    chosen = ratio >= min(ratio.std(), ratio.max())
-    holders = {x[2] for x, c in zip(lines, chosen, strict=True) if c}
-    return "\n\n".join(x[0] for x, c in zip(lines, chosen, strict=True) if c or x[3] or x[2] in holders)
+    chosen = _chosen(lines, sigma)
+    if not any(c and not x[3] for x, c in zip(lines, chosen, strict=True)):
+        lines = [x for x in lines if not x[3]]
+        chosen = _chosen(lines, sigma)
+    pairs = [(x, bool(c)) for x, c in zip(lines, chosen, strict=True) if not x[3]]
+    weight: Counter[int] = Counter()
+    for x, c in pairs:
+        if c and x[4]:
+            weight[x[4]] += len(x[0])
+    if weight:
+        most = max(weight, key=lambda k: (weight[k], -k))
+        pairs = [p for p in pairs if p[0][4] == most]
+    lines, flags = [x for x, _ in pairs], [c for _, c in pairs]
+    kept = _kept_holders(lines, flags, parser.up)
+    return "\n\n".join(x[0] for x in lines if x[2] in kept)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,8 @@ def covered(docs: DataFrame) -> DataFrame:
     w = windows(docs)
     place = F.struct("doc_id", "row", "first")
     firsts = w.groupBy("h1", "h2").agg(F.min(place).alias("origin"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = w.join(firsts, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("origin")))
+    # Written first: so the join has a shuffle of its own for both sides, and a window that many documents share can be split.
+    later = w.join(written(firsts, "firsts").hint("merge"), ["h1", "h2"]).filter(~place.eqNullSafe(F.col("origin")))
     numbers = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"]))))
     return later.groupBy(F.col("doc_id").alias("d_id"), F.col("row").alias("d_row")).agg(F.collect_set(F.struct("first", "last")).alias("spans")).select("d_id", "d_row", F.sort_array(numbers).alias("gone"))
 

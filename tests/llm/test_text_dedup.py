@@ -71,6 +71,46 @@ def test_near_dedup_of_repeated_rows_and_ids(spark):
     assert near.deduped(docs(spark, [])).collect() == []
 
 
+def test_near_copies_of_which_none_reaches_all(spark):
+    """A large group of near copies, beyond the threshold with each other or not; chains of versions; shortened
+    copies of a copy; and another group that shares a passage. As by all pairs, with few pairs compared."""
+    rnd = random.Random(11)
+    word = lambda: f"n{rnd.randrange(10**6)}"
+    base = [word() for _ in range(150)]
+    edited = lambda text, n: [word() if i in at else w for at in [set(rnd.sample(range(len(text)), n))] for i, w in enumerate(text)]
+    texts = [edited(base, rnd.randrange(1, 16)) for _ in range(500)]
+    version = base
+    for _ in range(12):
+        version = edited(version, 7)
+        texts.append(version)
+    texts += [base[:150 - n] for n in range(1, 70, 3)] + [base[n:] for n in range(2, 60, 7)]
+    texts += [base[:60] + [word() for _ in range(rnd.randrange(10, 40))] for _ in range(120)]
+    family = [word() for _ in range(100)]
+    texts += [edited(base[20:60] + family, rnd.randrange(1, 9)) for _ in range(150)]
+    rnd.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    compared, old = [], near._Graph.compared
+
+    def counted(self, pairs, star=False):
+        compared.append((found := old(self, pairs, star)).count())
+        return found
+
+    near._Graph.compared = counted
+    try:
+        for k in (2, 5):
+            compared.clear()
+            got = {r.doc_id: r.component_id for r in near.link(docs(spark, rows), k=k).collect()}
+            assert got == {i: v[1] for (i, _), v in brute.near(rows, k, 80).items()}
+            assert sum(compared) < 12 * len(rows) < len(rows) ** 2 / 60
+    finally:
+        near._Graph.compared = old
+
+
+def test_near_dedup_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "a b c", 5, 6, 7, 8, 9), (2, "a b c", 5, 6, 7, 8, 9)], "doc_id long, text string, g_id int, name int, node int, label int, component_id int")
+    assert [tuple(r) for r in near.deduped(rows).collect()] == [(1, "a b c", 5, 6, 7, 8, 9)]
+
+
 def test_near_of_an_empty_table(spark):
     assert near.link(docs(spark, [])).collect() == []
 
@@ -128,6 +168,11 @@ def test_decontamination(spark):
         got = {r.doc_id: (r.contaminated, r["items"], r.max_coverage) for r in decontam.report(docs(spark, rows), bench, block_chars=size).collect()}
         assert {i for i, v in got.items() if v[0]} == {1, 2, 7, None}
         assert got[1] == (True, "10,14", 1.0) and got[2][2] == 1.0 and got[4] == (False, "", 0.0)
+        held = [len(b) for b, _ in decontam.blocks(bench, size)]
+        assert sum(held) == 5 and (len(held) == 1) == (size > 60)
+    # Whatever the number of blocks, one is in the plan: the others' results are read from files.
+    plan = decontam.tiled(docs(spark, rows), bench, block_chars=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and len(list(decontam.blocks(bench, 10))) > 5
     clean = decontam.clean(docs(spark, rows), bench)
     assert clean.columns == docs(spark, []).columns and {r.doc_id for r in clean.collect()} == {3, 4, 5, 6}
     assert decontam.report(docs(spark, rows), bench.limit(0)).filter("contaminated").isEmpty()

@@ -134,14 +134,46 @@ def test_main_text():
 
 
 def test_ratio_alone_separates():
-    """No element or class name tells the link lists from the text; inside an article the element decides."""
+    """No element or class name tells the link lists from the text, outside an article and inside one."""
     links = "<ul>" + "".join(f'<li><a href="/{i}"><b>Item</b> <i>{i}</i></a></li>' for i in range(12)) + "</ul>"
     paragraphs = [f"Paragraph {i} " + "with many words of plain running text " * 6 for i in range(4)]
-    inside = f"<div class=x1>{links}</div><div class=x2><h2>Head</h2>{''.join(f'<p>{p}</p>' for p in paragraphs)}<p>Short end.</p></div><div class=x3>{links}</div>"
-    wanted = ["Head", *(p.strip() for p in paragraphs), "Short end."]
+    inside = f"<div class=x1>{links}</div><div class=x2><h2>Head</h2>{''.join(f'<p>{p}</p>' for p in paragraphs)}<ol><li>one<li>two</ol><p>Short end.</p></div><div class=x3>{links}</div>"
+    wanted = ["Head", *(p.strip() for p in paragraphs), "one", "two", "Short end."]
     assert html.main_text(f"<body>{inside}</body>").split("\n\n") == wanted
-    items = [f"Item {i}" for i in range(12)]
-    assert html.main_text(f"<body><article>{inside}</article></body>").split("\n\n") == items + wanted + items
+    assert html.main_text(f"<body><article><h1>Title</h1>{inside}</article></body>").split("\n\n") == ["Title", *wanted]
+    flat = f"<article><p>{paragraphs[0]}</p>{links}<p>{paragraphs[1]}</p></article>"
+    assert html.main_text(flat).split("\n\n") == [paragraphs[0].strip(), paragraphs[1].strip()]
+
+
+def test_the_ratio_decides(monkeypatch):
+    """With other values in place of the smoothed ratio, other containers are chosen."""
+    import numpy as np
+
+    page = "<body><div><p>" + "Running text of the story. " * 9 + "</p><p>More.</p></div><div><a>one</a> <a>two</a> <a>three</a></div></body>"
+    assert html.main_text(page).endswith("More.") and "one" not in html.main_text(page)
+    monkeypatch.setattr(html, "smoothed", lambda values, sigma: np.arange(len(values), dtype=float) == len(values) - 1)
+    assert html.main_text(page) == "one two three"
+
+
+def test_marks_in_and_around_articles():
+    body = "<p>" + "Running text of the story goes on. " * 6 + "</p>"
+    text = ("Running text of the story goes on. " * 6).strip()
+    clutter = "".join(f'<div class="{c}"><p>{"Some words that stand here too. " * 5}</p></div>' for c in ("notice", "site-notice", "login", "cookie-banner", "ad-slot top", "related-posts", "comments-list"))
+    assert html.main_text(f"<article>{body}{clutter}</article>") == text
+    assert html.main_text(f'<article>{body}<div role="search">{body}</div><aside>{body}</aside></article>') == text
+    # Words of a class on no list keep its text; so does an article in a marked element.
+    price = "The share price rose by ten per cent in a day and fell again. " * 3
+    assert html.main_text(f'<article>{body}<div class="share-price-report"><p>{price}</p></div></article>') == f"{text}\n\n{price.strip()}"
+    assert html.main_text(f'<div class="widget"><main>{body}</main></div>') == text
+    assert html.main_text(f"<footer>{body}</footer><p>Only line.</p>") == "Only line."
+
+
+def test_deep_and_long_pages():
+    """Linear in elements that are never closed, end tags without a start, and many lines."""
+    deep = "<div>" * 20_000 + "<p>deep text</p>" + "</span>" * 20_000 + "<i>" * 5_000 + "</b>" * 20_000
+    assert html.main_text(deep) == "deep text"
+    long = "<main>" + "<p>a line of the long page with some words</p>" * 20_000 + "</main>"
+    assert html.main_text(long).count("\n\n") == 19_999
 
 
 def brute_article(page):
