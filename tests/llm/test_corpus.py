@@ -138,17 +138,76 @@ def test_copies_give_stars(spark):
 
 
 def test_chains_equal_the_quadratic_recurrence():
+    """Scores by the Fenwick tree equal the best over all predecessors; chains are disjoint, rise and are cut at gaps."""
     rnd = random.Random(9)
-    for _ in range(40):
-        anchors = sorted({(rnd.randrange(60), rnd.randrange(60)) for _ in range(25)})
+    for case in range(200):
+        size = rnd.choice((12, 60, 400))
+        anchors = sorted({(rnd.randrange(size), rnd.randrange(size)) for _ in range(30)})
         best = []
         for x, y in anchors:
-            before = [s + 6 + min(0.0, -substrings.GAP_COST * (x - a + y - b - 12)) for (a, b), s in best if a < x and b < y]
-            best.append(((x, y), max([6.0, *before])))
-        found = substrings.chains(anchors, 6, 1)
+            before = [s - substrings.GAP_COST * (x - a + y - b) for (a, b), s in zip(anchors, best) if a < x and b < y]
+            best.append(substrings.SEED_SCORE + max([0.0, *before]))
+        score, prev = substrings.best_chains(anchors)
+        assert all(abs(s - b) < 1e-9 for s, b in zip(score, best)), case
+        found = substrings.chains(anchors, 1)
         assert sorted(a for c in found for a in c) == anchors
         for c in found:
-            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(c, c[1:]))
+            assert all(p[0] < q[0] and p[1] < q[1] and max(q[0] - p[0], q[1] - p[1]) <= substrings.MAX_GAP for p, q in zip(c, c[1:]))
+
+
+def test_parts_do_not_hide_a_passage(spark):
+    """Documents that hold parts of a passage stand before, between and behind those that share the whole of it."""
+    fresh = iter(range(10**6))
+    other = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    for first, second in ((3, 4), (1, 4), (1, 2), (2, 4)):
+        whole, rows = other(90), []
+        parts = iter((whole[:45], whole[45:]))
+        for i in (1, 2, 3, 4):
+            rows.append((i, " ".join(other(20) + (whole if i in (first, second) else next(parts)) + other(30))))
+        rows += [(10 + n, " ".join(other(9) + whole[5 * n : 5 * n + 45] + other(9))) for n in range(10)]
+        got = {(r.doc_id, r.source_doc_id): r for r in substrings.passages(docs(spark, rows)).collect()}
+        assert got[second, first].end_word - got[second, first].start_word == 90, (first, second)
+
+
+def test_passages_equal_brute_force(spark):
+    """Exact passages: all pairs with a common run of words, through the documents they are linked with."""
+    rnd = random.Random(12)
+    fresh = iter(range(10**6))
+    other = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    pool = [other(rnd.choice((30, 80, 120))) for _ in range(8)]
+    texts = {i: [w for _ in range(rnd.randrange(1, 4)) for w in other(rnd.randrange(5, 40)) + rnd.choice(pool)] for i in range(60)}
+    got = substrings.passages(docs(spark, [(i, " ".join(t)) for i, t in texts.items()])).collect()
+    for r in got:
+        a, b = texts[r.doc_id][r.start_word : r.end_word], texts[r.source_doc_id][r.source_start : r.source_end]
+        assert min(len(a), len(b)) >= 50 and r.equal_words >= 0.8 * max(len(a), len(b)) and r.equal_words <= len(set(a) & set(b)) + 80
+    covered = defaultdict(set)
+    for r in got:
+        covered[r.doc_id].update(texts[r.doc_id][r.start_word : r.end_word])
+        covered[r.source_doc_id].update(texts[r.source_doc_id][r.source_start : r.source_end])
+    for p in pool:
+        holders = [i for i, t in texts.items() if any(t[j : j + len(p)] == p for j in range(len(t)))]
+        if len(p) >= 80 and len(holders) > 1:
+            assert all(len(covered[i] & set(p)) >= len(p) - 2 for i in holders)
+
+
+def test_recall_by_identity(spark):
+    """100-word passages with every n-th word edited, and with as many random edits."""
+    rnd = random.Random(13)
+    fresh = iter(range(10**6))
+    other = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    rows, want = [], defaultdict(list)
+    for n in (20, 10, 8, 5):
+        for i in range(40):
+            text = other(100)
+            at = set(range(n // 2, 100, n)) if i % 2 else set(rnd.sample(range(100), 100 // n))
+            copy = [f"e{next(fresh)}" if j in at else w for j, w in enumerate(text)]
+            a, b = len(rows), len(rows) + 1
+            rows += [(a, " ".join(other(20) + text + other(20))), (b, " ".join(other(20) + copy + other(20)))]
+            want[n].append((b, a))
+    got = {(r.doc_id, r.source_doc_id) for r in substrings.passages(docs(spark, rows)).collect()}
+    recall = {n: sum(p in got for p in v) / len(v) for n, v in want.items()}
+    assert recall[20] == 1 and recall[10] >= 0.9, recall
+    print(recall)
 
 
 def scored(rows):
