@@ -20,8 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
     first.write.parquet(path := shared_path(spark, "labels"))
     labels = spark.read.parquet(path)
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("n_node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, F.col("node") == F.col("n_node"), "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        told = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("own"))
+        lower = told.unionByName(labels.withColumn("own", F.col("label"))).groupBy("node").agg(F.max("own").alias("old"), F.min("label").alias("label"))
         jump = labels.select(F.col("node").alias("j_node"), F.col("label").alias("jumped"))
         now = lower.join(jump, F.col("label") == F.col("j_node"), "left").select("node", "old", F.least("label", F.coalesce("jumped", "label")).alias("label"))
         now.write.parquet(after := shared_path(spark, "labels"))

@@ -148,7 +148,7 @@ class _Graph:
         mine = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("s"), F.sum("c").alias("weight"))
         places = coordinates - matches + 1 - (coordinates - F.size("s"))
         prefix = mine.filter(places > 0).select("node", "weight", F.explode(F.slice("s", F.lit(1), F.greatest(places, F.lit(1)))).alias("p"))
-        self.prefix = prefix.select(F.col("p.key").alias("key"), "node", F.col("weight").alias("rank"), F.col("node").alias("label"))
+        self.posted_keys = written(prefix.select(F.col("p.key").alias("key"), "node", F.col("weight").alias("rank")), "posted")
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """name and items of the sets of the documents ids (column id), and of a few others.
@@ -180,7 +180,7 @@ class _Graph:
 
     def lists(self) -> tuple[DataFrame, DataFrame]:
         """The pairs (a, b) of small lists; and the rows (key, a, b, rank) of longer ones with their centres b."""
-        posted = written(self.prefix, "posted")
+        posted = self.posted_keys
         lists = posted.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("rank", "node")).alias("centre")).filter("n > 1")
         tagged = written(posted.select("key", "node").join(written(lists, "lists").hint("merge"), "key"), "tagged")
         few = tagged.filter(F.col("n") <= SMALL + 1).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("v"))
@@ -192,7 +192,7 @@ class _Graph:
     def roots(stars: DataFrame) -> DataFrame:
         """centre and root: for centres that resemble centres of higher rank, the last one of that chain."""
         centres = stars.select(F.col("b").alias("centre")).distinct()
-        up = stars.filter(F.col("agree") >= FAMILY).join(centres.hint("merge"), F.col("a") == F.col("centre"), "left_semi")
+        up = stars.filter(F.col("agree") >= FAMILY).join(centres, F.col("a") == F.col("centre"), "left_semi")
         found = written(up.groupBy(F.col("a").alias("centre")).agg(F.max(F.struct("rank", "b"))["b"].alias("root")), "roots")
         while True:  # ranks rise, so that there is no circle
             above = found.select(F.col("centre").alias("next"), F.col("root").alias("above"))
@@ -205,7 +205,7 @@ class _Graph:
         """Members a and centres b of the lists that have several labels."""
         marked = lists.join(labels, F.col("a") == F.col("node"), "left").withColumn("label", F.coalesce("label", "a"))
         mixed_up = written(marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"), "open")
-        rows = lists.join(mixed_up.hint("merge"), "key").join(roots, F.col("b") == F.col("centre"), "left")
+        rows = lists.join(mixed_up, "key").join(roots, F.col("b") == F.col("centre"), "left")
         return rows.select("a", F.coalesce("root", "b").alias("b")).filter("a <> b").distinct()
 
     def members(self, profile: DataFrame, labels: DataFrame) -> DataFrame:
@@ -215,16 +215,16 @@ class _Graph:
         marked = profile.join(label("a"), F.col("a") == F.col("a_node"), "left").join(label("b"), F.col("b") == F.col("b_node"), "left")
         marked = written(marked.withColumn("label", F.coalesce("a_label", "a")).withColumn("other", F.col("label") != F.coalesce("b_label", "b")).drop("a_node", "a_label", "b_node", "b_label"), "marked")
         mixed_up = marked.filter("other").groupBy(F.col("b").alias("open")).agg(F.min("excess").alias("low"))
-        return written(marked.join(written(mixed_up, "open").hint("merge"), F.col("b") == F.col("open")).drop("open"), "members")
+        return marked.join(written(mixed_up, "open"), F.col("b") == F.col("open")).drop("open")
 
     def majority(self, members: DataFrame) -> DataFrame:
-        """The members' profile with their centre's set made that of the majority."""
+        """Members' profiles with their centre's set made that of the majority."""
         token = lambda c: members.select("b", F.explode(c).alias("token"), F.lit(c).alias("kind"))
-        size = written(members.groupBy("b").agg(F.count("*").alias("n")), "size")
-        often = written(token("added").unionByName(token("lacking")).groupBy("b", "kind", "token").agg(F.count("*").alias("c")).filter("c > 1"), "often")
+        size = members.groupBy("b").agg(F.count("*").alias("n"))
+        often = token("added").unionByName(token("lacking")).groupBy("b", "kind", "token").agg(F.count("*").alias("c")).filter("c > 1")
         # At most twice as many for a centre as its members differ from it on average.
         turned = often.join(size, "b").filter("2 * c > n").groupBy("b").agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("token"))).alias(f"turned_{k}") for k in ("added", "lacking")))
-        rows = members.select("a", "b", "m", "added", "lacking").join(written(turned, "turned").hint("merge"), "b", "left")
+        rows = members.select("a", "b", "m", "added", "lacking").join(written(turned, "turned"), "b", "left")
         none = F.array().cast("array<long>")
         t_added, t_lacking = (F.coalesce(f"turned_{k}", none) for k in ("added", "lacking"))
         rows = rows.select("a", "b", (F.col("m") + F.size(t_added) - F.size(t_lacking)).alias("m"), F.array_union(F.array_except("added", t_added), F.array_except(t_lacking, "lacking")).alias("added"), F.array_union(F.array_except("lacking", t_lacking), F.array_except(t_added, "added")).alias("lacking"))
@@ -235,7 +235,7 @@ class _Graph:
     def nearest(members: DataFrame) -> DataFrame:
         """Pairs (a, b) of each member and that which differs least from the majority's set, where labels differ."""
         best = written(members.groupBy("b").agg(F.min(F.struct((F.col("e") + F.col("r")).alias("far"), "a", "label")).alias("best")), "best")
-        rows = members.select("b", "a", "label").join(best.hint("merge"), "b").filter(F.col("label") != F.col("best.label"))
+        rows = members.select("b", "a", "label").join(best, "b").filter(F.col("label") != F.col("best.label"))
         return rows.select(F.least("a", "best.a").alias("a"), F.greatest("a", "best.a").alias("b")).distinct()
 
     def posted(self, members: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ class _Graph:
         posted = self.posted(members).select("b", "token", "a", "label", (F.col("e") + F.col("r")).alias("far"))
         by_label = posted.groupBy("b", "token", "label").agg(F.count("*").alias("n"), F.min(F.struct("far", "a", "label")).alias("best"))
         lists = by_label.groupBy("b", "token").agg((F.sum("n") - F.max("n")).alias("others"), F.min("best").alias("best")).filter(F.col("others") > LONG)
-        stars = posted.join(written(lists, "long").hint("merge"), ["b", "token"]).filter(F.col("label") != F.col("best.label"))
+        stars = posted.join(written(lists, "long"), ["b", "token"]).filter(F.col("label") != F.col("best.label"))
         return stars.select(F.least("a", "best.a").alias("a"), F.greatest("a", "best.a").alias("b")).distinct()
 
     def apart(self, members: DataFrame) -> DataFrame:
@@ -292,16 +292,13 @@ class _Graph:
         links = linked(self.compared(agreed.filter("met").select("a", "b").distinct()))
         labels = components(links)
         stars = self.compared(self.open_stars(lists, self.roots(agreed.filter("rank is not null")), labels), star=True)
-        more, profile = linked(stars), None
-        for step in (self.nearest, self.long_lists, self.apart, None):
+        profile, more = self.majority(stars), linked(stars)
+        for step in (lambda members: self.nearest(members).union(self.long_lists(members)).distinct(), self.apart, None):
             if not more.isEmpty():
                 links = links.unionByName(more)
                 labels = components(links)
-            if step is None or (members := self.members(stars if profile is None else profile, labels)).isEmpty():
+            if step is None or (members := self.members(profile, labels)).isEmpty():
                 break
-            if profile is None:
-                profile = self.majority(members)
-                members = self.members(profile, labels)
             more = linked(self.compared(self.agreed(step(members)).filter("met")))
         return labels
 
