@@ -52,6 +52,8 @@ SMALL = 8
 FAMILY = 12
 #: A difference with a centre that so many sets outside the commonest component have gives stars first.
 LONG = 100
+#: Shingles of differences that a task holds before it hands them on.
+PART = 1 << 19
 #: Bits of the table that tells which documents' sets are needed.
 TABLE_BITS = 23
 
@@ -114,20 +116,22 @@ def _profile(threshold: int, star: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, added, lacking = [], [], []
-            for x, y in zip(batch.column("a_items"), batch.column("b_items"), strict=True):
+            counts, added, lacking, size, start = [], [], [], 0, 0
+            for i, (x, y) in enumerate(zip(batch.column("a_items"), batch.column("b_items"), strict=True)):
                 a, b = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
                 has = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
                 both = int(np.count_nonzero(has))
                 e, r = len(a) - both, len(b) - both
                 counts.append((e, r, len(b), 100 * r + threshold * e - (100 - threshold) * len(b)))
-                if star:
-                    added.append(a[~has].view(np.int64))
-                    lacking.append(b[a[np.minimum(np.searchsorted(a, b), len(a) - 1)] != b].view(np.int64))
-            names = ("e", "r", "m", "excess")
-            numbers = [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(names))]
-            lists = [pa.array(v if star else [None] * len(counts), pa.list_(pa.int64())) for v in (added, lacking)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *numbers, *lists], ["a", "b", *names, "added", "lacking"])
+                added.append(a[~has].view(np.int64) if star else None)
+                lacking.append(b[a[np.minimum(np.searchsorted(a, b), len(a) - 1)] != b].view(np.int64) if star else None)
+                size += star * (e + r)
+                if size > PART or i == batch.num_rows - 1:
+                    names = ("e", "r", "m", "excess")
+                    numbers = [pa.array([c[k] for c in counts], pa.int64()) for k in range(len(names))]
+                    lists = [pa.array(v, pa.list_(pa.int64())) for v in (added, lacking)]
+                    yield pa.RecordBatch.from_arrays([batch.column(c).slice(start, len(counts)) for c in ("a", "b")] + numbers + lists, ["a", "b", *names, "added", "lacking"])
+                    counts, added, lacking, size, start = [], [], [], 0, i + 1
 
     return run
 

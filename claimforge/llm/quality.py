@@ -148,8 +148,8 @@ def judged(docs: DataFrame, keep: list[str], threshold: float) -> DataFrame:
 
 
 def judge(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, the counts, base_failed, kept and the posterior of every document."""
-    return judged(docs, ["doc_id"], threshold).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    """doc_id, the counts, base_failed, kept and the posterior (six digits) of every document."""
+    return judged(docs, ["doc_id"], threshold).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
 def kept(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -158,3 +158,32 @@ def kept(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     gone = judged(named, ["doc_id", "_cf_hash"], threshold).filter("not kept").select(F.col("doc_id").alias("_cf_id"), "_cf_hash").distinct()
     # Always a merge join: the plan, and so its disk, is the same at every size.
     return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_cf_id")) & (F.xxhash64("text") == F.col("_cf_hash")), "left_anti")
+
+
+def _oracle() -> str:
+    """The same in DuckDB: votes from the counts, and the rounds as a recursive table of the model over the vote patterns."""
+    i = range(1, len(RULES) + 1)
+    odds = "s + " + " + ".join(f"CASE v{k} WHEN 1 THEN a{k} WHEN -1 THEN c{k} ELSE 0 END" for k in i)
+    ratio = lambda k, v: f"ln((1 + coalesce(sum(n * q) FILTER (v{k} = {v}), 0)) / (3 + sum(n * q))) - ln((1 + coalesce(sum(n * (1 - q)) FILTER (v{k} = {v}), 0)) / (3 + sum(n * (1 - q))))"
+    step = ", ".join(f"greatest(0, {ratio(k, 1)}) AS a{k}, least(0, {ratio(k, -1)}) AS c{k}" for k in i)
+    start = ", ".join(f"ln(4.0::DOUBLE) AS a{k}, -ln(4.0::DOUBLE) AS c{k}" for k in i)
+    columns = ", ".join(f"a{k}, c{k}" for k in i)
+    return rf"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09\x0B-\x0D]')) AS l FROM documents),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+rw AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM r WHERE c > 1) GROUP BY doc_id),
+c AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda v: length(v))), 0)::BIGINT AS word_chars, len(regexp_extract_all(x, '[#*$%&|<>]')) AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+      coalesce(n_repeat_words, 0) AS n_repeat_words, len(l) AS n_lines, len(regexp_extract_all(x, '[.!?]')) AS n_stops, len(regexp_extract_all(x, '[#*$%&|<>]+')) AS n_runs FROM t LEFT JOIN rw USING (doc_id)),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / greatest(word_chars, 1) AS density, n_runs / greatest(n_words, 1) AS runs, n_dup_lines / greatest(n_lines, 1) AS lines, n_repeat_words / greatest(n_words, 1) AS repeats, word_chars / greatest(n_words, 1) AS mean, n_stops / greatest(n_words, 1) AS stops FROM c),
+v AS (SELECT *, CASE WHEN density > 0.05 THEN -1 WHEN density < 0.01 THEN 1 ELSE 0 END AS v1, CASE WHEN runs > 0.15 THEN -1 WHEN runs < 0.05 THEN 1 ELSE 0 END AS v2, CASE WHEN n_dup_lines > 1 AND lines > 0.3 THEN -1 ELSE 0 END AS v3, CASE WHEN repeats > 0.35 THEN -1 ELSE 0 END AS v4,
+      CASE WHEN mean < 2 OR mean > 14 THEN -1 WHEN mean BETWEEN 3 AND 7 THEN 1 ELSE 0 END AS v5, CASE WHEN stops < 0.003 OR stops > 0.8 THEN -1 WHEN stops BETWEEN 0.01 AND 0.4 THEN 1 ELSE 0 END AS v6 FROM f),
+p AS (SELECT v1, v2, v3, v4, v5, v6, count(*) AS n FROM v GROUP BY ALL),
+m AS (SELECT 0 AS k, 0.0::DOUBLE AS s, {start} UNION ALL
+      SELECT k + 1, ln((1 + sum(n * q)) / (1 + sum(n * (1 - q)))), {step} FROM (SELECT k, p.*, 1 / (1 + exp(-({odds}))) AS q FROM m, p WHERE k < {ROUNDS}) GROUP BY k),
+z AS (SELECT s, {columns} FROM m WHERE k = {ROUNDS}),
+y AS (SELECT v.*, 1 / (1 + exp(-({odds}))) AS posterior FROM v, z)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND posterior >= {THRESHOLD} AS kept, round(posterior, 6) AS quality FROM y
+"""
+
+
+ORACLE = _oracle()
