@@ -1,6 +1,6 @@
 """Named queries over the driver tables and their DuckDB twins."""
 
-from . import tabular, textual
+from . import assembled, tabular, textual
 
-QUERIES = tabular.QUERIES | textual.QUERIES
-ORACLES = tabular.ORACLES | textual.ORACLES
+QUERIES = tabular.QUERIES | textual.QUERIES | assembled.QUERIES
+ORACLES = tabular.ORACLES | textual.ORACLES | assembled.ORACLES
