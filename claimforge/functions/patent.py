@@ -118,7 +118,7 @@ def claim_errors(block: Column) -> Column:
 def claim_depth(claims_df: DataFrame, key: str = "task_id") -> DataFrame:
     """X11 (extension): depth of every claim in its dependency tree, by doubling over parents until no claim
     has a parent left; a missing parent ends the way up, and a claim whose way ends in a cycle has no depth."""
-    from ..llm.common import cut
+    from ..sources.shared import cut
 
     up = cut(claims_df.select(key, "claim_id", F.col("parent_claim_id").alias("at"), F.when(F.col("parent_claim_id").isNull(), 0).otherwise(1).alias("depth")))
     # No way without a cycle is longer than the claims of its key are many.

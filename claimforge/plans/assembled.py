@@ -1,11 +1,13 @@
-"""Queries on records, projections and scopes."""
+"""Queries on records, projections, replies, files and scopes. The SQL beside each says the same for DuckDB."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import cells
-from ..operators import assembly
+from ..functions import cells, keywords, patent, replies, rules, text
+from ..operators import assembly, lifecycle, lookup
+from ..sources import files, sinks
 from .tabular import t
 
 QUERIES, ORACLES = {}, {}
@@ -145,3 +147,109 @@ def q_output_order(spark, d):
     rows = assembly.in_order(t(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber"), "l_partkey", "l_orderkey", "l_linenumber")
     placed = rows.withColumn("place", F.monotonically_increasing_id())  # rises with the order of the output
     return placed.groupBy(F.col("l_suppkey").alias("run_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "l_partkey"))), lambda x: x["l_partkey"].cast("string")), ",").alias("products"))
+
+
+@query("""SELECT s_suppkey AS id, '1. ' || repeat(s_name || '，', 20) || chr(10) || '2. 根据权利要求1所述的' || s_name AS block, CASE WHEN s_nationkey % 2 = 0 THEN '' ELSE 'CLAIMS_PARSE_ERROR,CLAIMS_NUMBERING_ERROR' END AS errors FROM supplier""")
+def q_claims_block(spark, d):
+    """The claims between their heading and the description's; errors of a block and of a rest without claims."""
+    body = F.concat(F.lit("1. "), F.repeat(F.concat("s_name", F.lit("，")), F.lit(20)), F.lit("\n2. 根据权利要求1所述的"), "s_name")
+    text = F.concat(F.lit("摘要\n权 利 要 求 书\n"), body, F.lit("\n说明书\n技术领域\n涉及"), "s_name")
+    block = patent.claims_block(text)
+    errors = patent.claim_errors(F.when(F.col("s_nationkey") % 2 == 0, block).otherwise("短"))
+    return t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), block.alias("block"), F.array_join(F.transform(errors, lambda e: e["error_type"]), ",").alias("errors"))
+
+
+@query("SELECT conv_id AS task_id, turn::VARCHAR AS claim_id, turn AS depth FROM (SELECT conv_id, turn - min(turn) OVER (PARTITION BY conv_id) AS turn FROM conversations)")
+def q_claim_depth(spark, d):
+    """X11: turns as claims, each dependent on the one before."""
+    low = F.min("turn").over(Window.partitionBy("conv_id"))
+    place = t(spark, d, "conversations").select(F.col("conv_id").alias("task_id"), (F.col("turn") - low).alias("n"))
+    rows = place.select("task_id", F.col("n").cast("string").alias("claim_id"), F.when(F.col("n") > 0, (F.col("n") - 1).cast("string")).alias("parent_claim_id"))
+    return patent.claim_depth(rows).select("task_id", "claim_id", "depth")
+
+
+@query("SELECT p_partkey AS id, p_name || '|' || p_type AS refined, p_brand AS originals, p_name || ':' || p_type AS words, p_name || p_type AS content FROM part")
+def q_reply_terms(spark, d):
+    """Refined terms or the originals; scene words with their category; the text of content parts."""
+    lines = F.concat(F.lit("1. "), "p_name", F.lit("\n2. "), "p_type", F.lit("\n说明：x"))
+    scenes = replies.scene_words(F.concat(F.lit('[{"text": '), q("p_name"), F.lit(', "category": '), q("p_type"), F.lit("}]")))
+    content = replies.flat_content(F.concat(F.lit('[{"type": "text", "text": '), q("p_name"), F.lit("}, "), q("p_type"), F.lit("]")))
+    refined = lambda reply: F.array_join(replies.refined_terms(reply, F.array("p_brand")), "|")
+    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), refined(lines).alias("refined"), refined(F.lit("说明")).alias("originals"), F.array_join(F.transform(scenes, lambda s: F.concat_ws(":", s["text"], s["category"])), "|").alias("words"), content.alias("content"))
+
+
+@query("SELECT page_id, page_id % 2 = 0 AS missing, CASE page_id % 3 WHEN 0 THEN 'tok' || page_id WHEN 1 THEN repeat('a', 20) || page_id END AS token, CASE page_id % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' END AS kind, CASE WHEN page_id % 2 = 0 THEN 'retry' WHEN page_id % 3 = 0 THEN 'wait；ask' ELSE '' END AS advice FROM pages")
+def q_predicates(spark, d):
+    """X37, X42, X50, J25."""
+    i = F.col("page_id")
+    reply = F.when(i % 2 == 0, F.concat(F.lit("请提供权利要求编号 "), i.cast("string"))).otherwise("ok")
+    url = F.when(i % 3 == 0, F.concat(F.lit("https://x/base/tok"), i.cast("string"), F.lit("?t=1"))).when(i % 3 == 1, F.concat(F.repeat(F.lit("a"), F.lit(20)), i.cast("string"))).otherwise("https://x/y")
+    head = F.when(i % 3 == 0, F.unhex(F.lit("89504E470D0A"))).when(i % 3 == 1, F.unhex(F.lit("FFD8FF"))).otherwise(F.unhex(F.lit("00")))
+    message = F.when(i % 2 == 0, "504").when(i % 3 == 0, "limit quota").otherwise("x")
+    advice = rules.hints(message, (("504", "retry"), ("limit", "wait"), ("quota", "ask")))
+    return t(spark, d, "pages").select("page_id", rules.missing_context(reply).alias("missing"), patent.app_token(url).alias("token"), rules.image_kind(F.lit(None).cast("string"), head).alias("kind"), advice.alias("advice"))
+
+
+@query("SELECT c_custkey AS id, left(replace(c_name, '#', '#'), 12) || '同款' || c_mktsegment AS keyword, 'HOLDER_BASED' AS kind FROM customer")
+def q_holder_keyword(spark, d):
+    """The keyword that a company's name gives; legal wording is passed over."""
+    k = keywords.holder_keyword(F.concat("c_name", F.lit("股份有限公司")), F.lit("主"), F.array(F.lit("用于x"), F.col("c_mktsegment")), F.array().cast("array<string>"))
+    return t(spark, d, "customer").select(F.col("c_custkey").alias("id"), k["keyword_text"].alias("keyword"), keywords.display_type(k["keyword_type"]).alias("kind"))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_nationkey % 2 = 0 THEN c_name ELSE c_mktsegment END AS first_full, CASE WHEN length(c_name) > 10 THEN left(c_name, 10) || '...' ELSE c_name END AS short, 'A' || chr(10) || c_name || chr(10) || chr(10) || 'C' || chr(10) || c_mktsegment AS outline, c_nationkey % 2 = 0 AS general, c_nationkey % 2 = 0 AS fitness, CASE WHEN c_nationkey % 2 = 0 THEN c_name ELSE 'RECORD-' || c_custkey END AS claim_id,
+CASE WHEN c_nationkey % 2 = 0 THEN 'INDEPENDENT' ELSE 'DEPENDENT' END AS kind FROM customer""")
+def q_projections(spark, d):
+    """J1, J2, J6, J11-J13, J31."""
+    even = F.col("c_nationkey") % 2 == 0
+    claim = F.when(even, F.col("c_name")).otherwise(" ")
+    section = lambda n, x: F.struct(F.lit(n).alias("section_name"), x.alias("section_text"))
+    sections = F.array(section("A", F.col("c_name")), section("B", F.lit("　 ")), section("C", F.col("c_mktsegment")))
+    default = keywords.claim_default(F.lit("home_appliances"), claim, claim, F.lit("n"), F.col("c_mktsegment"), F.col("c_custkey"))
+    return t(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), text.first_non_blank(claim, "c_mktsegment").alias("first_full"), text.shortened(F.col("c_name"), 10).alias("short"), patent.outline(sections).alias("outline"),
+        keywords.valid_input(F.lit("general"), claim, F.lit("1"), F.lit("")).alias("general"), keywords.valid_input(F.lit("fitness"), claim, F.lit("1"), F.lit("x")).alias("fitness"), default["claim_id"].alias("claim_id"),
+        rules.claim_kind(F.when(even, "独立权利要求").otherwise("dependent")).alias("kind"),
+    )
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' ELSE 'txt' END AS format, CASE WHEN page_id % 2 = 0 THEN html ELSE repeat('b', 60) END AS usable, sha256(html) AS file_sha256, length(url) AS url_length FROM pages")
+def q_files(spark, d):
+    """Formats of urls, the first usable text, digests, texts cut to their columns."""
+    i = F.col("page_id")
+    url = F.when(i % 3 == 0, "http://x/a.PDF?q=1").when(i % 3 == 1, "http://x/get?file_path=b.docx").otherwise("http://x/get")
+    usable = files.first_usable(F.when(i % 2 == 0, F.col("html")).otherwise("[error] " + "x" * 60), F.repeat(F.lit("b"), F.lit(60)))
+    rows = t(spark, d, "pages").select("page_id", "url", files.file_format(url, F.lit("text")).alias("format"), usable.alias("usable"), F.lit("t 1").alias("task_id"), F.lit("图 1.png").alias("name"), F.col("html").cast("binary").alias("content"), F.col("url").alias("page_url"))
+    out = lifecycle.error_reports(sinks.figure_files(rows, "http://b"))
+    return out.select("page_id", "format", "usable", "file_sha256", F.length("page_url").alias("url_length"))
+
+
+@query("SELECT conv_id AS path, string_agg(text, chr(10) ORDER BY turn) AS raw_text FROM conversations WHERE regexp_matches(text, '[^\\s\\p{Z}]') GROUP BY 1")
+def q_page_text(spark, d):
+    """Turns as pages of a reader, joined in order."""
+    return files.page_text(t(spark, d, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("page"), "text"))
+
+
+@query("SELECT user_id AS id, count(*) FILTER (event_type = 'view') AS own, sum(CASE WHEN user_id = 7 THEN 1 ELSE 0 END)::BIGINT AS seven FROM events GROUP BY 1")
+def q_scopes(spark, d):
+    """Rows that a user, an administrator and a session see."""
+    rows = t(spark, d, "events").select(F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("analysis_session_id"), F.col("user_id").alias("id"))
+    count = lambda df, name: df.groupBy("id").agg(F.count("*").alias(name))
+    every = count(lookup.visible(rows, "7", admin=True), "n").join(count(lookup.scoped(rows, "view"), "own"), "id", "left").join(count(lookup.visible(rows, "7", admin=False), "seven"), "id", "left")
+    return every.select("id", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("seven", F.lit(0)).alias("seven"))
+
+
+@query("SELECT o_custkey AS session_id, arg_max(o_orderpriority, o_orderkey) AS priority, arg_max(o_orderstatus, o_orderkey) FILTER (o_orderstatus <> 'O') AS status FROM orders GROUP BY 1")
+def q_merged_results(spark, d):
+    """Result maps merged in order; later keys win, null never replaces a value."""
+    results = F.map_from_arrays(F.array(F.lit("priority"), F.lit("status")), F.array(F.col("o_orderpriority"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus"))))
+    rows = t(spark, d, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("seq"), results.alias("results"))
+    return lifecycle.merged_results(rows).select("session_id", F.col("results")["priority"].alias("priority"), F.col("results")["status"].alias("status"))
+
+
+@query("SELECT p_partkey AS product_id, true AS has_payload, 0 AS n_pictures, CASE WHEN p_size % 2 = 0 THEN p_brand END AS brand FROM part")
+def q_stored_products(spark, d):
+    """K3, K4: empty texts become null; a row without payload keeps itself as JSON."""
+    rows = t(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise("").alias("brand"), F.lit(None).cast("array<string>").alias("picture"), F.lit(None).cast("string").alias("raw_payload"))
+    out = sinks.empty_to_null(sinks.stored_product(rows))
+    return out.select("product_id", (F.get_json_object("raw_payload", "$.product_id") == F.col("product_id").cast("string")).alias("has_payload"), F.size("picture").alias("n_pictures"), "brand")
