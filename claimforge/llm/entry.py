@@ -49,4 +49,4 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_urls, op3_html, op4_mixing, op5_decontam, op6_substrings, op7_quality, op8_near, op9_lm, op10_lines)}
-ORACLES = {"op1_warc": warc.ORACLE, "op4_mixing": mixing.ORACLE, "op7_quality": quality.ORACLE, "op8_near": near.ORACLE, "op10_lines": lines.ORACLE}
+ORACLES = {"op1_warc": warc.ORACLE, "op2_urls": urls.ORACLE, "op4_mixing": mixing.ORACLE, "op7_quality": quality.ORACLE, "op8_near": near.ORACLE, "op10_lines": lines.ORACLE}

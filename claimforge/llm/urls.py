@@ -134,3 +134,43 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     least = threshold(found.filter("said is not null and not fit").select("said", "n", F.col("fit_ratio").alias("ratio"))) if both else 0.0
     verdict = F.coalesce("said", F.when(F.col("ratio") >= least, "allow").otherwise("block"))
     return rows.join(found.select("host", "path", "ratio"), ["host", "path"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "ratio")
+
+
+def _oracle() -> str:
+    """The same in DuckDB: bytes as hexadecimal digits, counts of each order by joins, and the best edge of the bins."""
+    order = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+    fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, _ in order]
+    rule = " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (h, p, _) in zip(fits, order, strict=True))
+    said = " ".join(f"WHEN {f} THEN '{v}'" for f, (_, _, v) in zip(fits, order, strict=True))
+    sums = ", ".join(f"coalesce(sum(n * times) FILTER (said = '{v}'{' AND fit' * (w == 'fit')}), 0)::DOUBLE AS {v}_{w}" for w in ("fit", "all") for v in ("block", "allow"))
+    joins, steps, before = [], [], "u"
+    for k in range(ORDER + 1):
+        own, context = f"substr(g, {9 - 2 * k})", f"substr(g, {9 - 2 * k}, {2 * k})"
+        joins.append(f"o{k} AS (SELECT {own} AS key, {sums} FROM g WHERE said IS NOT NULL GROUP BY 1), x{k} AS (SELECT {context} AS key, {sums} FROM g WHERE said IS NOT NULL GROUP BY 1)")
+        after = ", ".join(f"(coalesce(o{k}.{c}, 0) + {SMOOTH} * p_{c}) / (coalesce(x{k}.{c}, 0) + {SMOOTH}) AS p_{c}" for c in COUNTS)
+        steps.append(f"s{k} AS (SELECT g, {after} FROM {before} LEFT JOIN o{k} ON o{k}.key = {own} LEFT JOIN x{k} ON x{k}.key = {context})")
+        before = f"s{k}"
+    added = ", ".join(f"round(ln(p_allow_{w} / p_block_{w}) * {POINT})::BIGINT AS sum_{w}" for w in ("fit", "all"))
+    total = lambda w: f"(CASE WHEN has_{w} THEN sum(times * a.sum_{w})::DOUBLE / {POINT} / any_value(len + 1) ELSE 0.0::DOUBLE END)"
+    return rf"""
+WITH t AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+w AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT *, CASE {rule} END AS rule, CASE {said} END AS said FROM w),
+d AS (SELECT host, path, any_value(said) AS said, count(*) AS n, hex(encode(host || path)) AS h FROM r GROUP BY host, path),
+e AS (SELECT *, len(h) // 2 AS len, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda j: ('0x' || substr(h, 2 * j + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 5 <> 0 AS fit FROM d, t),
+g AS (SELECT host, path, said, fit, n, len, g, count(*) AS times FROM (SELECT *, substr('{"00" * ORDER}' || h || '01', 2 * unnest(range(len + 1)) + 1, {2 * ORDER + 2}) AS g FROM e) GROUP BY ALL),
+z AS (SELECT count(*) FILTER (said = 'block' AND fit) > 0 AND count(*) FILTER (said = 'allow' AND fit) > 0 AS has_fit, count(*) FILTER (said = 'block') > 0 AND count(*) FILTER (said = 'allow') > 0 AS has_all FROM e),
+u AS (SELECT DISTINCT g, {", ".join(f"1 / 256 AS p_{c}" for c in COUNTS)} FROM g),
+{", ".join(joins)},
+{", ".join(steps)},
+a AS (SELECT g, {added} FROM {before}),
+q AS (SELECT host, path, any_value(g.said) AS said, any_value(g.fit) AS fit, any_value(n) AS n, {total("fit")} AS fit_ratio, {total("all")} AS ratio FROM g JOIN a USING (g), z GROUP BY host, path, has_fit, has_all),
+b AS (SELECT said, round(greatest(least(fit_ratio, 20), -20) * 100)::INT AS bin, sum(n) AS c FROM q WHERE said IS NOT NULL AND NOT fit GROUP BY ALL),
+y AS (SELECT sum(c) FILTER (said = 'allow') AS allowed, sum(c) FILTER (said = 'block') AS blocked FROM b),
+k AS (SELECT edge, round(sum(CASE WHEN (bin >= edge) = (said = 'allow') THEN c / CASE said WHEN 'allow' THEN allowed ELSE blocked END ELSE 0 END), 9) AS score FROM (SELECT DISTINCT bin AS edge FROM b UNION SELECT 0), b, y GROUP BY edge),
+m AS (SELECT CASE WHEN has_fit AND allowed > 0 AND blocked > 0 THEN (SELECT edge FROM k ORDER BY score DESC, abs(edge), edge LIMIT 1) / 100 - 0.005::DOUBLE ELSE 0.0::DOUBLE END AS least FROM y, z)
+SELECT page_id, r.host, r.path, r.rule, coalesce(r.said, CASE WHEN ratio >= least THEN 'allow' ELSE 'block' END) AS verdict, ratio FROM r JOIN q ON q.host = r.host AND q.path = r.path, m
+"""
+
+
+ORACLE = _oracle()
