@@ -10,8 +10,10 @@ slot is predicted in two steps (class, then member) from
   queries are vectors of the ids, distances have a bias, and ids of other documents are masked.
 
 Training is data-parallel: the windows of WINDOW ids that tile every training document, the shorter last
-one included, go in a seeded order through Adam, each task from one start; the tasks' weights are averaged.
-Scoring goes over windows of WINDOW ids, each HALF ids after the one before; the last HALF ids are
+one included, go in a seeded order through Adam. Texts are dealt to tasks and ordered by their hash, about
+TASK_CHARS to a task, so neither files nor cluster matter; the tasks' weights are averaged after each of
+ROUNDS rounds (the texts are dealt to these, too) and the next round begins with them.
+Scoring goes over windows of WINDOW ids of a text, each HALF ids after the one before; the last HALF ids are
 scored, so each id is scored once and sees the ids before it, WINDOW - HALF or more of them or all.
 
 The base score is a word unigram. Counts of frequent words (at most FREQUENT) go to every task; the
@@ -46,6 +48,7 @@ BATCH, RATE, SEED = 64, 0.01, 9
 FREQUENT = 1 << 18
 PAIR_SMOOTH = 20.0
 CHUNK = 4096
+ROUNDS, TASK_CHARS = 2, 1 << 24
 #: Words whose ids a task remembers.
 REMEMBER = 400_000
 _END_WORD = U(0x5851F42D4C957F2D)
@@ -220,7 +223,7 @@ class Attention:
         bias = np.where(distance < 0, np.float32(-1e9), p["distances"][np.maximum(distance, 0)])
         scores = p["queries"][inputs[:, b:]] @ p["keys"][inputs].transpose(0, 2, 1)
         scores += bias
-        several = np.flatnonzero(rows[:, 0] != rows[:, -1])  # windows with more than one document
+        several = np.flatnonzero((rows != rows[:, :1]).any(1))  # windows with more than one document
         scores[several] -= np.float32(1e9) * (rows[several, b:, None] != rows[several, None, :])
         if scores.max() > 60:
             scores -= scores.max(2, keepdims=True)
@@ -228,19 +231,26 @@ class Attention:
         return (scores @ p["values"][inputs]) / scores.sum(2, keepdims=True)
 
     def logs(self, slots: np.ndarray, rows: np.ndarray, end: int) -> np.ndarray:
-        """Natural log-probability of every slot of a stream (row numbers in rows), each scored once."""
-        n, p = len(slots), self.params
+        """Natural log-probability of every slot of a stream (row numbers in rows), each scored once. Every row
+        begins a window's last half, so its scores don't depend on its neighbours."""
+        p = self.params
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.empty(0, np.int64)
+        lens = np.diff(np.append(first, len(rows)))
+        room = -(-lens // HALF) * HALF
+        place = np.arange(len(rows)) + np.repeat(np.cumsum(room) - room - first, lens)
+        n = int(room.sum())
+        inputs, owner, after_all = np.full(n + WINDOW - HALF, end), np.full(n + WINDOW - HALF, -1), np.full(n, end)
+        before = np.concatenate([[end], slots[:-1]])[: len(slots)]
+        before[first] = end
+        inputs[place + WINDOW - HALF], owner[place + WINDOW - HALF], after_all[place] = before, rows, slots
         out = np.empty(n, np.float32)
-        padded = -n % HALF
-        inputs = np.concatenate([np.full(WINDOW - HALF + 1, end), slots[:-1], np.full(padded, end)])
-        owner = np.concatenate([np.full(WINDOW - HALF, -1), rows, np.full(padded, -2)])
         inputs = np.lib.stride_tricks.sliding_window_view(inputs, WINDOW)[::HALF]
         owner = np.lib.stride_tricks.sliding_window_view(owner, WINDOW)[::HALF]
         for a in range(0, len(inputs), 512):
             x = inputs[a : a + 512]
             mixed = self.mixed(x, owner[a : a + 512]).reshape(-1, WIDTH)
             m = min(n - a * HALF, len(mixed))
-            mixed, before, after = mixed[:m], x[:, WINDOW - HALF :].reshape(-1)[:m], slots[a * HALF : a * HALF + m]
+            mixed, before, after = mixed[:m], x[:, WINDOW - HALF :].reshape(-1)[:m], after_all[a * HALF : a * HALF + m]
             # In the order of the targets' classes, so that each class is one product.
             order = np.argsort((after // CLASSES).astype(np.uint8), kind="stable")
             mixed, before, after = mixed[order], before[order], after[order]
@@ -256,7 +266,7 @@ class Attention:
                     logits -= logits.max(1, keepdims=True)
                 total += logits[at, target] - np.log(np.exp(logits).sum(1))
             out[a * HALF + order] = total
-        return out
+        return out[place]
 
     def gradient(self, inputs: np.ndarray, rows: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean loss over the positions with rows >= 0."""
@@ -332,7 +342,7 @@ def _windows(slots: np.ndarray, ptr: np.ndarray, end: int) -> tuple[np.ndarray,
 def _train(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        subwords, net = Subwords(model.vocabulary), Attention(model.log_pairs)
+        subwords, net = Subwords(model.vocabulary), Attention(model.log_pairs, {k: v.copy() for k, v in model.params.items()})
         end, random = int(model.slot[model.end]), np.random.Generator(np.random.PCG64(SEED))
         first, second = ({k: np.zeros_like(v) for k, v in net.params.items()} for _ in range(2))
         steps, seen, waiting = 0, 0, None
@@ -433,10 +443,19 @@ def fitted(docs: DataFrame, pairs: DataFrame, vocabulary: bytes) -> SimpleNamesp
     folded = folded.join(F.broadcast(named), F.col("b") == F.col("slot_id"), "left").withColumn("b", F.coalesce("slot_id", F.lit(other))).drop("slot_id")
     table = folded.groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
     model = new_model(vocabulary, end, id_counts, np.stack([table[c].to_numpy() for c in ("a", "b", "n")], 1))
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.filter(~held_out(F.col("doc_id"))).select("text")
+    rows = docs.filter(~held_out(F.col("doc_id"))).select("text", F.xxhash64("text").alias("hash"))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    for turn in range(ROUNDS):
+        _round(rows.filter(F.pmod("hash", F.lit(ROUNDS)) == turn), model, chars // (ROUNDS * TASK_CHARS) + 1)
+    return model
+
+
+def _round(rows: DataFrame, model: SimpleNamespace, tasks: int) -> None:
+    """Trains the model's weights on rows (text, hash) in so many tasks and averages them, by windows."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    dealt = rows.repartition(tasks, F.shiftright("hash", 8)).sortWithinPartitions("hash", "text").select("text")
     schema = "chunk int, seen long, sums array<double>"
-    sums = rows.mapInArrow(_train(shared), schema).repartition(32, "chunk").mapInArrow(_add, schema).toArrow()  # one row a chunk of the weights
+    sums = dealt.mapInArrow(_train(shared), schema).repartition(32, "chunk").mapInArrow(_add, schema).toArrow()  # one row a chunk of the weights
     if sums.num_rows:
         parts = sorted(zip(sums["chunk"].to_pylist(), sums["seen"].to_pylist(), sums["sums"].to_pylist(), strict=True))
         flat, at = np.concatenate([np.array(v) / n for _, n, v in parts]).astype(np.float32), 0
@@ -445,7 +464,6 @@ def fitted(docs: DataFrame, pairs: DataFrame, vocabulary: bytes) -> SimpleNamesp
             model.params[k] = flat[at : at + int(np.prod(shape))].reshape(shape)
             at += int(np.prod(shape))
     shared.destroy()
-    return model
 
 
 def score(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:

@@ -233,6 +233,29 @@ def test_base_scores(spark, tables, monkeypatch, frequent):
     assert all(r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 10 == 0) and -math.inf < r.score < 0 for r in got)
 
 
+def test_attention_gains_and_layouts_do_not_matter(spark, tables):
+    """Held-out documents score better with the trained attention than with the pair counts alone; files and
+    the number of partitions don't change the scores."""
+    import numpy as np
+    import pyarrow as pa
+
+    frame = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text")
+    with open(lm.TOKENIZER, "rb") as file:
+        vocabulary = file.read()
+    _, pairs = lm._counted(frame, vocabulary)
+    model = lm.fitted(frame, pairs, vocabulary)
+    texts = [r.text for r in frame.filter(lm.held_out(frame.doc_id)).collect()]
+    s = lm.Stream(pa.array(texts), lm.Subwords(vocabulary))
+    s.expand()
+    slots, row = model.slot[s.ids], np.repeat(np.arange(s.rows), np.diff(s.ptr))
+    total = lambda params: lm.Attention(model.log_pairs, params).logs(slots, row, int(model.slot[model.end])).sum() / len(slots)
+    trained, start = total(model.params), total(None)
+    assert trained > start + 0.02, (trained, start)
+    once = {r.doc_id: r.score for r in lm.score(frame).collect()}
+    other = {r.doc_id: r.score for r in lm.score(frame.orderBy(frame.doc_id.desc()).repartition(7)).collect()}
+    assert all(abs(v - other[k]) <= 1e-4 * abs(v) for k, v in once.items())
+
+
 def test_scores_of_an_empty_table(spark):
     assert lm.score(docs(spark, [])).collect() == []
 
@@ -271,8 +294,9 @@ def test_attention_gradient_and_windows():
     stream, owner = rnd.integers(0, 50, 70), np.repeat([0, 1, 2], [40, 1, 29])
     got = net.logs(stream, owner, 7)
     for i in (0, 1, 15, 16, 17, 39, 40, 41, 69):
-        start = max(i // lm.HALF * lm.HALF + lm.HALF - lm.WINDOW, int(np.searchsorted(owner, owner[i])))
-        inputs = np.concatenate([[7], stream[:-1]])[start : i + 1]
+        row = int(np.searchsorted(owner, owner[i]))
+        start = max(row + (i - row) // lm.HALF * lm.HALF + lm.HALF - lm.WINDOW, row)
+        inputs = np.concatenate([[7], stream[row:-1]])[start - row : i + 1 - row]
         q, ks = net.params["queries"][inputs[-1]], net.params["keys"][inputs]
         s = ks @ q + net.params["distances"][np.arange(len(inputs))[::-1]]
         w = np.exp(s - s.max())
