@@ -69,6 +69,8 @@ def tiled_words(item: list[int], text: list[int], free_text: list[bool], least:
         found = []
         for h, p in _runs(item, free_item, length):
             for t in starts.get(h, ()):
+                if p and t and item[p - 1] == text[t - 1] and free_item[p - 1] and free_text[t - 1]:
+                    continue  # part of the match that begins a word before
                 n = 0
                 while p + n < len(item) and t + n < len(text) and item[p + n] == text[t + n] and free_item[p + n] and free_text[t + n]:
                     n += 1
@@ -77,12 +79,16 @@ def tiled_words(item: list[int], text: list[int], free_text: list[bool], least:
         if found and -min(found)[0] > 2 * length:
             length = -min(found)[0]
             continue
-        marked = False
+        blocked = 0
         for n, p, t in sorted(found):
+            if n > blocked:
+                break  # what is left of a blocked match may be longer
             if all(free_item[p : p - n]) and all(free_text[t : t - n]):
                 free_item[p : p - n] = free_text[t : t - n] = [False] * -n
-                covered, marked = covered - n, True
-        if marked:
+                covered -= n
+            else:
+                blocked = min(blocked, n)
+        if found:
             continue
         if length == least:
             return covered

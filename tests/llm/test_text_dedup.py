@@ -150,15 +150,39 @@ def test_line_dedup_of_an_empty_table(spark):
 
 def test_tiling_equals_brute_force():
     rnd = random.Random(2)
-    for _ in range(60):
-        item = [rnd.randrange(12) for _ in range(rnd.randrange(3, 40))]
-        text = [rnd.randrange(12) for _ in range(20)] + item[8:] + [rnd.randrange(12) for _ in range(9)] + item[:8]
-        assert abs(decontam.tiled_words(item, text, [True] * len(text), 3) - brute.tiling(item, text, 3)) <= 2  # ties of equal length
+    for _ in range(150):
+        few = rnd.choice((3, 6, 12))
+        item = [rnd.randrange(few) for _ in range(rnd.randrange(3, 60))]
+        text = [rnd.randrange(few) for _ in range(20)] + item[8:] + [rnd.randrange(few) for _ in range(9)] + item[:8]
+        assert decontam.tiled_words(item, text, [True] * len(text), 3) == brute.tiling(item, text, 3)
         spread = [i * 1000 + rnd.randrange(3) for i in range(30)]
         moved = spread[20:] + [7, 8] + spread[:20]
         assert decontam.tiled_words(spread, moved, [True] * len(moved), 3) == brute.tiling(spread, moved, 3) == 30
 
 
+def test_coverage_equals_brute_force(spark):
+    """Every document and item by plain greedy tiling of all their words."""
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(30)]
+    items = [[rnd.choice(words) for _ in range(rnd.randrange(2, 40))] for _ in range(12)]
+    texts = []
+    for _ in range(80):
+        parts = [[rnd.choice(words) for _ in range(rnd.randrange(0, 30))]]
+        for x in rnd.sample(items, 2):
+            at = rnd.randrange(len(x))
+            parts += [x[at:], [rnd.choice(words) for _ in range(rnd.randrange(0, 9))], x[: at if rnd.random() < 0.7 else 0]]
+        texts.append([w for part in parts for w in part])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(5, " ".join(texts[5]))]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = sorted((r.doc_id, r["items"], round(r.max_coverage, 9)) for r in decontam.report(docs(spark, rows), bench, block_chars=300).collect())
+    want = []
+    for i, t in [*enumerate(texts), (5, texts[5])]:
+        share = {k: brute.tiling(x, t, 3) / len(x) for k, x in enumerate(items)}
+        hit = {k: v for k, v in share.items() if v >= 0.6 and len(items[k]) >= 3}
+        want.append((i, ",".join(map(str, sorted(hit))), round(max(hit.values(), default=0.0), 9)))
+    assert got == sorted(want)
+
+
 def test_decontamination(spark):
     item = "The quick brown fox jumps over the lazy dog while eleven old owls watch from a tree"
     w = item.split()
