@@ -182,3 +182,13 @@ def test_gaps_in_random_statuses(spark):
     df = spark.createDataFrame(events, "k string, status string, ts int")
     want = [i for i, e in enumerate(events) if i == 0 or e[1] != events[i - 1][1]]
     assert sorted(r.ts for r in lifecycle.changes(df, ["k"]).collect()) == want
+
+
+def test_restarted_stream_goes_on(spark, tmp_path):
+    """A second run with the same checkpoint reads only what is new."""
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    stream = lambda: spark.readStream.schema("session_id string, status string").json(source)
+    for n, rows in enumerate(([("a", "running")], [("b", "running"), ("a", "completed")])):
+        spark.createDataFrame(rows, "session_id string, status string").coalesce(1).write.mode("append").json(source)
+        runs.persisted(stream(), out, state).awaitTermination(60)
+        assert spark.read.parquet(out).count() == (1, 3)[n]
