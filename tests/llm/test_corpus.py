@@ -353,3 +353,22 @@ def test_stages_and_pipeline(spark, tables):
 
 def test_registered_queries():
     assert [n.split("_")[0] for n in entry.QUERIES] == [f"op{i}" for i in range(1, 11)] and set(entry.ORACLES) <= set(entry.QUERIES)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null texts, ids and sources, repeated rows, a very long text, an extra column; and empty tables."""
+    rnd = random.Random(14)
+    word = lambda: rnd.choice("bcdfgl") + rnd.choice("aeiou") + rnd.choice("mnprst") + rnd.choice("aeiou")
+    prose = lambda n: " ".join(word() + ("." if i % 9 == 8 else "") for i in range(n))
+    texts = [prose(120) for _ in range(12)] + [prose(60_000)]
+    rows = [(i, t, "en", "s", len(t), "x") for i, t in enumerate(texts)] + [(0, texts[0], "en", "s", len(texts[0]), "x")]
+    rows += [(50, None, "en", None, None, None), (51, "", None, "s", 0, "x"), (None, prose(100), None, "s", None, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, g_id string"
+    bench = spark.createDataFrame([(1, " ".join(texts[3].split()[20:90])), (2, None)], "item_id long, text string")
+    for n, (docs_, items) in enumerate(((rows, bench), ([], bench), (rows, bench.limit(0)))):
+        folder = str(tmp_path / str(n))
+        spark.createDataFrame(docs_, kind).write.parquet(f"{folder}/documents.parquet")
+        items.write.parquet(f"{folder}/benchmark.parquet")
+        got = [r.doc_id for r in corpus_pipeline.run(spark, folder).collect()]
+        assert len(got) == len(set(got)) and set(got) <= {*range(13), None}
+        assert (3 in got) == (n == 2) and (not docs_ or len(got) >= 12), got
