@@ -2,12 +2,15 @@
 
 Every stage takes (spark, docs, sf_dir), works on all documents its predecessor kept and returns a
 DataFrame; the driver writes each result as Parquet and reads it again for the next stage.
+
+Edge cases: documents with null or empty text fail the quality rules; rows without doc_id go through every stage but are
+no one's copy in near-dedup; repeated rows (equal doc_id and text) stay once after near-dedup; columns beside those of
+documents are kept; empty documents give an empty result, an empty benchmark removes nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from claimforge.llm import decontam, lines, mixing, near, quality
 from claimforge.llm.common import shared_path, table
