@@ -19,9 +19,8 @@ lists give way to that one, so that all copies of a text are held against the sa
 * Two linked members, one of which isn't in the centre's component, must add or lack in common a number of
   shingles that follows from their sizes. Differences are posted under the centre, as many as a linked set
   needs at most, and joined like a prefix of a set, with the positions' bound (see apart()).
-* Before that each member is held against the one nearest to the majority's set. A difference that very many
-  members have (copies of a copy, a passage that many texts share) makes them a group with a centre of its
-  own, which goes the same way; so no list is joined that is longer than LONG but for one component.
+* Before that each member is held against the one nearest to the majority's set, and members of very long
+  lists of differences against one of theirs, so that copies of a copy are one component by then.
 
 So groups of copies give stars, not all pairs, and no link between different components is lost but by the
 miss rate. What is left are pairs of sets that share differences and aren't linked.
@@ -51,9 +50,8 @@ SHINGLE, THRESHOLD = 2, 80
 SMALL = 8
 #: A centre that agrees on so many coordinates with the centre of a list that it is in gives way to that one.
 FAMILY = 12
-#: A list of differences with so many sets outside its commonest component is no join but a group with a centre of its
-#: own; after LEVELS groups in groups all lists are joined.
-LONG, LEVELS = 64, 2
+#: A difference with a centre that so many sets outside the commonest component have gives stars first.
+LONG = 100
 #: Shingles of differences that a task holds before it hands them on.
 PART = 1 << 19
 #: Bits of the table that tells which documents' sets are needed.
@@ -255,18 +253,18 @@ class _Graph:
         as_x, as_y = least(F.col("excess") + t), least(F.least(F.lit(1), F.col("low")) + 100 * r + t * e)
         rows = members.withColumn("d", e + r).withColumns({"as_x": F.when(F.col("other"), as_x).otherwise(0), "as_y": as_y})
         first = F.slice(F.concat("added", "lacking"), F.lit(1), F.greatest("as_x", "as_y"))
-        return rows.select("b", F.posexplode(first).alias("at", "token"), "a", "e", "r", "m", "excess", "as_x", "as_y", "label")
+        return rows.select("b", F.posexplode(first).alias("at", "token"), "a", "e", "r", "m", "excess", "as_x", "as_y", "label", "other")
 
-    @staticmethod
-    def long_lists(posted: DataFrame) -> DataFrame:
-        """b, token and a centre of the lists of differences with more than LONG members outside their commonest
-        component; the centre is the member that differs least."""
-        by_label = posted.groupBy("b", "token", "label").agg(F.count("*").alias("n"), F.min(F.struct((F.col("e") + F.col("r")).alias("far"), "a")).alias("best"))
-        lists = by_label.groupBy("b", "token").agg((F.sum("n") - F.max("n")).alias("others"), F.min("best")["a"].alias("centre"))
-        return written(lists.filter(F.col("others") > LONG).drop("others"), "long")
+    def long_lists(self, members: DataFrame) -> DataFrame:
+        """Pairs (a, b) of each member of a long list of differences and the one of them that differs least, where labels differ."""
+        posted = self.posted(members).select("b", "token", "a", "label", (F.col("e") + F.col("r")).alias("far"))
+        by_label = posted.groupBy("b", "token", "label").agg(F.count("*").alias("n"), F.min(F.struct("far", "a", "label")).alias("best"))
+        lists = by_label.groupBy("b", "token").agg((F.sum("n") - F.max("n")).alias("others"), F.min("best").alias("best")).filter(F.col("others") > LONG)
+        stars = posted.join(written(lists, "long"), ["b", "token"]).filter(F.col("label") != F.col("best.label"))
+        return stars.select(F.least("a", "best.a").alias("a"), F.greatest("a", "best.a").alias("b")).distinct()
 
-    def apart(self, members: DataFrame, posted: DataFrame) -> DataFrame:
-        """Of members with their posted differences the pairs (a, b) x and y of one centre c, of different labels, x not of c's, that may be linked.
+    def apart(self, members: DataFrame) -> DataFrame:
+        """Pairs (a, b) of members x and y of one centre c, of different labels, x not of c's, that may be linked.
 
         With t per cent, x and y are linked if they share t / (100 + t) of |x| + |y|. They share c less what either
         lacks, and what both add. So they are linked if they lack in common and add in common, together, at
@@ -274,11 +272,13 @@ class _Graph:
         of the first differences of each, as many as leave that number behind, as in a prefix join. (A set
         that adds more than a linked set may lack must share one of the first that it adds.) If it isn't, y is
         nearly c and x at the threshold; these few are paired by that alone."""
-        t = self.threshold
+        t, posted = self.threshold, self.posted(members)
         needed = F.col("x_excess") + 100 * F.col("y_r") + t * F.col("y_e")
         size = lambda p: F.col(f"{p}_m") - F.col(f"{p}_r") + F.col(f"{p}_e")
-        can = (F.col("x_label") != F.col("y_label")) & (100 * F.least(size("x"), size("y")) >= t * F.greatest(size("x"), size("y")))
-        side = lambda p, *names: [F.col(c).alias(f"{p}_{c}") for c in ("a", "e", "r", "m", "excess", "label", *names)]
+        # Where both may be x, one order is enough: what is needed is the same either way.
+        once = ~F.col("y_other") | (F.col("x_a") < F.col("y_a"))
+        can = once & (F.col("x_label") != F.col("y_label")) & (100 * F.least(size("x"), size("y")) >= t * F.greatest(size("x"), size("y")))
+        side = lambda p, *names: [F.col(c).alias(f"{p}_{c}") for c in ("a", "e", "r", "m", "excess", "label", "other", *names)]
         x = posted.filter("at < as_x").select("b", "token", *side("x", "at"))
         y = posted.filter("at < as_y").select("b", "token", *side("y", "at"))
         left = lambda p: F.col(f"{p}_e") + F.col(f"{p}_r") - F.col(f"{p}_at")
@@ -298,33 +298,14 @@ class _Graph:
         links = linked(self.compared(agreed.filter("met").select("a", "b").distinct()))
         labels = components(links)
         stars = self.compared(self.open_stars(lists, self.roots(agreed.filter("rank is not null")), labels), star=True)
-        more = linked(stars)
-        for level in range(LEVELS):
-            profile = self.majority(stars)
-            for step in ("nearest", "apart"):
-                if not more.isEmpty():
-                    links = links.unionByName(more)
-                    labels = components(links)
-                members = self.members(profile, labels)
-                if members.isEmpty():
-                    return labels
-                if step == "nearest":
-                    pairs = self.nearest(members)
-                else:
-                    posted, long = written(self.posted(members), "posted"), None
-                    if level < LEVELS - 1:
-                        long = self.long_lists(posted)
-                        stars = posted.join(long, ["b", "token"]).select("a", F.col("centre").alias("b")).filter("a <> b").distinct()
-                        posted = posted.join(long.select("b", "token"), ["b", "token"], "left_anti")
-                    pairs = self.apart(members, posted)
-                more = linked(self.compared(self.agreed(pairs).filter("met")))
+        profile, more = self.majority(stars), linked(stars)
+        for step in (lambda members: self.nearest(members).union(self.long_lists(members)).distinct(), self.apart, None):
             if not more.isEmpty():
                 links = links.unionByName(more)
                 labels = components(links)
-            if long is None or long.isEmpty():
+            if step is None or (members := self.members(profile, labels)).isEmpty():
                 break
-            stars = self.compared(stars, star=True)
-            more = linked(stars)
+            more = linked(self.compared(self.agreed(step(members)).filter("met")))
         return labels
 
 
