@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, lines, lm, mixing, near, quality, substrings, urls, warc
+from . import decontam, fim, html, langid, lines, lm, mixing, near, quality, substrings, urls, warc, whitening
 from .common import table
 
 
@@ -48,5 +48,17 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_urls, op3_html, op4_mixing, op5_decontam, op6_substrings, op7_quality, op8_near, op9_lm, op10_lines)}
-ORACLES = {"op1_warc": warc.ORACLE, "op2_urls": urls.ORACLE, "op4_mixing": mixing.ORACLE, "op7_quality": quality.ORACLE, "op8_near": near.ORACLE, "op10_lines": lines.ORACLE}
+def op11_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.query(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transform(table(spark, sf_dir, "documents")).drop("output")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_urls, op3_html, op4_mixing, op5_decontam, op6_substrings, op7_quality, op8_near, op9_lm, op10_lines, op11_langid, op12_whitening, op13_fim)}
+ORACLES = {"op1_warc": warc.ORACLE, "op2_urls": urls.ORACLE, "op4_mixing": mixing.ORACLE, "op7_quality": quality.ORACLE, "op8_near": near.ORACLE, "op10_lines": lines.ORACLE, "op13_fim": fim.ORACLE}
