@@ -1,6 +1,6 @@
 """Named queries over the driver tables and their DuckDB twins."""
 
-from . import assembled, tabular, textual
+from . import assembled, stored, tabular, textual
 
-QUERIES = tabular.QUERIES | textual.QUERIES | assembled.QUERIES
-ORACLES = tabular.ORACLES | textual.ORACLES | assembled.ORACLES
+QUERIES = tabular.QUERIES | textual.QUERIES | assembled.QUERIES | stored.QUERIES
+ORACLES = tabular.ORACLES | textual.ORACLES | assembled.ORACLES | stored.ORACLES

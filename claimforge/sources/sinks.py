@@ -1,4 +1,4 @@
-"""Sinks: idempotent writes of runs and their children (K1-K9)."""
+"""Sinks: idempotent writes of runs and their children (K2-K9); versions.py replaces children (K1, K4)."""
 
 from __future__ import annotations
 
@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import safe_file_name
 
 
-def replace_partitions(df: DataFrame, path: str, key: str) -> None:
-    """K1, K4: the children of every key in df replace those stored, others stay; a retried write gives the same files."""
-    df.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
-
-
 def append(df: DataFrame, path: str) -> None:
     """K2, K3."""
     df.write.mode("append").parquet(path)

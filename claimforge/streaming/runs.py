@@ -1,4 +1,4 @@
-"""Streaming twins of the run lifecycle (T1, T2, T6), and windowed counts as an extension.
+"""Streaming twins of the run lifecycle (T1, T2), and windowed counts as an extension; polling.py has T3, T6, K5 and K6.
 
 The reference has no watermarks or windows; windowed() is labelled an extension. State lives in Spark's
 state store; persisted() keeps it in shared storage (T7)."""
@@ -28,7 +28,7 @@ def windowed(events: DataFrame, late: str = "10 minutes", size: str = "1 hour")
 
 
 def once_per_run(events: DataFrame, keys: list[str], late: str = "10 minutes") -> DataFrame:
-    """Each status of a run once, with bounded state."""
+    """Extension: each status of a run once, with bounded state; a status that comes back within the watermark is dropped."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([*keys, "status"])
 
 

@@ -140,10 +140,6 @@ def test_sources(spark, tmp_path):
 
 
 def test_sinks(spark, tmp_path):
-    path = str(tmp_path / "t")
-    sinks.replace_partitions(spark.createDataFrame([(1, "a"), (2, "b")], "record_id int, v string"), path, "record_id")
-    sinks.replace_partitions(spark.createDataFrame([(2, "c")], "record_id int, v string"), path, "record_id")
-    assert {(r.record_id, r.v) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "c")}
     stored = spark.createDataFrame([("r", "queued", "t0", None)], "run_id string, status string, started_at string, finished_at string")
     new = spark.createDataFrame([("r", "error", "t1", "t2"), ("s", "queued", "t3", None)], stored.schema)
     assert {tuple(r) for r in sinks.upserted(stored, new, ["run_id"]).collect()} == {("r", "error", "t0", "t2"), ("s", "queued", "t3", None)}
