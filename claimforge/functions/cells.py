@@ -87,6 +87,9 @@ def patent_record(record: Column) -> Column:
 def product_record(record: Column, place: Column) -> Column:
     """Struct of a product; place is the record's number from 1 on."""
     fields = {k: _first(text_cell, record, names) for k, names in PRODUCT.items()} | {k: _first(link_cell, record, names) for k, names in PRODUCT_LINKS.items()}
+    # A price of zero is a price: the number is read where no text is.
+    number = number_cell(record, "价格")
+    fields["price"] = F.coalesce(F.nullif(fields["price"], F.lit("")), F.when(number == F.floor(number), number.cast("decimal(38,0)").cast("string")).otherwise(number.cast("string")), F.lit(""))
     fields["product_id"] = F.coalesce(F.nullif(fields["product_id"], F.lit("")), F.concat(F.lit("product_"), place.cast("string")))
     fields["product_name"] = F.coalesce(F.nullif(fields["product_name"], F.lit("")), F.concat(F.lit("商品 "), place.cast("string")))
     return F.struct(*(v.alias(k) for k, v in fields.items()))

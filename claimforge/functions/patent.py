@@ -264,6 +264,12 @@ def subject(source: Column) -> Column:
     return let(strip(F.regexp_replace(bare, f"{WS}+", " ")), pick)
 
 
+def session_title(titles: list[Column], sources: list[Column]) -> Column:
+    """The first subject among titles and sources, in order, as the title of its analysis; without one the first title, else the bare word."""
+    found = F.coalesce(*(F.nullif(subject(c), F.lit("")) for c in (*titles, *sources)))
+    return F.coalesce(F.concat(found, F.lit("专利分析")), *(F.nullif(strip(c), F.lit("")) for c in titles), F.lit("专利分析"))
+
+
 def app_token(url: Column) -> Column:
     """The token after /base/ or /wiki/, or a bare token of 20 characters or more."""
     return F.coalesce(*(F.nullif(F.regexp_extract(url, p, 1), F.lit("")) for p in (r"/base/([A-Za-z0-9]+)", r"/wiki/([A-Za-z0-9]+)", r"^([A-Za-z0-9]{20,})$")))

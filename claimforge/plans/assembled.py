@@ -168,16 +168,6 @@ def q_claim_depth(spark, d):
     return patent.claim_depth(rows).select("task_id", "claim_id", "depth")
 
 
-@query("SELECT p_partkey AS id, p_name || '|' || p_type AS refined, p_brand AS originals, p_name || ':' || p_type AS words, p_name || p_type AS content FROM part")
-def q_reply_terms(spark, d):
-    """Refined terms or the originals; scene words with their category; the text of content parts."""
-    lines = F.concat(F.lit("1. "), "p_name", F.lit("\n2. "), "p_type", F.lit("\n说明：x"))
-    scenes = replies.scene_words(F.concat(F.lit('[{"text": '), q("p_name"), F.lit(', "category": '), q("p_type"), F.lit("}]")))
-    content = replies.flat_content(F.concat(F.lit('[{"type": "text", "text": '), q("p_name"), F.lit("}, "), q("p_type"), F.lit("]")))
-    refined = lambda reply: F.array_join(replies.refined_terms(reply, F.array("p_brand")), "|")
-    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), refined(lines).alias("refined"), refined(F.lit("说明")).alias("originals"), F.array_join(F.transform(scenes, lambda s: F.concat_ws(":", s["text"], s["category"])), "|").alias("words"), content.alias("content"))
-
-
 @query("SELECT page_id, page_id % 2 = 0 AS missing, CASE page_id % 3 WHEN 0 THEN 'tok' || page_id WHEN 1 THEN repeat('a', 20) || page_id END AS token, CASE page_id % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' END AS kind, CASE WHEN page_id % 2 = 0 THEN 'retry' WHEN page_id % 3 = 0 THEN 'wait；ask' ELSE '' END AS advice FROM pages")
 def q_predicates(spark, d):
     """X37, X42, X50, J25."""

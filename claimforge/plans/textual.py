@@ -125,15 +125,6 @@ def q_tolerant_json(spark, d):
     return t(spark, d, "events").select("event_id", F.try_variant_get(v, "$.k", "double").alias("k"), F.coalesce(replies.at(v, "text"), F.col("event_type")).alias("kind"))
 
 
-@query("SELECT p_partkey AS id, i AS place, CASE i WHEN 0 THEN p_name ELSE p_brand END AS product_name, CASE i WHEN 0 THEN p_type ELSE '' END AS product_source FROM part, range(2) r(i)")
-def q_product_replies(spark, d):
-    """Replies with products under a key, with aliases and empty fields."""
-    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    reply = F.concat(F.lit('{"data": [{"title": '), q("p_name"), F.lit(', "product_name": "", "platform": '), q("p_type"), F.lit('}, {"name": '), q("p_brand"), F.lit(', "price": 0}]}'))
-    rows = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.posexplode(F.transform(replies.product_items(reply), replies.product)).alias("place", "p"))
-    return rows.select("id", F.col("place").cast("long").alias("place"), "p.product_name", "p.product_source")
-
-
 @query("SELECT c_custkey AS id, left('Customer#', 12) || lpad((c_custkey // 1000000)::VARCHAR, 3, '0') AS holder_name, true AS enterprise FROM customer")
 def q_holder_name(spark, d):
     """Customers as companies; names are cut at 12 characters."""
@@ -182,46 +173,6 @@ def q_plain_terms(spark, d):
     return t(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all(F.lower("text"), F.lit("a.e"), F.lit(0))).cast("long").alias("n_regex"), rules.occurrences(F.col("text"), (". ",)).cast("long").alias("n_plain"))
 
 
-@query("SELECT doc_id, lang AS reply, source AS keyword, 0.9::DOUBLE AS sure FROM documents")
-def q_combined_keywords(spark, d):
-    """Replies as JSON lists of combined keywords."""
-    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    reply = F.concat(F.lit('[{"keyword_text": '), q("source"), F.lit(', "keyword_type": '), q("lang"), F.lit(', "confidence": 0.9}, {"keyword_text": ""}]'))
-    rows = t(spark, d, "documents").select("doc_id", F.explode(replies.combined_keywords(reply)).alias("k"))
-    return rows.select("doc_id", F.col("k.keyword_type").alias("reply"), F.col("k.keyword_text").alias("keyword"), F.col("k.confidence").alias("sure"))
-
-
-@query("SELECT p_partkey AS id, p_name || '|' || p_type AS listed, 2 AS n FROM part")
-def q_listed_terms(spark, d):
-    """Numbered lines as terms."""
-    terms = replies.listed_terms(F.concat(F.lit("1. "), "p_name", F.lit("\n\n2、"), "p_type"))
-    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(terms, "|").alias("listed"), F.size(terms).alias("n"))
-
-
-@query("SELECT p_partkey AS id, p_name || '@0.9' AS terms FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, p_type || '@0.6' FROM part WHERE p_partkey % 2 = 1")
-def q_filtered_terms(spark, d):
-    """Scored items, or the originals where the reply has none."""
-    reply = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('{"core_terms": [{"term": "'), "p_name", F.lit('", "score": 0.9}, {"term": ""}]}'))).otherwise("sorry")
-    found = replies.filtered_terms(reply, F.array("p_type"))
-    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(F.transform(found, lambda x: F.concat(x["text"], F.lit("@"), x["confidence"].cast("string"))), "|").alias("terms"))
-
-
-@query("SELECT p_partkey AS id, p_name AS primary_object, p_type AS search, CASE WHEN contains(p_type, p_name) THEN '' ELSE p_type END AS grounded FROM part")
-def q_product_objects(spark, d):
-    """The primary object and the others; those that the context has and that aren't the primary one."""
-    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    o = replies.product_objects(F.concat(F.lit("["), q("p_name"), F.lit(", "), q("p_type"), F.lit("]")))
-    kept = replies.grounded(o["search"], o["primary"], F.regexp_replace("p_type", " ", ""))
-    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), o["primary"].alias("primary_object"), F.array_join(o["search"], "|").alias("search"), F.when(F.contains(F.col("p_type"), F.col("p_name")), "").otherwise(F.array_join(kept, "|")).alias("grounded"))
-
-
-@query("SELECT p_partkey AS id, p_name AS scenarios, p_type AS audiences FROM part")
-def q_tagged_lists(spark, d):
-    """Lines after tagged headers."""
-    found = replies.tagged_lists(F.concat(F.lit("使用场景：\n- "), "p_name", F.lit("\n目标人群：\n1. "), "p_type"))
-    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(found["scenarios"], "|").alias("scenarios"), F.array_join(found["audiences"], "|").alias("audiences"))
-
-
 @query("SELECT p_partkey AS id, p_partkey || 'A' AS feature_id, p_name AS feature_text, p_partkey::VARCHAR AS claim_id FROM part")
 def q_reply_features(spark, d):
     """Features of a reply; items without a text are left out."""

@@ -72,17 +72,43 @@ def session_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(kind).option("mode", "DROPMALFORMED").option("multiLine", "true").json(path)
 
 
+# What the name or a column of a table of products or comparisons contains.
+PRODUCT_NAMES = ("商品", "product", "产品", "检索")
+COMPARISON_NAMES = ("比对", "comparison", "侵权", "特征")
+PRODUCT_COLUMNS = ("商品", "产品", "product")
+COMPARISON_COLUMNS = ("权利要求", "特征", "claim", "比对")
+SHARED_COLUMNS = ("权利要求", "技术特征", "claim", "匹配", "比对", "侵权")
+
+
 def table_kind(name: str, columns: list[str]) -> str | None:
-    """Products, comparisons or patent by the table's name, else by its columns."""
-    low = name.lower()
-    for kind, words in (("products", ("product", "商品", "产品")), ("comparisons", ("compar", "比对", "对比")), ("patent", ("patent", "专利"))):
-        if any(w in low for w in words):
-            return kind
-    have = {c.lower() for c in columns}
-    for kind, marks in (("comparisons", {"comparison_result", "feature_id"}), ("products", {"product_name", "product_url"}), ("patent", {"claim_text", "patent_number"})):
-        if have & marks:
-            return kind
-    return None
+    """Products or comparisons by what the table's name contains (case aside), else by what its columns' names contain (in
+    their case); a table with columns of both is one of comparisons."""
+    has = lambda texts, parts: any(p in x for x in texts for p in parts)
+    if has([name.lower()], PRODUCT_NAMES):
+        return "products"
+    if has([name.lower()], COMPARISON_NAMES) or has(columns, COMPARISON_COLUMNS):
+        return "comparisons"
+    return "products" if has(columns, PRODUCT_COLUMNS) else None
+
+
+def sniffed(tables: dict[str, list[str]]) -> dict[str, str]:
+    """The table of each kind by the columns of tables that have records, in order. Of several of a kind the last counts; without one of
+    comparisons, but with products, the first table with a column of either counts for both."""
+    found = {kind: name for name, columns in tables.items() if (kind := table_kind(name, columns))}
+    if "products" in found and "comparisons" not in found:
+        both = next((n for n, columns in tables.items() if any(p in c for c in columns for p in SHARED_COLUMNS)), None)
+        found |= {"comparisons": both} if both else {}
+    return found
+
+
+def kinds(records: DataFrame) -> DataFrame:
+    """S17 as a table: (table_name, kind) of scanned tables (table_name, record as a variant), by the columns of each one's first record (seq)."""
+    first = records.groupBy("table_name").agg(F.min_by(F.map_keys(F.try_variant_get("record", "$", "map<string,variant>")), "seq").alias("columns"))
+    name = F.lower("table_name")
+    part = lambda c, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))
+    column = lambda words: F.exists("columns", lambda c: part(c, words))
+    kind = F.when(part(name, PRODUCT_NAMES), "products").when(part(name, COMPARISON_NAMES) | column(COMPARISON_COLUMNS), "comparisons").when(column(PRODUCT_COLUMNS), "products")
+    return first.select("table_name", kind.alias("kind"))
 
 
 def find_table(names: list[str], part: str) -> str | None:

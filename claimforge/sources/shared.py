@@ -28,3 +28,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """A table as Parquet in the shared folder, read back: computed once, with a size that Spark knows."""
+    path = shared_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -121,9 +121,13 @@ def test_python_literals(spark):
 
 def test_filtered_terms(spark):
     c = replies.filtered_terms(F.col("s"), F.col("o"))
+    terms = lambda x: [(y.text, y.confidence) for y in x.terms]
     got = value(spark, c, s='{"core_terms": ["水杯", {"term": "灯", "confidence": 0}, {"text": "轮", "score": 0.5}]}', o=["z"])
-    assert [tuple(x) for x in got] == [("水杯", 0.7), ("灯", 0.8), ("轮", 0.5)]
-    assert [tuple(x) for x in value(spark, c, s="nothing", o=[str(i) for i in range(20)])] == [(str(i), 0.6) for i in range(12)]
+    assert terms(got) == [("水杯", 0.7), ("灯", 0.8), ("轮", 0.5)]
+    got = value(spark, c, s="nothing", o=[str(i) for i in range(20)])
+    assert terms(got) == [(str(i), 0.6) for i in range(12)] and got.log == replies.FILTER_NOTICE
+    assert terms(value(spark, c, s="{'Core Terms': [{'Term': '灯', 'on': True},]}", o=[])) == [("灯", 0.8)]
+    assert value(spark, c, s="nothing", o=[]).log == "" and terms(value(spark, c, s=None, o=["a"])) == [("a", 0.6)]
 
 
 def test_other_replies(spark):
@@ -132,12 +136,14 @@ def test_other_replies(spark):
     assert value(spark, replies.grounded(F.col("o"), F.col("p"), F.col("c")), o=["扫 地", "杯", "灯"], p="灯", c="一种扫地的灯") == ["扫 地"]
     assert tuple(value(spark, replies.invention_point(F.col("s"), F.lit("general")), s="a|b|c")) == ("a", "b", "")
     assert tuple(value(spark, replies.invention_point(F.col("s"), F.lit("home_appliances")), s="a|x|b|c")) == ("a|x", "b", "c")
-    assert value(spark, replies.listed_terms(F.col("s")), s="1. 甲\n2、乙\n\n") == ["甲", "乙"]
-    assert [tuple(k) for k in value(spark, replies.combined_keywords(F.col("s")), s="甲乙丙\n1. 丁")] == [("甲乙丙", "combined", 0.6), ("丁", "combined", 0.6)]
+    assert [x.text for x in value(spark, replies.listed_terms(F.col("s")), s="1. 甲\n2、乙\n\n")] == ["甲", "乙"]
+    assert [tuple(k) for k in value(spark, replies.combined_keywords(F.col("s")), s="甲乙丙\n1. 丁")] == [("甲乙丙", "unknown", "text_extraction", 0.6), ("1. 丁", "unknown", "text_extraction", 0.6)]
     assert [f.feature_id for f in value(spark, replies.reply_features(F.col("s"), F.lit("1")), s='{"features": [{"feature_id": "1A", "feature_text": "x"}, {"feature_id": "", "feature_text": "y"}]}')] == ["1A"]
-    assert tuple(value(spark, replies.tagged_lists(F.col("s")), s="使用场景：\n1. 家里\n人群：\n- 老人\n- 孩子")) == (["家里"], ["老人", "孩子"])
+    assert tuple(value(spark, replies.tagged_lists(F.col("s")), s="{x}\n使用场景：\n1. 家里\n人群：\n- 老人\n- 孩子")) == (["家里"], ["老人", "孩子"])
     assert [s.text for s in value(spark, replies.scene_words(F.col("s")), s='[{"text": "室内", "category": "usage_environment"}, "户外"]')] == ["室内", "户外"]
-    assert value(spark, replies.refined_terms(F.col("s"), F.col("o")), s="精炼说明：", o=["原"]) == ["原"]
+    own = F.transform("o", lambda x: F.struct(x.alias("text"), F.lit("").alias("source"), F.lit("").alias("type")))
+    got = value(spark, replies.refined_terms(F.col("s"), own), s="精炼说明：", o=["原"])
+    assert [x.text for x in got.terms] == ["原"] and got.log == replies.REFINE_NOTICE
     assert value(spark, replies.flat_content(F.col("s")), s='[{"type": "text", "text": "a"}, "b"]') == "ab"
 
 

@@ -135,7 +135,8 @@ def test_sources(spark, tmp_path):
     up = spark.createDataFrame([("a b.pdf", "x/y", 5), ("c.exe", "x/y", 5), ("d", "text/plain", 60 << 20)], "name string, mime string, length long")
     assert [r.safe_name for r in files.uploads(up).collect()] == ["a_b.pdf"]
     assert files.table(spark, "users").columns[:2] == ["id", "name"]
-    assert files.table_kind("产品表", []) == "products" and files.table_kind("t", ["feature_id"]) == "comparisons" and files.find_table(["a", "Bc"], "b") == "Bc"
+    assert files.table_kind("产品表", []) == "products" and files.table_kind("t", ["商品", "claim"]) == "comparisons" and files.table_kind("侵权", ["商品"]) == "comparisons" and files.table_kind("t", ["x"]) is None
+    assert files.sniffed({"商品": ["名称", "匹配状态"], "x": ["y"]}) == {"products": "商品", "comparisons": "商品"} and files.sniffed({"a": ["x"]}) == {} and files.find_table(["a", "Bc"], "b") == "Bc"
     assert df.select(files.file_format(F.lit("http://x/y?file=z.DOCX"), F.lit("document")).alias("v")).first().v == "docx"
 
 
