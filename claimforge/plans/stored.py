@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..operators import polling
-from ..sources import paged, versions
+from ..sources import charsets, keyed, paged, versions
 from ..sources.shared import shared_path
 from .tabular import t
 
@@ -93,3 +97,34 @@ def q_live_status(spark, d):
     status = F.when(kind == "signup", "queued").when(kind == "purchase", "completed").when(kind == "error", "error")
     found = polling.live_status(rows.filter(kind == "click"), rows.withColumn("status", status).filter("status is not null"), rows.filter(kind == "view"), "12 HOURS", order=("ts", "event_id"))
     return found.select("event_id", "status", "is_finished")
+
+
+@F.pandas_udf(BinaryType())
+def _encoded(texts: pd.Series, charsets: pd.Series) -> pd.Series:
+    return pd.Series([t.encode(c) for t, c in zip(texts, charsets, strict=True)], dtype=object)
+
+
+_HEADS = ("utf-8", ""), ("utf-16-le", ""), ("utf-16-be", ""), ("gb18030", "权利要求书与检索结果的说明。"), ("big5", "權利要求書與檢索結果的說明。"), ("shift_jis", "検索結果と請求項の説明です。"), ("gb18030", "")
+
+
+@query("""WITH x AS (SELECT page_id, page_id % 8 AS arm, CASE page_id % 8 WHEN 3 THEN '权利要求书与检索结果的说明。' WHEN 4 THEN '權利要求書與檢索結果的說明。' WHEN 5 THEN '検索結果と請求項の説明です。' ELSE '' END || CASE WHEN page_id % 8 IN (4, 5) THEN regexp_replace(html, '[^\x00-\x7f]', '', 'g') ELSE html END AS html FROM pages)
+SELECT page_id, CASE WHEN arm < 7 THEN md5(html) END AS digest, CASE WHEN arm IN (3, 6) THEN CASE WHEN arm = 3 OR regexp_matches(html, '[^\x00-\x7f]') THEN 'gb18030' ELSE 'utf-8' END WHEN arm < 7 THEN (['utf-8', 'utf-16-le', 'utf-16-be', '', 'big5', 'shift_jis'])[arm + 1] END AS charset, CASE WHEN arm = 7 THEN 'CHARSET_UNDECIDED' END AS error FROM x""")
+def q_charsets(spark, d):
+    """Pages in seven encodings, one in eight not a text in any."""
+    arm, ascii_only = F.col("page_id") % 8, F.regexp_replace("html", r"[^\x00-\x7f]", "")
+    at = lambda k: F.get(F.array(*(F.lit(h[k]) for h in _HEADS)), F.least(arm, F.lit(6)).cast("int"))
+    text = F.concat(at(1), F.when(arm.isin(4, 5), ascii_only).otherwise(F.col("html")))
+    content = F.when(arm == 7, F.unhex(F.lit("FF81FF00FD"))).otherwise(_encoded(text, at(0)))
+    found = t(spark, d, "pages").select("page_id", charsets.charset_text(content).alias("f"))
+    return found.select("page_id", F.md5(F.col("f.text").cast("binary")).alias("digest"), "f.charset", "f.error")
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS status, l_linenumber AS claim FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey IN (1, 7, 32, 33)")
+def q_keyed_lookup(spark, d):
+    """Orders as records and lines as their claims, in buckets by record; a few records with their claims."""
+    mark = uuid.uuid4().hex
+    orders = t(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_orderstatus").alias("status"))
+    lines = t(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("id"), F.col("l_linenumber").alias("claim"))
+    for name, df in ((f"records_{mark}", orders), (f"claims_{mark}", lines)):
+        keyed.store(df, name, "id", shared_path(spark, name), 8)
+    return keyed.with_children(spark, f"records_{mark}", f"claims_{mark}", "id", [1, 7, 32, 33])

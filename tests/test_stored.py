@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimforge.operators import polling
-from claimforge.sources import paged, versions
+from claimforge.sources import charsets, keyed, paged, versions
 from claimforge.streaming import polling as streamed
 
 
@@ -227,3 +227,40 @@ def test_upsert_stream_applies_a_batch_once(spark, tmp_path):
     merge = streamed.merger(root, "runs", state, "run_id", "seq", ("started_at",), ("finished_at",))
     merge(spark.createDataFrame(batches[1], kind), 1)
     assert got() == want and versions.state(spark, root)["version"] == version
+
+
+ZH, TW, JA = "本发明涉及一种用于清洁地面的机器人，其特征在于包括底盘。", "本發明涉及一種用於清潔地面的機器人，其特徵在於包括底盤。", "本発明は床を掃除するロボットに関する。カメラを備える。"
+
+
+@pytest.mark.parametrize("text, encodings", [(ZH, ("utf-8", "utf-16-le", "utf-16-be", "gb18030")), (TW, ("utf-8", "utf-16-le", "big5")), (JA, ("utf-8", "utf-16-be", "shift_jis")), ("été à la forêt, où garçon naïf " * 3, ("utf-8", "utf-16-le", "gb18030")), ("plain ASCII", ("utf-8", "utf-16-le", "utf-16-be")), ("a\t" + ZH + "\r\nEnd", ("gb18030",)), ("x" + TW * 4000, ("big5",))])
+def test_charsets(text, encodings):
+    for e in encodings:
+        assert charsets.detected(text.encode(e)) == (e, text, None)
+    for mark, e in charsets.MARKS:
+        assert charsets.detected(mark + text.encode(e)) == (e, text, None)
+
+
+def test_charset_of_odd_bytes(spark, tmp_path):
+    assert charsets.detected(None) == (None, None, None) and charsets.detected(b"") == ("utf-8", "", None)
+    for data in (b"\xff\xfe\x00", b"\x00", b"\x01\x02\x03\x00", b"\xff\x81\xff", b"\xef\xbb\xbf\xff"):
+        assert charsets.detected(data) == (None, None, charsets.UNDECIDED)
+    (tmp_path / "a.txt").write_bytes(ZH.encode("gb18030"))
+    (tmp_path / "b.txt").write_bytes(b"\xff\x81\xff")
+    rows = {r.path[-5:]: (r.charset, r.raw_text, r.read_error) for r in charsets.texts(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
+    assert rows == {"a.txt": ("gb18030", ZH, None), "b.txt": (None, None, charsets.UNDECIDED)}
+
+
+def test_keyed_tables_join_without_shuffle(spark, tmp_path):
+    keyed.store(spark.range(1000).withColumn("v", F.col("id") * 2), "kt_parents", "id", f"file://{tmp_path}/p", 8)
+    keyed.store(spark.range(3000).select((F.col("id") % 1000).alias("id"), F.col("id").alias("c")), "kt_children", "id", f"file://{tmp_path}/c", 8)
+    every = keyed.with_children(spark, "kt_parents", "kt_children", "id")
+    plan = every._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and every.count() == 3000
+    few = keyed.found(spark, "kt_parents", "id", [7])
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 1 out of 8" in plan and "In(id, [7])" in plan or "EqualTo(id,7)" in plan
+    assert [r.v for r in few.collect()] == [14] and keyed.with_children(spark, "kt_parents", "kt_children", "id", [7, 8]).count() == 6
+    import pyarrow.parquet as pq
+
+    meta = pq.ParquetFile(next((tmp_path / "p").glob("part-*"))).metadata
+    assert meta.num_rows < 1000
