@@ -168,6 +168,44 @@ def test_marks_in_and_around_articles():
     assert html.main_text(f"<footer>{body}</footer><p>Only line.</p>") == "Only line."
 
 
+STORY = "Running text of the story goes on and on. " * 6
+
+
+def test_furniture_inside_a_line():
+    """What is pruned inside a paragraph goes from it; the paragraph stays, whole and one block."""
+    page = lambda inner: html.main_text(f"<article><p>{STORY}</p><p>Before it {inner} and after it.</p></article>").split("\n\n")[1:]
+    for inner in ("<select><option>one<option>two</select>", "<button>Buy now</button>", "<button><p>Buy</p> now</button>", "<svg><title>icon</title></svg>", "<noscript>on</noscript>", "<textarea>x</textarea>", '<span class="ad">Buy</span>', '<a class="share" href="/">Share</a>', "<span hidden>secret</span>", "<iframe>old</iframe>", "<label>Name</label>"):
+        assert page(inner) == ["Before it and after it."], inner
+    assert page("<b>bold</b>") == ["Before it bold and after it."]
+    assert html.main_text(f"<article><p>{STORY}</p><p>Ends in <button>Subscr") == f"{STORY.strip()}\n\nEnds in"
+    assert html.main_text(f"<article><p>{STORY}</p><p>Open <button>Buy</p><p>Next.</p></article>") == f"{STORY.strip()}\n\nOpen\n\nNext."
+
+
+def test_forms_around_and_in_articles():
+    form = '<form><label>Mail</label><input><p>Get our letter.</p><button>Send</button></form>'
+    assert html.main_text(f"<body><form><article><p>{STORY}</p>{form}</article></form></body>") == STORY.strip()
+    assert html.main_text(f'<body><form id="aspnetForm"><div><h2>Head</h2><p>{STORY}</p><label>Search</label><input></div></form></body>') == f"Head\n\n{STORY.strip()}"
+    assert html.main_text(f"<body><div><p>{STORY}</p></div>{form}</body>") == STORY.strip()
+    assert html.main_text(f"<body>{form}</body>") == ""
+
+
+def test_articles_side_by_side():
+    """All stay in page order, but teasers; an article in another is part of it."""
+    short = "A second and shorter story of the day. " * 2
+    teaser = '<article><h3><a href="/1">A linked headline of another story</a></h3><p>Read on in this one.</p></article>'
+    assert html.main_text(f"<article><h1>One</h1><p>{STORY}</p></article><article><h1>Two</h1><p>{short}</p></article>{teaser}{teaser}") == f"One\n\n{STORY.strip()}\n\nTwo\n\n{short.strip()}"
+    assert html.main_text(f"<article><p>{STORY}</p><article><p>{short}</p></article></article>") == f"{STORY.strip()}\n\n{short.strip()}"
+
+
+def test_references_and_comments():
+    references = "".join(f'<li><a href="/{i}">Author {i}, A long title of a cited work, Journal of Things {i}</a></li>' for i in range(5))
+    text = html.main_text(f"<article><p>{STORY}</p><h2>References</h2><ol>{references}</ol></article>")
+    assert text.count("cited work") == 5 and "References" in text
+    for mark in ("user-comment", "wpcomments-area", "comment-list", "comments"):
+        assert html.main_text(f'<article><p>{STORY}</p><div class="{mark}"><p>{STORY}</p></div></article>') == STORY.strip(), mark
+    assert html.main_text(f'<article><p>{STORY}</p><div class="commentary"><p>{STORY}</p></div></article>').count(STORY.strip()) == 2
+
+
 def test_deep_and_long_pages():
     """Linear in elements that are never closed, end tags without a start, and many lines."""
     deep = "<div>" * 20_000 + "<p>deep text</p>" + "</span>" * 20_000 + "<i>" * 5_000 + "</b>" * 20_000
