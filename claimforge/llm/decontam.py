@@ -31,6 +31,8 @@ from .kernels import U, Words, shingles, slices
 
 LEAST, THRESHOLD = 3, 0.6
 BLOCK_CHARS = 16_000_000
+#: Matches of seeds that a task holds at once.
+UNFOLD = 1 << 21
 #: Karp-Rabin starts with runs of this many words.
 FIRST_LENGTH = 20
 HITS = "_cf_hits"
@@ -125,8 +127,48 @@ class _Block:
         at, row, low, n = at[n > 0], row[n > 0], low[n > 0], n[n > 0]
         if not len(at):
             return found
+        # Rows go together as long as their matches are few; a row with more goes alone.
+        edge = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        total = np.add.reduceat(n, edge)
+        group = np.cumsum(total) // UNFOLD
+        starts = edge[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])]
+        for a, b in zip(starts, np.r_[starts[1:], len(at)], strict=True):
+            part = (at[a:b], row[a:b], low[a:b], n[a:b])
+            if part[3].sum() <= 2 * UNFOLD:
+                self._judged(words, *self._unfolded(*part), found)
+                continue
+            for own in edge[(edge >= a) & (edge < b)]:
+                end = own + np.searchsorted(row[own:b], row[own], "right")
+                self._split(words, at[own:end], row[own:end], low[own:end], n[own:end], found)
+        return found
+
+    def _unfolded(self, at: np.ndarray, row: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Row, place, item and place in the item of every match."""
         seed = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        row, at, item, place = np.repeat(row, n), np.repeat(at, n), self.seed_item[seed], self.seed_place[seed]
+        return np.repeat(row, n), np.repeat(at, n), self.seed_item[seed], self.seed_place[seed]
+
+    def _split(self, words: Words, at: np.ndarray, row: np.ndarray, low: np.ndarray, n: np.ndarray, found: dict) -> None:
+        """One row with many matches, as common phrases make: matches are counted by item first, then unfolded for a few items at a time of
+        those that they can cover enough."""
+        piece = np.cumsum(n) // UNFOLD
+        cuts = np.r_[np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]]), len(at)]
+        parts = [(at[a:b], row[a:b], low[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        counts = np.zeros(len(self.items), np.int64)
+        for p in parts:
+            counts += np.bincount(self._unfolded(*p)[2], minlength=len(counts))
+        likely = np.flatnonzero(counts * self.least >= self.threshold * np.array([len(x.words) for x in self.items]) - 1e-9)
+        likely = likely[counts[likely] > 0]
+        batch = np.cumsum(counts[likely]) // UNFOLD
+        for k in np.unique(batch):
+            mine = np.zeros(len(counts), bool)
+            mine[likely[batch == k]] = True
+            kept = [tuple(x[mine[u[2]]] for x in u) for u in map(lambda p: self._unfolded(*p), parts)]
+            self._judged(words, *(np.concatenate(x) for x in zip(*kept, strict=True)), found)
+
+    def _judged(self, words: Words, row: np.ndarray, at: np.ndarray, item: np.ndarray, place: np.ndarray, found: dict) -> None:
+        """Tiles each row and item of the matches whose seeds can cover enough."""
+        if not len(row):
+            return
         order = np.lexsort((place, item, row))
         row, at, item, place = row[order], at[order], item[order], place[order]
         first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])])
@@ -142,7 +184,6 @@ class _Block:
             covered = tiled_words(it.words, words.hash[lo:hi].tolist(), free.tolist(), self.least)
             if covered >= need:
                 found[r].append((it.id, covered / len(it.words)))
-        return found
 
 
 def _tile(block: list[tuple[int | None, str | None]], least: int, threshold: float):

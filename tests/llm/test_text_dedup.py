@@ -183,6 +183,23 @@ def test_coverage_equals_brute_force(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("unfold", [1, 50, 1 << 21])
+def test_coverage_with_a_phrase_in_every_item(monkeypatch, unfold):
+    """Whatever number of matches is held at once, items and coverage are those of plain tiling."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(decontam, "UNFOLD", unfold)
+    rnd = random.Random(9)
+    phrase = "this is a very common phrase of all items".split()
+    items = [phrase * rnd.randrange(1, 3) + [f"w{rnd.randrange(40)}" for _ in range(rnd.randrange(0, 20))] for _ in range(25)]
+    texts = [phrase * 9, phrase + items[3][9:], [f"w{rnd.randrange(40)}" for _ in range(50)] + phrase * 2 + items[7], ["x"], []]
+    block = decontam._Block([(i, " ".join(x)) for i, x in enumerate(items)], 3, 0.6)
+    got = block.hits(kernels.Words(pa.array([" ".join(t) for t in texts])))
+    for r, t in enumerate(texts):
+        share = {i: brute.tiling(x, t, 3) / len(x) for i, x in enumerate(items)}
+        assert sorted(got.get(r, [])) == sorted((i, s) for i, s in share.items() if s >= 0.6)
+
+
 def test_decontamination(spark):
     item = "The quick brown fox jumps over the lazy dog while eleven old owls watch from a tree"
     w = item.split()
