@@ -443,7 +443,7 @@ def fitted(docs: DataFrame, pairs: DataFrame, vocabulary: bytes) -> SimpleNamesp
     folded = folded.join(F.broadcast(named), F.col("b") == F.col("slot_id"), "left").withColumn("b", F.coalesce("slot_id", F.lit(other))).drop("slot_id")
     table = folded.groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
     model = new_model(vocabulary, end, id_counts, np.stack([table[c].to_numpy() for c in ("a", "b", "n")], 1))
-    rows = docs.filter(~held_out(F.col("doc_id"))).select("text", F.xxhash64("text").alias("hash"))
+    rows = docs.filter(~held_out(F.col("doc_id"))).select("text", F.xxhash64("doc_id", "text").alias("hash"))  # copies of a text go to several tasks
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     for turn in range(ROUNDS):
         _round(rows.filter(F.pmod("hash", F.lit(ROUNDS)) == turn), model, chars // (ROUNDS * TASK_CHARS) + 1)
