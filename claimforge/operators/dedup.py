@@ -42,16 +42,24 @@ def product_key(df: DataFrame) -> DataFrame:
 def products(df: DataFrame, group: str, seq: str = "seq") -> DataFrame:
     """One row per key: the first row's values, empty ones (text, picture, raw_payload) filled from
     the next row that has one; matched_keywords is the ordered union, counted once a keyword before it is
-    collected, so that a product found by millions of rows is no large array."""
+    collected, so that a product found by millions of rows is no large array.
+
+    Every row gives one row without a keyword, which carries the fields, and one for each keyword; both are combined before they
+    are shuffled, and a second, small shuffle brings a product together."""
     keyed = product_key(df)
-    empty = lambda c: F.coalesce(F.size(c) <= 0, F.lit(True)) if dict(df.dtypes)[c].startswith("array") else F.coalesce(F.col(c) == "", F.lit(True))
-    filled = lambda c: F.coalesce(F.min_by(F.when(~empty(c), F.col(c)), F.when(~empty(c), F.col(seq))), F.min_by(c, seq)).alias(c)
-    merged = keyed.groupBy(group, "key").agg(F.min(seq).alias(seq), F.min_by("product_id", seq).alias("product_id"), *(filled(c) for c in (*FILLED, "picture", "raw_payload") if c in df.columns))
-    words = keyed.select(F.col(group).alias("k_group"), F.col("key").alias("k_key"), seq, F.posexplode(split_clean(F.col("matched_keywords"), ",")).alias("at", "word"))
-    first = words.groupBy("k_group", "k_key", "word").agg(F.min(F.struct(seq, "at")).alias("first"))
-    listed = first.groupBy("k_group", "k_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", "word"))), lambda x: x["word"]), ", ").alias("listed"))
-    joined = merged.join(listed, F.col(group).eqNullSafe(F.col("k_group")) & (F.col("key") == F.col("k_key")), "left")
-    return joined.withColumn("matched_keywords", F.coalesce("listed", F.lit(""))).drop("k_group", "k_key", "listed")
+    kinds = dict(df.dtypes)
+    names = [c for c in (*FILLED, "picture", "raw_payload") if c in df.columns]
+    words = F.transform(split_clean(F.col("matched_keywords"), ","), lambda x, i: F.struct(x.alias("word"), i.alias("at")))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("at")))
+    rows = keyed.select(group, "key", F.col(seq).alias("_cf_seq"), "product_id", *names, F.explode(F.concat(none, words)).alias("w")).withColumn("word", F.col("w.word"))
+    own = F.when(F.col("word").isNull(), F.col("_cf_seq"))
+    empty = lambda c: F.coalesce(F.size(c) <= 0, F.lit(True)) if kinds[c].startswith("array") else F.coalesce(F.col(c) == "", F.lit(True))
+    filled = lambda c: F.coalesce(F.min_by(c, F.when(~empty(c), own)), F.min_by(c, own)).alias(c)
+    fields = F.struct(F.min(own).alias(seq), F.min_by("product_id", own).alias("product_id"), *(filled(c) for c in names))
+    counted = rows.groupBy(group, "key", "word").agg(F.min(F.struct("_cf_seq", "w.at")).alias("first"), fields.alias("fields"))
+    listed = F.transform(F.sort_array(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("first", "word")))), lambda x: x["word"])
+    merged = counted.groupBy(group, "key").agg(F.max_by("fields", F.col("word").isNull()).alias("fields"), F.array_join(listed, ", ").alias("matched_keywords"))
+    return merged.select(group, "key", "fields.*", "matched_keywords")
 
 
 def last_wins(df: DataFrame, keys: list[str], seq: str, value: str) -> DataFrame:

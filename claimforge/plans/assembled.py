@@ -214,10 +214,11 @@ def q_files(spark, d):
     return out.select("page_id", "format", "usable", "file_sha256", F.length("page_url").alias("url_length"))
 
 
-@query("SELECT conv_id AS path, string_agg(text, chr(10) ORDER BY turn) AS raw_text FROM conversations WHERE regexp_matches(text, '[^\\s\\p{Z}]') GROUP BY 1")
+@query("""WITH x AS (SELECT * FROM conversations WHERE regexp_matches(text, '[^\\s\\p{Z}]')) SELECT conv_id AS path, string_agg(text, chr(10) ORDER BY turn) AS raw_text, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS ocr_text FROM x GROUP BY 1""")
 def q_page_text(spark, d):
-    """Turns as pages of a reader, joined in order."""
-    return files.page_text(t(spark, d, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("page"), "text"))
+    """Turns as pages of a reader, joined in order, and as pages of character recognition."""
+    pages = t(spark, d, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("page"), "text")
+    return files.page_text(pages).join(files.page_text(pages, glue=files.OCR_GLUE).withColumnRenamed("raw_text", "ocr_text"), "path")
 
 
 @query("SELECT user_id AS id, count(*) FILTER (event_type = 'view') AS own, sum(CASE WHEN user_id = 7 THEN 1 ELSE 0 END)::BIGINT AS seven FROM events GROUP BY 1")

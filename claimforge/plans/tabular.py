@@ -328,20 +328,24 @@ def q_last_wins(spark, d):
 v AS (SELECT product_id, CASE WHEN bool_or(a) THEN '疑似侵权' WHEN bool_and(m) THEN '疑似不侵权' ELSE '需进一步分析' END AS verdict_label FROM c GROUP BY product_id),
 n AS (SELECT product_id, count(*) FILTER (status = 'matching') AS n_matching, count(*) FILTER (status = 'not_matching') AS n_not_matching, count(*) FILTER (status = 'uncertain') AS n_uncertain FROM x GROUP BY product_id),
 s AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS k FROM part)
-SELECT p_partkey AS product_id, coalesce(verdict_label, '需进一步分析') AS verdict_label, coalesce(n_matching, 0) AS n_matching, coalesce(n_not_matching, 0) AS n_not_matching, coalesce(n_uncertain, 0) AS n_uncertain, CASE WHEN k = 1 THEN p_name ELSE p_name || '_' || k END AS sheet_name
+SELECT p_partkey + 1 AS seq, p_partkey AS product_id, coalesce(verdict_label, '需进一步分析') AS verdict_label, coalesce(n_matching, 0) AS n_matching, coalesce(n_not_matching, 0) AS n_not_matching, coalesce(n_uncertain, 0) AS n_uncertain, CASE WHEN k = 1 THEN p_name ELSE p_name || '_' || k END AS sheet_name
 FROM s LEFT JOIN v ON v.product_id = p_partkey LEFT JOIN n ON n.product_id = p_partkey""")
 def q_report_overview(spark, d):
     """Parts as products."""
-    part = t(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), F.lit("").alias("product_source"), F.lit("").alias("price"), F.col("p_brand").alias("brand"), F.lit("[]").alias("picture"), F.lit("").alias("product_url"))
-    return report.overview(part, compare_rows(spark, d)).select("product_id", "verdict_label", "n_matching", "n_not_matching", "n_uncertain", "sheet_name")
+    part = t(spark, d, "part").select((F.col("p_partkey") + 1).alias("seq"), F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), F.lit("").alias("product_source"), F.lit("").alias("price"), F.col("p_brand").alias("brand"), F.lit("[]").alias("picture"), F.lit("").alias("product_url"))
+    return report.overview(part, compare_rows(spark, d)).select("seq", "product_id", "verdict_label", "n_matching", "n_not_matching", "n_uncertain", "sheet_name")
 
 
-@query("""SELECT s_suppkey AS product_id, f.o_orderkey AS feature_id, f.o_orderkey IS NULL AS placeholder, coalesce(f.o_orderpriority, '-') AS feature_text, coalesce(f.o_orderstatus || ' | ' || f.o_orderpriority, NULL) AS reasoning FROM supplier LEFT JOIN orders f ON f.o_custkey = s_suppkey""")
+@query("""SELECT s_suppkey AS product_id, f.o_orderkey AS feature_id, f.o_orderkey IS NULL AS placeholder, CASE WHEN f.o_orderkey IS NULL THEN '未找到该商品的数据库比对结果' WHEN o_orderkey % 5 = 0 THEN '—' ELSE f.o_orderpriority END AS feature_text, coalesce(f.o_orderstatus || ' | ' || f.o_orderpriority, NULL) AS reasoning,
+CASE WHEN f.o_orderkey IS NULL THEN '—' ELSE CASE f.o_orderstatus WHEN 'F' THEN '相同/等同' WHEN 'O' THEN '不相同' ELSE '不确定' END END AS status_label, CASE WHEN o_orderkey % 3 = 0 THEN 'u' || o_orderkey || chr(10) || 'v' ELSE '—' END AS images FROM supplier LEFT JOIN orders f ON f.o_custkey = s_suppkey""")
 def q_report_detail(spark, d):
-    """R2: suppliers as products, orders as features; a placeholder where there are none."""
+    """R2: suppliers as products, orders as features, every third with images; a placeholder where there are none."""
     products = t(spark, d, "supplier").select(F.col("s_suppkey").alias("product_id"), F.col("s_name").alias("product_name"))
-    rows = t(spark, d, "orders").select(F.col("o_custkey").alias("product_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("feature_id"), F.lit("1").alias("claim_id"), F.col("o_orderpriority").alias("feature_text"), F.lit("").alias("evidence"), F.col("o_orderstatus").alias("status"), F.col("o_orderstatus").alias("reason"), F.col("o_orderpriority").alias("reasoning_type"))
-    return report.detail(products, rows).select("product_id", "feature_id", "placeholder", "feature_text", "reasoning")
+    key, kind = F.col("o_orderkey"), F.col("o_orderstatus")
+    images = F.when(key % 3 == 0, F.array(F.concat(F.lit("u"), key.cast("string")), F.lit("v"))).otherwise(F.array().cast("array<string>"))
+    status = F.when(kind == "F", "matching").when(kind == "O", "not_matching").otherwise("uncertain")
+    rows = t(spark, d, "orders").select(F.col("o_custkey").alias("product_id"), key.alias("seq"), key.alias("feature_id"), F.lit("1").alias("claim_id"), F.when(key % 5 == 0, "").otherwise(F.col("o_orderpriority")).alias("feature_text"), F.lit("").alias("evidence"), status.alias("status"), kind.alias("reason"), F.col("o_orderpriority").alias("reasoning_type"), images.alias("evidence_images"))
+    return report.detail(products, rows).select("product_id", "feature_id", "placeholder", "feature_text", "reasoning", "status_label", "images")
 
 
 @query("""SELECT l_suppkey AS run_id, l_partkey::VARCHAR AS product_key, count(*) AS n_features, string_agg(l_returnflag, '' ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_returnflag) AS results FROM lineitem GROUP BY ALL""")

@@ -140,10 +140,12 @@ def q_figure_descriptions(spark, d):
     return patent.figure_descriptions(rows)
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN '扫地机器人' ELSE '图像处理' END AS subject FROM part")
+@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN left(p_brand, 5) || '扫地机器人' WHEN 1 THEN '图像处理' WHEN 2 THEN (['水杯', '灯具', '座椅'])[p_size % 3 + 1] || '清洁' ELSE (['水杯', '灯具', '座椅'])[p_size % 3 + 1] END AS subject FROM part")
 def q_subject(spark, d):
-    """File names with noise around a subject, as the operator gives it."""
-    name = F.when(F.col("p_partkey") % 2 == 0, "CN 1234567A【测试】扫地机器人-示例.pdf").otherwise("一种图像处理方法_专利分析.docx")
+    """File names with noise around a subject: named goods, methods, devices, else the first Chinese words."""
+    kind = F.col("p_partkey") % 4
+    thing = F.get(F.array(F.lit("水杯"), F.lit("灯具"), F.lit("座椅")), (F.col("p_size") % 3).cast("int"))
+    name = F.when(kind == 0, F.concat(F.lit("CN 1234567A【测试】"), F.left("p_brand", F.lit(5)), F.lit("扫地机器人-示例.pdf"))).when(kind == 1, "一种图像处理方法_专利分析.docx").when(kind == 2, F.concat(F.lit("用于"), thing, F.lit("清洁装置.pdf"))).otherwise(F.concat(thing, F.lit(" x.pdf")))
     return t(spark, d, "part").select(F.col("p_partkey").alias("id"), patent.subject(name).alias("subject"))
 
 
@@ -159,12 +161,12 @@ def q_figure_pages(spark, d):
     return found.select("doc", F.array_join(F.transform("pages", lambda x: x.cast("string")), ",").alias("pages"))
 
 
-@query("SELECT n_nationkey AS doc, '图2,图1,图3,图5,图5' AS ids FROM nation")
+@query("SELECT p_partkey AS doc, CASE p_size % 3 WHEN 0 THEN '图' || (p_partkey % 3 + 1) || ',' || CASE p_partkey % 3 WHEN 0 THEN '图2,图3' WHEN 1 THEN '图1,图3' ELSE '图1,图2' END ELSE '图1,图2,图3' END || ',图4,图5' AS ids FROM part")
 def q_figure_ids(spark, d):
-    """A label, the described figures left, then numbers, which go on with the pages."""
-    labels = F.array(*(patent.figure_labels(F.concat(F.lit(x), "n_name")) for x in ("图2 ", "图 2 ", "", "", "")))
-    ids = patent.figure_ids(labels, F.array(F.lit("图1"), F.lit("图2"), F.lit("图3")))
-    return t(spark, d, "nation").select(F.col("n_nationkey").alias("doc"), F.array_join(F.concat(F.slice(ids, 1, 3), F.array(ids[4], ids[4])), ",").alias("ids"))
+    """Parts as documents of five pages: a labelled first page or none, the described figures left, then numbers that go on."""
+    first = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("图 "), (F.col("p_partkey") % 3 + 1).cast("string"), F.lit(" "), "p_name")).otherwise(F.col("p_name"))
+    ids = patent.figure_ids(F.array(patent.figure_labels(first), *(patent.figure_labels(F.col("p_name")) for _ in range(4))), F.array(F.lit("图1"), F.lit("图2"), F.lit("图3")))
+    return t(spark, d, "part").select(F.col("p_partkey").alias("doc"), F.array_join(ids, ",").alias("ids"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(lower(text), 'a.e')) AS n_regex, (length(text) - length(replace(text, '. ', ''))) // 2 AS n_plain FROM documents")

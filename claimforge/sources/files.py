@@ -11,6 +11,7 @@ from . import schemas
 
 REMOTE_LIMIT = 100 << 20
 UPLOAD_LIMIT = 50 << 20
+OCR_GLUE = "\n\n"
 UPLOAD_TYPES = {"pdf": "application/pdf", "doc": "application/msword", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "txt": "text/plain"}
 
 
@@ -50,10 +51,11 @@ def text_gate(text: Column, least: int = 100) -> Column:
     return F.when(F.length(strip(F.coalesce(text, F.lit("")))) < least, "EMPTY_OR_CORRUPT_FILE")
 
 
-def page_text(pages: DataFrame, key: str = "path") -> DataFrame:
-    """Texts of pages that an external reader made (key, page, text), joined in order; empty pages dropped."""
+def page_text(pages: DataFrame, key: str = "path", glue: str = "\n") -> DataFrame:
+    """Texts of pages that an external reader made (key, page, text), joined in order; empty pages dropped. Pages of character
+    recognition (S3) are joined by a blank line (OCR_GLUE)."""
     full = pages.filter(no_ws("text") != "")
-    return full.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n").alias("raw_text"))
+    return full.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), glue).alias("raw_text"))
 
 
 def table(spark: SparkSession, name: str) -> DataFrame:
