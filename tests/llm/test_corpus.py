@@ -380,7 +380,7 @@ def test_stages_and_pipeline(spark, tables):
 
 
 def test_registered_queries():
-    assert [n.split("_")[0] for n in entry.QUERIES] == [f"op{i}" for i in range(1, 11)] and set(entry.ORACLES) <= set(entry.QUERIES)
+    assert [n.split("_")[0] for n in entry.QUERIES] == [f"op{i}" for i in range(1, 14)] and set(entry.ORACLES) <= set(entry.QUERIES)
 
 
 def test_pipeline_of_odd_tables(spark, tmp_path):
