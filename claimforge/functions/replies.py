@@ -236,6 +236,16 @@ def filtered_terms(reply: Column, originals: Column) -> Column:
     return let(jsonish(reply), read)
 
 
+def strict_terms(reply: Column) -> Column:
+    """X28, other variants: array of (text, category, source_location, confidence) of the list filtered_core_terms of the outermost {..}; nothing
+    else is read, and there is no fallback."""
+    v = F.try_parse_json(braced(reply))
+    items = F.filter(F.try_variant_get(v, "$.filtered_core_terms", VARIANTS), lambda x: is_object(x) & said(field(x, "text")).isNotNull())
+    plain = lambda x, name, default: F.coalesce(F.try_variant_get(x, f"$.{name}", "string"), F.lit(default))
+    made = F.transform(items, lambda x: F.struct(said(field(x, "text")).alias("text"), plain(x, "category", "unknown").alias("category"), plain(x, "source_location", "").alias("source_location"), F.coalesce(F.try_variant_get(x, "$.confidence", "double"), F.lit(0.8)).alias("confidence")))
+    return F.coalesce(made, F.array().cast("array<struct<text:string,category:string,source_location:string,confidence:double>>"))
+
+
 def combined_keywords(reply: Column, variant: Column | None = None) -> Column:
     """Array of (keyword_text, keyword_type, combination_pattern, confidence): the objects of the reply's [..] that have a text, even if
     none has. General: without a [..] that parses, every line at 0.6. The other variants: lines of more than three
