@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..sources.shared import written
 
 # Fixed values that results depend on.
 MARKETS = ("1688", "淘宝", "天猫", "京东", "拼多多", "亚马逊", "Alibaba", "eBay")
@@ -22,6 +23,20 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rn") <= k)
 
 
+def numbered_apart(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """row_number() where one key may have more rows than a task can sort: rows are dealt by ranges of key and order, numbered
+    in each range, and moved on by the rows of the ranges before it, of which a key has as many as it has partitions."""
+    rows = written(df.repartitionByRange(*keys, *order).withColumn("_cf_range", F.spark_partition_id()), "ranges")
+    counts = rows.groupBy(*(F.col(c).alias(f"_cf_{i}") for i, c in enumerate(keys)), F.col("_cf_range").alias("_cf_at")).agg(F.count("*").alias("_cf_n"))
+    before = Window.partitionBy(*(f"_cf_{i}" for i in range(len(keys)))).orderBy("_cf_at").rowsBetween(Window.unboundedPreceding, -1)
+    moved = counts.withColumn("_cf_before", F.coalesce(F.sum("_cf_n").over(before), F.lit(0)))
+    same = F.col("_cf_range") == F.col("_cf_at")
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_cf_{i}"))
+    here = F.row_number().over(Window.partitionBy(*keys, "_cf_range").orderBy(*order))
+    return rows.withColumn("_cf_here", here).join(moved, same).select(*df.columns, (F.col("_cf_here") + F.col("_cf_before")).alias(name))
+
+
 def primary_claim(claims: DataFrame, record: str = "record_id", seq: str = "seq") -> DataFrame:
     """Claim 1, else the first independent claim, else the first."""
     prio = F.when(F.col("claim_id").cast("string") == "1", 0).when(F.col("claim_type") == "INDEPENDENT", 1).otherwise(2)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import label
 from ..functions.text import first_image, html_escape, shortened
+from .lookup import numbered_apart
 from .verdict import by_claim, flat
 
 
@@ -42,9 +43,10 @@ def detail(products: DataFrame, comparisons: DataFrame) -> DataFrame:
 def sheet_names(df: DataFrame, key: str, name: str) -> DataFrame:
     """Sheet names of 31 characters; names that clash without case get _2, _3 ... in key order."""
     bare = F.left(F.regexp_replace(F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit("product")), r"[\[\]:*?/\\]", " "), F.lit(31))
-    n = F.row_number().over(Window.partitionBy(F.lower(bare)).orderBy(key))
+    named = df.select(key, bare.alias("_bare"), F.lower(bare).alias("_lower"))
+    bare, n = F.col("_bare"), F.col("_no")
     suffix = F.concat(F.lit("_"), n.cast("string"))
-    return df.select(key, F.when(n == 1, bare).otherwise(F.concat(F.left(bare, F.lit(31) - F.length(suffix)), suffix)).alias("sheet_name"))
+    return numbered_apart(named, ["_lower"], [key], "_no").select(key, F.when(n == 1, bare).otherwise(F.concat(F.left(bare, F.lit(31) - F.length(suffix)), suffix)).alias("sheet_name"))
 
 
 def chart_pages(products: DataFrame, comparisons: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import time
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimforge.operators import dedup, lifecycle, lookup, report, verdict
@@ -189,3 +190,24 @@ def test_restarted_stream_goes_on(spark, tmp_path):
         spark.createDataFrame(rows, "session_id string, status string").coalesce(1).write.mode("append").json(source)
         runs.persisted(stream(), out, state).awaitTermination(60)
         assert spark.read.parquet(out).count() == (1, 3)[n]
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_rows_of_hot_keys_are_numbered_by_ranges(spark, coalesce):
+    key = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 > 0, (F.col("id") % 50).cast("string"))
+    rows = spark.range(5000).select("id", key.alias("k"), F.struct(F.xxhash64("id").alias("h"), "id").alias("o"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        got = lookup.numbered_apart(rows, ["k"], ["o"], "n")
+        want = rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("o")))
+        assert got.columns == want.columns and got.count() == 5000 and got.exceptAll(want).isEmpty()
+        assert lookup.numbered_apart(rows.limit(0), ["k"], ["o"], "n").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_products_without_a_name_among_others(spark):
+    rows = [("r", 1, "5", "", "a"), ("r", 2, "", " ", "b"), ("r", 3, "5", "", "c"), ("r", 4, None, "n", "d"), ("r", 5, None, None, "e"), ("r", 5, None, None, "f"), ("s", 1, None, None, "g"), (None, 1, "", "", "h")]
+    got = verdict.nested(spark.createDataFrame(rows, "run_id string, seq int, product_id string, product_name string, feature_id string")).collect()
+    assert {(r.run_id, r.product_key): [f.feature_id for f in r.features] for r in got} == {("r", "5"): ["a", "c"], ("r", "product_2"): ["b"], ("r", "n"): ["d"], ("r", "product_5"): ["e", "f"], ("s", "product_1"): ["g"], (None, "product_1"): ["h"]}
