@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -232,8 +233,20 @@ class _Graph:
         none = F.array().cast("array<long>")
         t_added, t_lacking = (F.coalesce(f"turned_{k}", none) for k in ("added", "lacking"))
         rows = rows.select("a", "b", (F.col("m") + F.size(t_added) - F.size(t_lacking)).alias("m"), F.array_union(F.array_except("added", t_added), F.array_except(t_lacking, "lacking")).alias("added"), F.array_union(F.array_except("lacking", t_lacking), F.array_except(t_added, "added")).alias("lacking"))
-        rows = rows.select("a", "b", "m", F.sort_array("added").alias("added"), F.sort_array("lacking").alias("lacking"), F.size("added").cast("long").alias("e"), F.size("lacking").cast("long").alias("r"))
-        return written(rows.withColumn("excess", 100 * F.col("r") + self.threshold * F.col("e") - (100 - self.threshold) * F.col("m")), "majority")
+        rows = written(rows.select("a", "b", "m", "added", "lacking", F.size("added").cast("long").alias("e"), F.size("lacking").cast("long").alias("r")), "turned")
+        rows = self.rarest_first(rows).withColumn("excess", 100 * F.col("r") + self.threshold * F.col("e") - (100 - self.threshold) * F.col("m"))
+        return written(rows, "majority")
+
+    @staticmethod
+    def rarest_first(members: DataFrame) -> DataFrame:
+        """members with their differences in an order that all members of a centre share, rarest first: so the first ones, which
+        are posted, are had by few."""
+        kinds = ("added", "lacking")
+        tokens = reduce(DataFrame.unionByName, [members.select("b", "a", F.lit(i).alias("kind"), F.explode(c).alias("token")) for i, c in enumerate(kinds)])
+        often = written(tokens.groupBy("b", "kind", "token").agg(F.count("*").alias("c")).filter("c > 1"), "tokens")
+        ordered = tokens.join(often.hint("merge"), ["b", "kind", "token"], "left").groupBy(F.col("b").alias("t_b"), F.col("a").alias("t_a")).agg(F.sort_array(F.collect_list(F.struct("kind", F.coalesce("c", F.lit(1)).alias("c"), "token"))).alias("t"))
+        of = lambda i: F.coalesce(F.transform(F.filter("t", lambda v: v["kind"] == i), lambda v: v["token"]), F.array().cast("array<long>"))
+        return members.drop(*kinds).join(ordered, (F.col("b") == F.col("t_b")) & (F.col("a") == F.col("t_a")), "left").select("a", "b", "m", "e", "r", *(of(i).alias(c) for i, c in enumerate(kinds)))
 
     @staticmethod
     def nearest(members: DataFrame) -> DataFrame:
@@ -281,8 +294,11 @@ class _Graph:
         side = lambda p, *names: [F.col(c).alias(f"{p}_{c}") for c in ("a", "e", "r", "m", "excess", "label", "other", *names)]
         x = posted.filter("at < as_x").select("b", "token", *side("x", "at"))
         y = posted.filter("at < as_y").select("b", "token", *side("y", "at"))
-        left = lambda p: F.col(f"{p}_e") + F.col(f"{p}_r") - F.col(f"{p}_at")
-        found = x.join(y.hint("merge"), ["b", "token"]).filter(can & (F.least(left("x"), left("y")) * (100 + t) >= needed))
+        # What the first shared difference leaves of either kind.
+        added = lambda p: F.greatest(F.lit(0), F.col(f"{p}_e") - F.col(f"{p}_at"))
+        lacking = lambda p: F.least(F.col(f"{p}_r"), F.col(f"{p}_e") + F.col(f"{p}_r") - F.col(f"{p}_at"))
+        left = F.least(added("x"), added("y")) + F.least(lacking("x"), lacking("y"))
+        found = x.join(y.hint("merge"), ["b", "token"]).filter(can & (left * (100 + t) >= needed))
         near_x = members.filter("other and excess <= 0").select("b", *side("x"))
         near_y = members.filter(F.col("low") + 100 * F.col("r") + t * F.col("e") <= 0).select("b", *side("y"))
         close = near_x.join(near_y.hint("merge"), "b").filter(can & (needed <= 0))

@@ -106,6 +106,31 @@ def test_near_copies_of_which_none_reaches_all(spark):
         near._Graph.compared = old
 
 
+def test_frequent_differences_pair_no_members(spark):
+    """Copies far from each other that share a few frequent edits: members of a group are sought by what few of them have."""
+    rnd = random.Random(17)
+    fresh = iter(range(10**6))
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for _ in range(200):
+        at = set(rnd.sample([*range(20), *range(30, 150)], 12))
+        texts.append([f"f{rnd.randrange(3)}" if i == 25 else f"e{next(fresh)}" if i in at else w for i, w in enumerate(base)])
+    rows = [(i, " ".join(t)) for i, t in enumerate([base, *texts])]
+    sought, old = [], near._Graph.apart
+
+    def counted(self, members):
+        sought.append((members.count(), (found := old(self, members)).count()))
+        return found
+
+    near._Graph.apart = counted
+    try:
+        got = {r.doc_id: r.component_id for r in near.link(docs(spark, rows), k=5).collect()}
+    finally:
+        near._Graph.apart = old
+    assert got == {i: v[1] for (i, _), v in brute.near(rows, 5, 80).items()}
+    assert sought and sought[0][0] > 150 and sought[0][1] < 50, sought
+
+
 def test_near_dedup_with_clashing_columns(spark):
     rows = spark.createDataFrame([(1, "a b c", 5, 6, 7, 8, 9), (2, "a b c", 5, 6, 7, 8, 9)], "doc_id long, text string, g_id int, name int, node int, label int, component_id int")
     assert [tuple(r) for r in near.deduped(rows).collect()] == [(1, "a b c", 5, 6, 7, 8, 9)]
