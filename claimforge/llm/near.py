@@ -39,7 +39,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -57,6 +57,8 @@ LONG = 100
 PART = 1 << 19
 #: Bits of the table that tells which documents' sets are needed.
 TABLE_BITS = 23
+#: The lowest bit of each byte of a long.
+_ONES = 0x0101010101010101
 
 
 def misses(coordinates: int = COORDINATES, matches: int = MATCHES, similarity: float = THRESHOLD / 100) -> float:
@@ -86,6 +88,24 @@ def _sign(k: int, coordinates: int, seed: int):
     return run
 
 
+def marks(keys: Column, coordinates: int) -> Column:
+    """A signature with one byte a coordinate, as longs: to count agreements of pairs, an eighth of its size."""
+    byte = lambda i: F.shiftleft(keys[i].bitwiseAND(F.lit(255)), i % 8 * 8) if i < coordinates else F.lit(0).cast("long")
+    return F.array(*(reduce(lambda x, y: x.bitwiseOR(y), [byte(i) for i in range(a, a + 8)]) for a in range(0, coordinates, 8)))
+
+
+def agreements(x: Column, y: Column, coordinates: int) -> Column:
+    """On how many coordinates two signatures agree by their marks: no fewer than by their keys, and one in 256 of the others."""
+
+    def differ(i: int) -> Column:
+        bits = x[i].bitwiseXOR(y[i])
+        for n in (4, 2, 1):  # the lowest bit of a byte tells whether any of it is set
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, n))
+        return F.bit_count(bits.bitwiseAND(F.lit(_ONES)))
+
+    return F.lit(coordinates) - reduce(lambda a, b: a + b, [differ(i) for i in range(-(-coordinates // 8))])
+
+
 def signed(docs: DataFrame, k: int = SHINGLE, coordinates: int = COORDINATES, seed: int = SEED) -> DataFrame:
     """doc_id, n_shingles, name of the set (null if empty), and the signature as coordinate-value hashes;
     and the text's hash _cf_hash if docs has it."""
@@ -141,10 +161,10 @@ class _Graph:
     """The distinct sets, their prefix postings, and the test of a pair."""
 
     def __init__(self, docs: DataFrame, k: int, threshold: int, coordinates: int, matches: int, seed: int):
-        self.texts, self.k, self.threshold, self.matches = docs.select("doc_id", "text"), k, threshold, matches
+        self.texts, self.k, self.threshold, self.matches, self.coordinates = docs.select("doc_id", "text"), k, threshold, matches, coordinates
         self.docs = written(signed(docs, k, coordinates, seed), "sets")
         distinct = self.docs.filter("name is not null").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys"))
-        self.nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")  # the numbers are fixed once written
+        self.nodes = written(distinct.select("name", "first_id", "n", "keys", marks(F.col("keys"), coordinates).alias("marks"), F.monotonically_increasing_id().alias("node")), "nodes")  # the numbers are fixed once written
         postings = self.nodes.select("node", F.explode("keys").alias("key"))
         # Written first, so that the join can split a value that many sets share.
         often = written(postings.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "often")
@@ -169,8 +189,8 @@ class _Graph:
 
     def agreed(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b, ...) with the number of coordinates on which they agree, and whether they may be linked (met)."""
-        side = lambda p: self.nodes.select(F.col("node").alias(p), F.col("n").alias(f"{p}_n"), F.col("keys").alias(f"{p}_keys"))
-        sized = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("agree", F.size(F.array_intersect("a_keys", "b_keys")))
+        side = lambda p: self.nodes.select(F.col("node").alias(p), F.col("n").alias(f"{p}_n"), F.col("marks").alias(f"{p}_marks"))
+        sized = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("agree", agreements(F.col("a_marks"), F.col("b_marks"), self.coordinates))
         small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
         return sized.withColumn("met", (100 * small >= self.threshold * large) & (F.col("agree") >= self.matches)).select(*pairs.columns, "agree", "met")
 

@@ -3,6 +3,7 @@ import random
 import brute
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from claimforge.llm import decontam, kernels, lines, near
 
@@ -131,6 +132,18 @@ def test_frequent_differences_pair_no_members(spark):
     assert sought and sought[0][0] > 150 and sought[0][1] < 50, sought
 
 
+def test_agreements_by_marks(spark):
+    """Marks take an eighth of a signature and count no agreement less than its keys."""
+    rnd = random.Random(19)
+    for n in (48, 13):
+        x = [[rnd.randrange(-2**63, 2**63) for _ in range(n)] for _ in range(200)]
+        pairs = [(v, [a if rnd.random() < 0.5 else rnd.randrange(-2**63, 2**63) for a in v]) for v in x] + [(x[0], x[0])]
+        rows = spark.createDataFrame(pairs, "x array<long>, y array<long>").select("x", "y", near.marks(F.col("x"), n).alias("u"), near.marks(F.col("y"), n).alias("v"))
+        for r in rows.withColumn("n", near.agreements(F.col("u"), F.col("v"), n)).collect():
+            assert r.n == sum((a - b) % 256 == 0 for a, b in zip(r.x, r.y)) >= sum(a == b for a, b in zip(r.x, r.y))
+            assert len(r.u) == -(-n // 8)
+
+
 def test_near_dedup_with_clashing_columns(spark):
     rows = spark.createDataFrame([(1, "a b c", 5, 6, 7, 8, 9), (2, "a b c", 5, 6, 7, 8, 9)], "doc_id long, text string, g_id int, name int, node int, label int, component_id int")
     assert [tuple(r) for r in near.deduped(rows).collect()] == [(1, "a b c", 5, 6, 7, 8, 9)]
