@@ -169,6 +169,23 @@ def test_parts_do_not_hide_a_passage(spark):
         assert got[second, first].end_word - got[second, first].start_word == 90, (first, second)
 
 
+def test_other_first_places_do_not_hide_a_passage(spark):
+    """Every piece of two edited copies stands first in a document that has nothing else of them; in others, too."""
+    fresh = iter(range(10**6))
+    other = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    rows, want = [], set()
+    for case in range(6):
+        whole = other(100)
+        edited = [f"e{next(fresh)}" if i % 20 == 10 else w for i, w in enumerate(whole)]
+        pieces = [whole[i : i + 19] for i in (0, 11, 31, 51, 71, 81)]
+        rows += [(1000 * case + 10 * n + m, " ".join(other(30) + p + other(30))) for n, p in enumerate(pieces) for m in range(5)]
+        rows += [(1000 * case + 500, " ".join(other(9) + whole + other(9))), (1000 * case + 501, " ".join(other(7) + edited + other(5)))]
+        want.add((1000 * case + 501, 1000 * case + 500))
+    got = {(r.doc_id, r.source_doc_id): r for r in substrings.passages(docs(spark, rows)).collect()}
+    assert set(got) == want
+    assert all(r.end_word - r.start_word >= 85 for r in got.values()), got
+
+
 def test_passages_equal_brute_force(spark):
     """Exact passages: all pairs with a common run of words, through the documents they are linked with."""
     rnd = random.Random(12)
