@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import brute
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -186,6 +187,39 @@ def test_other_first_places_do_not_hide_a_passage(spark):
     assert all(r.end_word - r.start_word >= 85 for r in got.values()), got
 
 
+def test_words_repeated_many_times_give_few_passages(spark):
+    """Runs of a few words, of which every seed stands first in a document with short runs: n and m places aren't paired n * m times."""
+    fresh = iter(range(10**6))
+    other = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    words, sizes = (["a"], ["b", "c"], ["d", "e", "f"]), {10: (200, 55, 130), 11: (70, 300, 130), 12: (310, 120, 64)}
+    text = lambda lens, gap: other(20) + [w for own, n in zip(words, lens, strict=True) for w in (own * n)[:n] + other(gap)]
+    rows = [(i, " ".join(text((14, 14, 14), 30))) for i in range(3)] + [(i, " ".join(text(lens, 25))) for i, lens in sizes.items()]
+    got = substrings.passages(docs(spark, rows)).collect()
+    assert len(got) < 100, len(got)  # 964 by all pairs of places
+    for i, j in ((11, 10), (12, 10)):
+        covered, at = {w for r in got if (r.doc_id, r.source_doc_id) == (i, j) for w in range(r.start_word, r.end_word)}, 20
+        for n in sizes[i]:
+            assert covered >= set(range(at, at + n)), (i, j, n, sorted(set(range(at, at + n)) - covered))
+            at += n + 25
+
+
+def test_runs_of_places_meet_as_a_whole():
+    """Runs have one step; every place of the first document has an anchor on a line, or between two of its line, if not all pairs have too."""
+    places, told = np.array([0, 1, 2, 3, 10, 15, 20, 21, 5, 7, 9, 40]), np.array([1, 1, 1, 1, 0, 0, 0, 1, 1, 1, 1, 1], bool)
+    got = [tuple(map(int, r)) for r in zip(*substrings.stretches(places, told, np.array([0, 8, 12]), 5))]
+    assert got == [(0, 0, 1, 4, 1), (0, 10, 5, 3, 0), (0, 20, 1, 2, 0), (1, 5, 2, 3, 1), (1, 40, 1, 1, 1)]
+    for n in (1, 2, 7, 30, 64):
+        for m in (1, 2, 7, 30, 64):
+            row, x, y = substrings.met(*(np.array([v]) for v in (100, 2, n, 500, 2, m)), 5, 12, 50)
+            assert not row.any() and len(x) <= 3 * (n + m) + 6 * m
+            lines = defaultdict(list)
+            for a, b in zip((x - 100) // 2, (y - 500) // 2):
+                assert 0 <= a < n and 0 <= b < m
+                lines[a - b].append(a)
+            assert {a for line in lines.values() for a in range(min(line), max(line) + 1)} == set(range(n))
+            assert {0, n - m} <= set(lines)
+
+
 def test_passages_equal_brute_force(spark):
     """Exact passages: all pairs with a common run of words, through the documents they are linked with."""
     rnd = random.Random(12)
