@@ -41,3 +41,13 @@ def test_entry_lists_all(spark):
     import __spark_entry__ as entry
 
     assert set(registry.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_exception_message_of_any_order(spark, tmp_path):
+    """Keys of 0 and below, and priorities that name a failure, say nothing of an order's run."""
+    sql = """SELECT * FROM (VALUES (0, 'O', '2-HIGH'), (-1, 'O', '1-URGENT'), (0, 'F', '5-LOW'), (1, 'P', '5-LOW'), (2, 'O', '失败'), (3, NULL, '5-LOW'), (4, 'F', NULL), (NULL, 'O', '5-LOW')) v(o_orderkey, o_orderstatus, o_orderpriority)"""
+    session = duckdb.connect()
+    session.sql(f"COPY ({sql}) TO '{tmp_path}/orders.parquet'")
+    session.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    got = [tuple(r) for r in registry.QUERIES["q_exception_message"](spark, str(tmp_path)).select("run_id", "message").collect()]
+    assert in_order(got) == in_order(session.sql(registry.ORACLES["q_exception_message"]).fetchall())
