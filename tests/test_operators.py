@@ -211,3 +211,15 @@ def test_products_without_a_name_among_others(spark):
     rows = [("r", 1, "5", "", "a"), ("r", 2, "", " ", "b"), ("r", 3, "5", "", "c"), ("r", 4, None, "n", "d"), ("r", 5, None, None, "e"), ("r", 5, None, None, "f"), ("s", 1, None, None, "g"), (None, 1, "", "", "h")]
     got = verdict.nested(spark.createDataFrame(rows, "run_id string, seq int, product_id string, product_name string, feature_id string")).collect()
     assert {(r.run_id, r.product_key): [f.feature_id for f in r.features] for r in got} == {("r", "5"): ["a", "c"], ("r", "product_2"): ["b"], ("r", "n"): ["d"], ("r", "product_5"): ["e", "f"], ("s", "product_1"): ["g"], (None, "product_1"): ["h"]}
+
+
+def test_grid_of_one_patent_is_shared_and_small_on_disk(spark, tmp_path):
+    """One patent's rows are made by several tasks, and take less than a byte each as files."""
+    products = spark.createDataFrame([(7, i * 1_000_003) for i in range(1000)] + [(8, 1), (None, 2)], "patent_id int, product_id long")
+    features = spark.createDataFrame([(7, i * 1_000_033) for i in range(1000)] + [(9, 1), (None, 2)], "patent_id int, feature_id long")
+    verdict.grid(products, features).write.parquet(str(tmp_path / "grid"))
+    got = spark.read.parquet(str(tmp_path / "grid"))
+    assert got.columns == ["patent_id", "product_id", "feature_id"]
+    assert got.count() == got.distinct().count() == 1_000_000 and got.filter("patent_id <> 7 or product_id % 1000003 <> 0 or feature_id % 1000033 <> 0").isEmpty()
+    files = list((tmp_path / "grid").glob("*.parquet"))
+    assert len(files) > 1 and sum(f.stat().st_size for f in files) < 1_000_000
