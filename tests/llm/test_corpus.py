@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -187,6 +188,58 @@ def test_other_first_places_do_not_hide_a_passage(spark):
     assert all(r.end_word - r.start_word >= 85 for r in got.values()), got
 
 
+def test_frequent_seeds_do_not_hide_a_passage(spark):
+    """Two documents go on alike, with edits, behind or before a line of which more documents than a join pairs have nothing else."""
+    fresh = iter(range(10**6))
+    other = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    rows, want = [], set()
+    for case in range(4):
+        line, tail = other(30), other(40)
+        edited = [f"e{next(fresh)}" if i % 5 == 2 else w for i, w in enumerate(tail)]
+        ahead = case % 2 * tail, case % 2 * edited
+        rows += [(1000 * case + n, " ".join(other(20) + line + other(20))) for n in range(substrings.FEW + 8)]
+        rows += [(1000 * case + 700 + n, " ".join(other(9) + ahead[n] + line + (1 - case % 2) * (tail, edited)[n] + other(9))) for n in (0, 1)]
+        want.add((1000 * case + 701, 1000 * case + 700))
+    got = {(r.doc_id, r.source_doc_id): r for r in substrings.passages(docs(spark, rows)).collect()}
+    assert set(got) == want
+    assert all(r.end_word - r.start_word >= 65 for r in got.values()), got
+
+
+def test_places_dropped_are_part_of_no_passage():
+    """Places of a seed that alike() drops: the chains of all seeds in common that they are in give no passage."""
+    rnd, k, window, least = random.Random(31), 5, 4, 30
+    line = [f"w{i}" for i in range(14)]
+    dropped = kept = 0
+    for case in range(25):
+        tail = [f"v{i}" for i in range(40)]
+        texts = []
+        for n in range(8):
+            mine = [w if rnd.random() < rnd.choice((0, 0.2, 0.9, 1)) else f"x{case}-{n}-{i}" for i, w in enumerate(tail)] if rnd.random() < 0.7 else [f"y{n}-{i}" for i in range(rnd.randrange(40))]
+            texts.append(" ".join([f"z{n}-{i}" for i in range(rnd.randrange(50))] + [rnd.choice(("w0", "q"))] * rnd.randrange(2) + line + mine))
+        batch = pa.RecordBatch.from_arrays([pa.array(range(8), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+        every = np.full(1 << (substrings.TABLE_BITS - 6), ~np.uint64(0))
+        items = pa.Table.from_batches(list(substrings._contexts(k, window, every, every, every)([batch])))
+        seeds = {i: [] for i in range(8)}
+        words = [np.array([hash(w) & 0xFFFFFFFF for w in t.split()], np.uint32) for t in texts]
+        for s, d, x in zip(*(items.column(c).to_pylist() for c in ("c_seed", "c_doc", "c_x")), strict=True):
+            seeds[d].append((s, x))
+        for seed in {s for v in seeds.values() for s, _ in v}:
+            of = items.filter(pa.array([s == seed for s in items.column("c_seed").to_pylist()]))
+            keep = substrings.alike(of, of, k, least)
+            at = list(zip(of.column("c_doc").to_pylist(), of.column("c_x").to_pylist(), strict=True))
+            for i, (d, x) in enumerate(at):
+                for j, (r, y) in enumerate(at):
+                    kept += bool(keep[i, j]) and d > r
+                    if d > r and not keep[i, j]:
+                        dropped += 1
+                        for chain in substrings.chains([(u, v) for s, u in seeds[d] for t, v in seeds[r] if s == t]):
+                            if (x, y) in chain:
+                                xs, ys = zip(*chain, strict=True)
+                                a, b, c, e, equal = substrings.aligned(list(xs), list(ys), words[d], 0, words[r], 0, k)
+                                assert min(b - a, e - c) < least, (case, d, r, x, y)
+    assert dropped > 100 and kept > 100, (dropped, kept)
+
+
 def test_words_repeated_many_times_give_few_passages(spark):
     """Runs of a few words, of which every seed stands first in a document with short runs: n and m places aren't paired n * m times."""
     fresh = iter(range(10**6))
