@@ -16,6 +16,8 @@ lists give way to that one, so that all copies of a text are held against the sa
 
 * The centre's set is first made that of the majority: what more than half of its members add joins it,
   what more than half lack leaves it. So members differ from it in their own ways.
+* Members that have little in common with the centre, as those of a value that many texts have by chance, would differ from it in whole
+  sets. They are held against each other by their signatures, in blocks (see far()).
 * Two linked members, one of which isn't in the centre's component, must add or lack in common a number of
   shingles that follows from their sizes. Differences are posted under the centre, as many as a linked set
   needs at most, and joined like a prefix of a set, with the positions' bound (see apart()).
@@ -42,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import removed, shared_path, written
 from .components import components
 from .kernels import U, MinHash, Words, document_set, mixed, set_name, slices
 
@@ -51,6 +53,11 @@ SHINGLE, THRESHOLD = 2, 80
 SMALL = 8
 #: A centre that agrees on so many coordinates with the centre of a list that it is in gives way to that one.
 FAMILY = 12
+#: A member that agrees with a centre on fewer coordinates than APART is no member by its differences; members of lists that agree on fewer than
+#: HALF are held against each other. Linked sets are both among one of these, see straddles().
+APART, HALF = 10, 24
+#: Members that are held against each other in blocks.
+MANY = 2048
 #: A difference with a centre that so many sets outside the commonest component have gives stars first.
 LONG = 100
 #: Shingles of differences that a task holds before it hands them on.
@@ -66,6 +73,11 @@ def misses(coordinates: int = COORDINATES, matches: int = MATCHES, similarity: f
     return sum(math.comb(coordinates, i) * similarity**i * (1 - similarity) ** (coordinates - i) for i in range(matches))
 
 
+def straddles(similarity: float = THRESHOLD / 100) -> float:
+    """The chance, at most, that of two sets of this similarity one agrees with a third on HALF coordinates and the other one on fewer than APART."""
+    return sum(math.comb(HALF, i) * (1 - similarity) ** i * similarity ** (HALF - i) for i in range(HALF - APART + 1, HALF + 1))
+
+
 def _sign(k: int, coordinates: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(coordinates, seed)
@@ -157,15 +169,49 @@ def _profile(threshold: int, star: bool):
     return run
 
 
+def _held(threshold: int, matches: int, coordinates: int):
+    """Pairs (a, b) of members of one list in two blocks, of different labels, that may be linked."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        low, high = (v.as_py() for v in key[1:])
+        block = rows.column("block").to_numpy()
+        sides, out = [], []
+        for v in (low, high):
+            side = rows.filter(pa.array(block == v))
+            marked = side.column("marks").combine_chunks().flatten().to_numpy().view(np.uint8).reshape(side.num_rows, -(-coordinates // 8) * 8)
+            sides.append((*(side.column(c).to_numpy() for c in ("a", "label", "n")), marked))
+        (x, x_label, x_n, x_marks), (y, y_label, y_n, y_marks) = sides
+        for first in range(0, len(x), 128):
+            of = slice(first, first + 128)
+            asked = (x[of, None] < y if low == high else x[of, None] != y) & (x_label[of, None] != y_label)
+            asked &= 100 * np.minimum(x_n[of, None], y_n) >= threshold * np.maximum(x_n[of, None], y_n)
+            i, j = np.nonzero(asked)
+            differ = np.zeros(len(i), np.uint8)
+            for c in range(coordinates):
+                differ += x_marks[of, c][i] != y_marks[:, c][j]
+            met = coordinates - differ.astype(np.int64) >= matches
+            out.append((x[of][i[met]], y[j[met]]))
+        a, b = (np.concatenate([o[n] for o in out]) if out else np.empty(0, np.int64) for n in (0, 1))
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
 class _Graph:
     """The distinct sets, their prefix postings, and the test of a pair."""
 
     def __init__(self, docs: DataFrame, k: int, threshold: int, coordinates: int, matches: int, seed: int):
         self.texts, self.k, self.threshold, self.matches, self.coordinates = docs.select("doc_id", "text"), k, threshold, matches, coordinates
-        self.docs = written(signed(docs, k, coordinates, seed), "sets")
-        distinct = self.docs.filter("name is not null").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys"))
-        self.nodes = written(distinct.select("name", "first_id", "n", "keys", marks(F.col("keys"), coordinates).alias("marks"), F.monotonically_increasing_id().alias("node")), "nodes")  # the numbers are fixed once written
-        postings = self.nodes.select("node", F.explode("keys").alias("key"))
+        signed(docs, k, coordinates, seed).write.parquet(sets := shared_path(docs.sparkSession, "sets"))
+        every = docs.sparkSession.read.parquet(sets)
+        distinct = every.filter("name is not null").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys"))
+        # The numbers are fixed once written.
+        distinct.select("name", "first_id", "n", "keys", marks(F.col("keys"), coordinates).alias("marks"), F.monotonically_increasing_id().alias("node")).write.parquet(signatures := shared_path(docs.sparkSession, "signatures"))
+        self.docs = written(every.drop("keys"), "documents")
+        removed(docs.sparkSession, sets)
+        numbered = docs.sparkSession.read.parquet(signatures)
+        self.nodes = written(numbered.drop("keys"), "nodes")
+        postings = numbered.select("node", F.explode("keys").alias("key"))
         # Written first, so that the join can split a value that many sets share.
         often = written(postings.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "often")
         shared = postings.join(often.hint("merge"), "key")
@@ -174,6 +220,7 @@ class _Graph:
         places = coordinates - matches + 1 - (coordinates - F.size("s"))
         prefix = mine.filter(places > 0).select("node", "weight", F.explode(F.slice("s", F.lit(1), F.greatest(places, F.lit(1)))).alias("p"))
         self.posted_keys = written(prefix.select(F.col("p.key").alias("key"), "node", F.col("weight").alias("rank")), "posted")
+        removed(docs.sparkSession, signatures)
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """name and items of the sets of the documents ids (column id), and of a few others.
@@ -233,6 +280,15 @@ class _Graph:
         rows = lists.join(mixed_up, "key").join(roots, F.col("b") == F.col("centre"), "left")
         return rows.select("a", F.coalesce("root", "b").alias("b")).filter("a <> b").distinct()
 
+    def far(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs (a, b) of members of one centre of the stars, of different labels, that may be linked. The members are dealt into blocks, and every two blocks
+        are held against each other in one group, by their marks: what is shuffled grows with the members and not with their sets."""
+        rows = stars.select(F.col("b").alias("centre"), F.col("a").alias("node")).join(self.nodes.select("node", "n", "marks"), "node").join(labels, "node", "left").select("centre", F.col("node").alias("a"), F.coalesce("label", "node").alias("label"), "n", "marks")
+        parts = written(stars.groupBy(F.col("b").alias("p_centre")).agg(F.ceil(F.count("*") / MANY).cast("int").alias("parts")), "parts")
+        dealt = rows.join(parts, F.col("centre") == F.col("p_centre")).withColumn("block", F.pmod(F.xxhash64("a"), "parts").cast("int"))
+        copied = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+        return copied.select("centre", "low", "high", "block", "a", "label", "n", "marks").groupBy("centre", "low", "high").applyInArrow(_held(self.threshold, self.matches, self.coordinates), "a long, b long").distinct()
+
     def members(self, profile: DataFrame, labels: DataFrame) -> DataFrame:
         """The profile with the label of a, whether b's differs (other), and the least excess of any such member
         of b (low); of centres with such members only."""
@@ -333,8 +389,11 @@ class _Graph:
         agreed = written(self.agreed(asked).filter("met or rank is not null"), "agreed")
         links = linked(self.compared(agreed.filter("met").select("a", "b").distinct()))
         labels = components(links)
-        stars = self.compared(self.open_stars(lists, self.roots(agreed.filter("rank is not null")), labels), star=True)
-        profile, more = self.majority(stars), linked(stars)
+        members = written(self.agreed(self.open_stars(lists, self.roots(agreed.filter("rank is not null")), labels)), "members")
+        least = APART if straddles(self.threshold / 100) < 1e-5 else 0  # else the differences of all members are sought
+        stars = self.compared(members.filter(F.col("agree") >= least), star=True)
+        apart = self.compared(self.far(members.filter(F.col("agree") < HALF), labels))
+        profile, more = self.majority(stars), linked(stars).unionByName(linked(apart))
         for step in (lambda members: self.nearest(members).union(self.long_lists(members)).distinct(), self.apart, None):
             if not more.isEmpty():
                 links = links.unionByName(more)
@@ -358,7 +417,7 @@ def _linked(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, coord
     nodes = graph.nodes.select("name", "node", "first_id").join(graph.labels().withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left").withColumn("label", F.coalesce("label", "node"))
     ids = nodes.groupBy("label").agg(F.min("first_id").alias("component_id"))
     by_name = nodes.join(ids, "label").select(F.col("name").alias("n_name"), "component_id")
-    rows = graph.docs.drop("keys").join(by_name, F.col("name") == F.col("n_name"), "left")
+    rows = graph.docs.join(by_name, F.col("name") == F.col("n_name"), "left")
     component = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     more = [c for c in graph.docs.columns if c == "_cf_hash"]
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("name").isNotNull().alias("named"), *more)

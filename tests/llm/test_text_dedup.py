@@ -153,8 +153,47 @@ def test_near_of_an_empty_table(spark):
     assert near.link(docs(spark, [])).collect() == []
 
 
+def test_texts_that_share_a_value_by_chance_are_not_compared_in_full(spark):
+    """Texts of few different shingles share values with centres they have little else of: no whole sets of differences are made of them."""
+    fresh = iter(range(10**6))
+    rnd = random.Random(23)
+    texts = [[f"w{rnd.randrange(25)}" for _ in range(60)] for _ in range(300)]
+    texts += [[f"v{next(fresh)}" if i == 7 * n else w for i, w in enumerate(t)] for t in rnd.sample(texts, 20) for n in (1, 2)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    stars, old = [], near._Graph.compared
+
+    def counted(self, pairs, star=False):
+        found = old(self, pairs, star)
+        if star:
+            stars.append(found.agg(F.sum(F.col("e") + F.col("r"))).first()[0] or 0)
+        return found
+
+    near._Graph.compared = counted
+    try:
+        got = {r.doc_id: r.component_id for r in near.link(docs(spark, rows)).collect()}
+    finally:
+        near._Graph.compared = old
+    assert got == {i: v[1] for (i, _), v in brute.near(rows, 2, 80).items()}
+    assert sum(stars) < 10_000, stars  # 260,190 if all members are compared with their centres
+
+
+@pytest.mark.parametrize("many", [2048, 20])
+def test_members_held_by_signatures_equal_all_pairs(spark, monkeypatch, many):
+    """With all members of long lists held against each other in blocks, and none by differences."""
+    monkeypatch.setattr(near, "APART", 49)
+    monkeypatch.setattr(near, "HALF", 49)
+    monkeypatch.setattr(near, "straddles", lambda _: 0)
+    monkeypatch.setattr(near, "MANY", many)
+    rnd = random.Random(29)
+    base = [f"b{i}" for i in range(150)]
+    texts = [[f"e{rnd.random()}" if rnd.random() < 0.05 else w for w in base] for _ in range(100)]
+    rows = [(i, " ".join(t)) for i, t in enumerate([t for t in texts for t in (t, [*t[:-1], f"x{rnd.random()}"])])]
+    got = {r.doc_id: r.component_id for r in near.link(docs(spark, rows)).collect()}
+    assert got == {i: v[1] for (i, _), v in brute.near(rows, 2, 80).items()}
+
+
 def test_signatures_rarely_miss():
-    assert near.misses() < 1e-5
+    assert near.misses() < 1e-5 and near.straddles() < 1e-5
 
 
 def test_words_and_their_hashes():
