@@ -170,7 +170,7 @@ def _profile(threshold: int, star: bool):
 
 
 def _held(threshold: int, matches: int, coordinates: int):
-    """Pairs (a, b) of members of one list in two blocks, of different labels, that may be linked."""
+    """Pairs (a, b) of members of one list in two blocks, of different labels, of which one is lone (not sought by its differences), at least, that may be linked."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         low, high = (v.as_py() for v in key[1:])
@@ -179,12 +179,12 @@ def _held(threshold: int, matches: int, coordinates: int):
         for v in (low, high):
             side = rows.filter(pa.array(block == v))
             marked = side.column("marks").combine_chunks().flatten().to_numpy().view(np.uint8).reshape(side.num_rows, -(-coordinates // 8) * 8)
-            sides.append((*(side.column(c).to_numpy() for c in ("a", "label", "n")), marked))
-        (x, x_label, x_n, x_marks), (y, y_label, y_n, y_marks) = sides
+            sides.append((*(side.column(c).to_numpy() for c in ("a", "label", "n", "lone")), marked))
+        (x, x_label, x_n, x_lone, x_marks), (y, y_label, y_n, y_lone, y_marks) = sides
         for first in range(0, len(x), 128):
             of = slice(first, first + 128)
             asked = (x[of, None] < y if low == high else x[of, None] != y) & (x_label[of, None] != y_label)
-            asked &= 100 * np.minimum(x_n[of, None], y_n) >= threshold * np.maximum(x_n[of, None], y_n)
+            asked &= (x_lone[of, None] | y_lone) & (100 * np.minimum(x_n[of, None], y_n) >= threshold * np.maximum(x_n[of, None], y_n))
             i, j = np.nonzero(asked)
             differ = np.zeros(len(i), np.uint8)
             for c in range(coordinates):
@@ -281,13 +281,13 @@ class _Graph:
         return rows.select("a", F.coalesce("root", "b").alias("b")).filter("a <> b").distinct()
 
     def far(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs (a, b) of members of one centre of the stars, of different labels, that may be linked. The members are dealt into blocks, and every two blocks
+        """Pairs (a, b) of members of one centre of the stars, of different labels, that may be linked and of which one, at least, isn't sought by its differences. The members are dealt into blocks, and every two blocks
         are held against each other in one group, by their marks: what is shuffled grows with the members and not with their sets."""
-        rows = stars.select(F.col("b").alias("centre"), F.col("a").alias("node")).join(self.nodes.select("node", "n", "marks"), "node").join(labels, "node", "left").select("centre", F.col("node").alias("a"), F.coalesce("label", "node").alias("label"), "n", "marks")
+        rows = stars.select(F.col("b").alias("centre"), F.col("a").alias("node"), (F.col("agree") < APART).alias("lone")).join(self.nodes.select("node", "n", "marks"), "node").join(labels, "node", "left").select("centre", F.col("node").alias("a"), F.coalesce("label", "node").alias("label"), "n", "lone", "marks")
         parts = written(stars.groupBy(F.col("b").alias("p_centre")).agg(F.ceil(F.count("*") / MANY).cast("int").alias("parts")), "parts")
         dealt = rows.join(parts, F.col("centre") == F.col("p_centre")).withColumn("block", F.pmod(F.xxhash64("a"), "parts").cast("int"))
         copied = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-        return copied.select("centre", "low", "high", "block", "a", "label", "n", "marks").groupBy("centre", "low", "high").applyInArrow(_held(self.threshold, self.matches, self.coordinates), "a long, b long").distinct()
+        return copied.select("centre", "low", "high", "block", "a", "label", "n", "lone", "marks").groupBy("centre", "low", "high").applyInArrow(_held(self.threshold, self.matches, self.coordinates), "a long, b long").distinct()
 
     def members(self, profile: DataFrame, labels: DataFrame) -> DataFrame:
         """The profile with the label of a, whether b's differs (other), and the least excess of any such member
